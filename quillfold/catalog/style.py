@@ -9,7 +9,8 @@ from ..functions.text import tok_alpha, tok_retrieval
 from ..operators import augment, contracts, delta, panel, retrieval, spelling, stylometry
 from ..operators.split import frozen_digest
 from ..session import cut_lineage, read_table, spread
-from .common import ALNUM, ALPHA, documents, duck_draw, duck_windows
+from .common import ALPHA, documents, duck_draw
+from .corpus import _split_sql as corpus_split
 
 DICT_DOCS = 20
 BAND_RUNS = 100
@@ -446,4 +447,268 @@ QUERIES = {
     "angle_usage": q_angle_usage,
     "retrieve_facts": q_retrieve_facts,
 }
-ORACLES: dict = {}
+# ---------------------------------------------------------------- DuckDB equivalents
+
+_FW = "fw AS (SELECT unnest(range(0, 150)) AS pos, unnest([" + ", ".join(f"'{w}'" for w in FUNCTION_WORDS) + "]) AS w)"
+_TK = f"tk AS (SELECT doc_id, lang AS register, source, text, {ALPHA.format('text')} AS t FROM documents)"
+_WSP = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
+_SENTS = (
+    r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\n+', ' ', 'g'), '([.!?])[\"'')\]]?\s+', '\1' || chr(1), 'g'), chr(1)), "
+    rf"lambda x: trim(x, {_WSP})), lambda x: length(x) > 0)"
+)
+
+
+def _cnt(pattern: str) -> str:
+    return f"len(regexp_extract_all(text, '{pattern}'))"
+
+
+_FEAT = (
+    f"""{_TK},
+f0 AS (SELECT *, greatest(len(t), 1) AS n, {_SENTS} AS s FROM tk),
+f1 AS (SELECT *, list_filter(list_transform(s, lambda x: len(regexp_extract_all(x, '\\S+'))), lambda x: x > 0)::DOUBLE[] AS lens,
+   len(list_filter(s, lambda x: regexp_matches(x, '^[a-zA-Z]'))) AS al, len(list_filter(s, lambda x: regexp_matches(x, '^[a-z]'))) AS lo FROM f0),
+ft AS (SELECT doc_id, register, source, len(t)::BIGINT AS word_count, len(s)::BIGINT AS sentence_count,
+   coalesce(list_avg(lens), 0.0) AS mean_sentence_words, CASE WHEN len(lens) > 1 THEN list_aggregate(lens, 'stddev_samp') ELSE 0.0 END AS sd_sentence_words,
+   coalesce(list_aggregate(lens, 'quantile_cont', 0.1), 0.0) AS p10_sentence_words, coalesce(list_aggregate(lens, 'quantile_cont', 0.9), 0.0) AS p90_sentence_words,
+   {_cnt(',')}::DOUBLE / n * 100 AS comma_rate, {_cnt(';')}::DOUBLE / n * 100 AS semicolon_rate, {_cnt('—')}::DOUBLE / n * 100 AS em_dash_rate,
+   """
+    + _cnt(r"\.")
+    + f"::DOUBLE / n * 100 AS period_rate, {_cnt(':')}::DOUBLE / n * 100 AS colon_rate, CASE WHEN len(s) > 0 THEN {_cnt(',')}::DOUBLE / len(s) ELSE 0.0 END AS commas_per_sentence,"
+    + _cnt(r"\w–\w|\s–\s|–\s")
+    + "::DOUBLE / n * 1000 AS en_dash_rate,"
+    + _cnt(r"\.\s+\.")
+    + "::DOUBLE / n * 1000 AS doubled_period_rate,"
+    + _cnt(r"[^\n\r]\*\*[^*\n]+\*\*")
+    + "::DOUBLE / n * 1000 AS bold_mid_paragraph_rate, CASE WHEN al > 0 THEN lo::DOUBLE / al ELSE 0.0 END AS lowercase_start_rate,"
+    + _cnt(r"(?i)\b\w+''(t|s|re|ve|ll|d|m)\b")
+    + "::DOUBLE / n * 100 AS contraction_rate FROM f1)"
+)
+_LONG_FEATURES = [f for f in stylometry.CONTRACT_FEATURES if f not in ("mtld", "misspelling_rate")]
+_LONG = (
+    "lf AS (SELECT doc_id, register, source, unnest(["
+    + ", ".join(f"'{f}'" for f in _LONG_FEATURES)
+    + "]) AS feature, unnest(["
+    + ", ".join(_LONG_FEATURES)
+    + "]) AS value FROM ft)"
+)
+_STATS = f"""{_FEAT}, {_LONG},
+st AS (SELECT register, feature, count(*) AS n, avg(value) AS mean, coalesce(stddev_samp(value), 0.0) AS sd, min(value) AS min, max(value) AS max FROM lf GROUP BY 1, 2),
+sz AS (SELECT register, count(*) AS documents, sum(word_count)::BIGINT AS words FROM ft GROUP BY 1),
+rs AS (SELECT *, (documents < 5 OR words < 3000) AS underpowered FROM sz JOIN st USING (register)),
+ct AS (SELECT register AS against, feature, mean, sd, mean - 2.0 * sd AS low, mean + 2.0 * sd AS high FROM rs WHERE NOT underpowered)"""
+_Z = f"""{_STATS},
+rq AS (SELECT doc_id, register, source, CASE WHEN doc_id % 3 = 0 THEN CASE register WHEN 'en' THEN 'de' WHEN 'de' THEN 'fr' WHEN 'fr' THEN 'es' ELSE 'en' END ELSE register END AS requested FROM ft),
+z AS (SELECT doc_id, against, lf.feature, value, (value - mean) / sd AS z FROM lf JOIN ct USING (feature) WHERE sd <> 0),
+fi AS (SELECT doc_id, against, avg(abs(z)) AS fit, count(*) FILTER (abs(z) > 2.0) AS viol FROM z GROUP BY 1, 2),
+nr AS (SELECT doc_id, against AS nearest FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY fit, against) AS k FROM fi) WHERE k = 1),
+va AS (SELECT rq.doc_id, rq.source, rq.requested, (coalesce(viol, 0) = 0 AND nearest IS NOT DISTINCT FROM rq.requested) AS ok, nearest, round(fit, 3) AS fit, coalesce(viol, 0)::BIGINT AS violations
+  FROM rq LEFT JOIN fi ON fi.doc_id = rq.doc_id AND fi.against = rq.requested LEFT JOIN nr ON nr.doc_id = rq.doc_id)"""
+_LEAKS = "lk AS (SELECT rq.doc_id, rq.requested, rq.register AS exemplar, z.feature, z.value, round(z.z, 2) AS z FROM rq JOIN z ON z.doc_id = rq.doc_id AND z.against = rq.requested WHERE abs(z.z) > 1.5)"
+_BLEED = """bl AS (SELECT requested, register AS exemplar, count(*) AS n, count(*) FILTER (nearest IS NOT DISTINCT FROM requested)::DOUBLE / count(*) AS hold_rate,
+  count(*) FILTER (nearest IS DISTINCT FROM requested AND nearest IS NOT DISTINCT FROM register)::DOUBLE / count(*) AS bleed_rate FROM rq LEFT JOIN nr USING (doc_id) GROUP BY 1, 2)"""
+
+_COUNTS = f"{_TK}, {_FW}, tx AS (SELECT doc_id, unnest(t) AS w FROM tk), wc AS (SELECT doc_id, pos, count(*) AS c FROM tx JOIN fw USING (w) GROUP BY 1, 2)"
+_VEC = f"{_COUNTS}, ve AS (SELECT tk.doc_id, tk.register, tk.source, fw.pos, coalesce(c, 0)::DOUBLE / greatest(len(t), 1) AS f FROM tk CROSS JOIN fw LEFT JOIN wc ON wc.doc_id = tk.doc_id AND wc.pos = fw.pos)"
+_CHUNKS = f"""{_COUNTS},
+wd AS (SELECT doc_id, register, len(regexp_extract_all(text, '\\S+')) AS words, len(t) AS tokens, row_number() OVER (PARTITION BY register ORDER BY doc_id) AS k FROM tk),
+wk AS (SELECT register, 0::BIGINT AS k, 0::BIGINT AS carry, 0::BIGINT AS chunk, 0::BIGINT AS nxt FROM (SELECT DISTINCT register FROM wd)
+  UNION ALL SELECT wk.register, wd.k, CASE WHEN carry + words >= 1000 THEN 0 ELSE carry + words END, nxt, CASE WHEN carry + words >= 1000 THEN nxt + 1 ELSE nxt END
+  FROM wk JOIN wd ON wd.register = wk.register AND wd.k = wk.k + 1),
+ck AS (SELECT wd.*, least(wk.chunk, greatest(max(wk.nxt) OVER (PARTITION BY wk.register) - 1, 0)) AS chunk FROM wd JOIN wk USING (register, k)),
+cs AS (SELECT register, chunk, sum(tokens) AS tokens FROM ck GROUP BY 1, 2),
+cc AS (SELECT register, chunk, pos, sum(c) AS c FROM ck JOIN wc USING (doc_id) GROUP BY 1, 2, 3),
+cv AS (SELECT cs.register, cs.chunk, fw.pos, coalesce(c, 0)::DOUBLE / greatest(tokens, 1) AS f FROM cs CROSS JOIN fw LEFT JOIN cc ON cc.register = cs.register AND cc.chunk = cs.chunk AND cc.pos = fw.pos)"""
+
+
+def _band_sql(vectors: str, key: str) -> str:
+    return f"""bd AS (SELECT DISTINCT register, {key} AS k FROM {vectors}), bn AS (SELECT register, count(*) AS documents FROM bd GROUP BY 1),
+bs AS (SELECT register, pos, stddev_samp(f) AS sd FROM {vectors} GROUP BY 1, 2),
+bi AS (SELECT bd.register, k, it, documents, row_number() OVER (PARTITION BY bd.register, it ORDER BY {duck_draw("'1|band|' || it || '|' || k")}, k) AS rk
+   FROM bd JOIN bn USING (register) CROSS JOIN (SELECT unnest(range(1, {BAND_RUNS + 1})) AS it) WHERE documents >= 6),
+bh AS (SELECT *, CASE WHEN rk <= documents // 2 THEN 0 ELSE 1 END AS half FROM bi),
+bc AS (SELECT register, it, half, count(*) AS m FROM bh GROUP BY 1, 2, 3),
+bm AS (SELECT bh.register, it, half, pos, sum(f) AS f FROM bh JOIN {vectors} v ON v.register = bh.register AND v.{key} = bh.k WHERE f > 0 GROUP BY 1, 2, 3, 4),
+bg AS (SELECT c.register, c.it, p.pos, max(CASE WHEN c.half = 0 THEN coalesce(f, 0) / m END) AS a, max(CASE WHEN c.half = 1 THEN coalesce(f, 0) / m END) AS b
+   FROM bc c CROSS JOIN (SELECT DISTINCT pos FROM bs) p LEFT JOIN bm ON bm.register = c.register AND bm.it = c.it AND bm.half = c.half AND bm.pos = p.pos GROUP BY 1, 2, 3),
+be AS (SELECT bg.register, it, avg(abs(a - b) / sd) AS d FROM bg JOIN bs USING (register, pos) WHERE sd <> 0 GROUP BY 1, 2),
+ba AS (SELECT bn.register, documents, count(d) AS iterations, quantile_cont(d, 0.5) AS median, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, documents < 6 AS underpowered
+   FROM bn LEFT JOIN be USING (register) GROUP BY bn.register, documents)"""
+
+
+_BAND_OUT = "SELECT register, documents, iterations, round(median, 6) AS median, round(low, 6) AS low, round(high, 6) AS high, underpowered FROM ba"
+
+_MV_PARTS = []
+for _s in spelling.SUFFIXES:
+    _st = f"left(word, length(word) - {len(_s)})"
+    _ok = f"(ends_with(word, '{_s}') AND length(word) > {len(_s) + 1})"
+    _MV_PARTS += [
+        f"CASE WHEN {_ok} THEN {_st} END",
+        f"CASE WHEN {_ok} THEN {_st} || 'e' END",
+        f"CASE WHEN {_ok} AND length({_st}) >= 2 AND right({_st}, 1) = left(right({_st}, 2), 1) THEN left({_st}, length({_st}) - 1) END",
+        f"CASE WHEN {_ok} AND ends_with({_st}, 'i') THEN left({_st}, length({_st}) - 1) || 'y' END",
+    ]
+_MORPH = "SELECT DISTINCT word, v AS variant FROM (SELECT word, unnest([word, " + ", ".join(_MV_PARTS) + "]) AS v FROM {0}) WHERE v IS NOT NULL AND (v = word OR length(v) >= 2)"
+_SPELL = f"""{_TK}, tx AS (SELECT doc_id, register, unnest(t) AS raw FROM tk),
+di AS (SELECT raw AS word FROM (SELECT DISTINCT doc_id, raw FROM tx) GROUP BY raw HAVING count(*) >= {DICT_DOCS}),
+fq AS (SELECT raw AS word, count(*) AS n FROM tx GROUP BY 1),
+pt AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z'']*')) AS w FROM documents),
+pn AS (SELECT doc_id, lower(w) AS word FROM pt GROUP BY 1, 2 HAVING count(*) = count(*) FILTER (regexp_matches(w, '^[A-Z]'))),
+tc AS (SELECT doc_id, register, raw, split_part(raw, '''', 1) AS word, count(*) AS n FROM tx GROUP BY 1, 2, 3),
+ca AS (SELECT tc.* FROM tc LEFT JOIN pn ON pn.doc_id = tc.doc_id AND pn.word = tc.raw WHERE pn.word IS NULL AND length(tc.word) >= 3),
+cw AS (SELECT DISTINCT word FROM ca),
+kn AS (SELECT DISTINCT m.word FROM ({_MORPH.replace('{0}', 'cw')}) m JOIN di ON di.word = m.variant),
+un AS (SELECT word FROM cw WHERE word NOT IN (SELECT word FROM kn))"""
+
+
+def _edits_sql(source: str) -> str:
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    return f"""ep AS (SELECT word, unnest(range(1, length(word) + 2)) AS i FROM {source}),
+el AS (SELECT word, i, unnest(string_split('{abc}', '')) AS c FROM ep),
+ed AS (SELECT word, substr(word, 1, i - 1) || substr(word, i + 1) AS e FROM ep WHERE i <= length(word)
+ UNION SELECT word, substr(word, 1, i - 1) || substr(word, i + 1, 1) || substr(word, i, 1) || substr(word, i + 2) FROM ep WHERE i < length(word)
+ UNION SELECT word, substr(word, 1, i - 1) || c || substr(word, i + 1) FROM el WHERE i <= length(word)
+ UNION SELECT word, substr(word, 1, i - 1) || c || substr(word, i) FROM el),
+em AS (SELECT DISTINCT ed.word, e AS correct FROM ed JOIN di ON di.word = e WHERE length(e) >= 3 AND e <> ed.word),
+ec AS (SELECT em.word, correct, coalesce(n, 0) AS correct_n, row_number() OVER (PARTITION BY em.word ORDER BY coalesce(n, 0) DESC, length(correct) DESC, correct) AS k FROM em LEFT JOIN fq ON fq.word = correct)"""
+
+
+_STEP = (
+    "CASE WHEN (len(a.ts) + CASE WHEN list_contains(a.ts, x.ts[1]) THEN 0 ELSE 1 END)::DOUBLE / (a.c + 1) <= 0.72 THEN {'f': a.f + 1, 'c': 0, 'ts': []::VARCHAR[]} "
+    "ELSE {'f': a.f, 'c': a.c + 1, 'ts': CASE WHEN list_contains(a.ts, x.ts[1]) THEN a.ts ELSE list_concat(a.ts, x.ts) END} END"
+)
+
+
+def _mtld_sql(tokens: str) -> str:
+    return f"list_reduce(list_transform({tokens}, lambda w: {{'f': 0, 'c': 0, 'ts': [w]}}), lambda a, x: {_STEP}, {{'f': 0, 'c': 0, 'ts': []::VARCHAR[]}})"
+
+
+_MTLD = f"""{_TK}, m0 AS (SELECT doc_id, t, {_mtld_sql('t')} AS a, {_mtld_sql('list_reverse(t)')} AS b FROM tk),
+m1 AS (SELECT doc_id, len(t) AS n, a.f + CASE WHEN a.c > 0 THEN (1 - len(a.ts)::DOUBLE / a.c) / (1 - 0.72::DOUBLE) ELSE 0 END AS fa, b.f + CASE WHEN b.c > 0 THEN (1 - len(b.ts)::DOUBLE / b.c) / (1 - 0.72::DOUBLE) ELSE 0 END AS fb FROM m0),
+mt AS (SELECT doc_id, CASE WHEN n < 10 THEN 0.0 ELSE (CASE WHEN fa > 0 THEN n / fa ELSE n END + CASE WHEN fb > 0 THEN n / fb ELSE n END) / 2 END::DOUBLE AS mtld FROM m1)"""
+
+_PASSAGE = (
+    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^#{1,6}\s+.*$', '', 'g'), '(?m)^\s*[-*]\s+', '', 'g'), '\*\*', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+)
+_PAIRS = (
+    rf"""p0 AS (SELECT d.doc_id, lang AS register, toxic, trim({_PASSAGE}, {_WSP}) AS b FROM documents d JOIN labels USING (doc_id)),
+p1 AS (SELECT *, regexp_extract_all(b, '\S+') AS ws FROM p0), p2 AS (SELECT *, array_to_string(ws[1:400], ' ') AS hd FROM p1),
+p3 AS (SELECT *, length(regexp_extract(hd, '(?s)^.*[.!?]')) AS last FROM p2),
+p4 AS (SELECT doc_id, register, toxic, CASE WHEN len(ws) <= 400 THEN b WHEN last - 1 > length(hd) * 0.5 THEN substr(hd, 1, last) ELSE hd END AS t FROM p3),
+"""
+    + f"""po AS (SELECT doc_id, register, t, row_number() OVER (PARTITION BY register ORDER BY {duck_draw("'11|pool|' || doc_id")}, doc_id) AS num, count(*) OVER (PARTITION BY register) AS n FROM p4 WHERE toxic = 0),
+pm AS (SELECT p4.*, (floor({duck_draw("'11|pick|' || p4.doc_id")} * z.n) + 1)::BIGINT AS num FROM p4 JOIN (SELECT DISTINCT register, n FROM po) z USING (register) WHERE toxic = 1),
+pp AS (SELECT pm.doc_id AS model_doc, pm.register, po.doc_id AS author_doc, po.t AS atext, pm.t AS mtext, CASE WHEN {duck_draw("'11|side|' || pm.doc_id")} < 0.5 THEN 'A' ELSE 'B' END AS author_side
+  FROM pm JOIN po ON po.register = pm.register AND po.num = pm.num WHERE len(regexp_extract_all(po.t, '\\S+')) >= 120 AND len(regexp_extract_all(pm.t, '\\S+')) >= 120)"""
+)
+_JD = "jd AS (SELECT l.doc_id, lang AS register, source AS author_doc, quality = 1 AS correct, toxic FROM labels l JOIN documents USING (doc_id))"
+_BOOT = f"""{_JD}, cl AS (SELECT register, author_doc, sum(correct::INT) AS correct, count(*) AS total FROM jd GROUP BY 1, 2),
+nu AS (SELECT *, row_number() OVER (PARTITION BY register ORDER BY {duck_draw("'3|cluster|' || author_doc")}, author_doc) AS num, count(*) OVER (PARTITION BY register) AS k FROM cl),
+ro AS (SELECT register, it, (floor({duck_draw("'3|' || it || '|' || num")} * k) + 1)::BIGINT AS pick FROM nu CROSS JOIN (SELECT unnest(range(1, 2001)) AS it)),
+sh AS (SELECT ro.register, it, sum(correct)::DOUBLE / sum(total) AS p FROM ro JOIN nu ON nu.register = ro.register AND nu.num = ro.pick GROUP BY 1, 2),
+ci AS (SELECT register, quantile_cont(p, 0.025) AS lo, quantile_cont(p, 0.975) AS hi FROM sh GROUP BY 1),
+ac AS (SELECT register, count(*) AS n, avg(correct::INT) AS accuracy, count(DISTINCT author_doc) AS clusters FROM jd GROUP BY 1)"""
+_VOTES = """vo AS (SELECT user_id % 1000 AS pair_id, event_id AS ord, CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'B' WHEN 'purchase' THEN 'A' ELSE 'none' END AS vote,
+  floor(value)::DOUBLE AS confidence, CASE WHEN event_id % 3 = 0 THEN concat('tell ', event_id) ELSE '' END AS tell FROM events),
+pa AS (SELECT DISTINCT user_id % 1000 AS pair_id, CASE WHEN user_id % 1000 % 2 = 0 THEN 'A' ELSE 'B' END AS author_side FROM events),
+ta AS (SELECT pair_id, count(*) FILTER (vote = 'A') AS a, count(*) AS votes, avg(coalesce(confidence, 3.0)) AS confidence, min_by(tell, ord) FILTER (tell <> '') AS tell FROM vo WHERE vote IN ('A', 'B') GROUP BY 1)"""
+_FACTS = "fa AS (SELECT conv_id * 100 + turn AS fact_id, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z''-]{2,}')) AS t, CASE conv_id % 3 WHEN 0 THEN 'angle_a' WHEN 1 THEN 'angle_b' END AS angle, turn = 0 AS spine FROM conversations), fx AS (SELECT fact_id, unnest(t) AS token FROM fa), id AS (SELECT token, count(*) AS df, ln(((SELECT count(*) FROM fa) + 1) / (count(*) + 0.5)) AS w FROM fx GROUP BY 1)"
+_GROUP_SQL = " ".join(
+    f"WHEN list_has_any(q, {[k, *v]!r}) AND k = {i} THEN {[k, *v]!r}" for i, (k, v) in enumerate(retrieval.SYNONYMS.items())
+)
+_RETR = f"""{_FACTS}, q0 AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower('leadership ' || text), '[a-z][a-z''-]{{2,}}')) AS q FROM benchmark),
+q1 AS (SELECT DISTINCT query_id, token FROM (SELECT query_id, unnest(q) AS token FROM q0 UNION ALL
+   SELECT query_id, unnest(CASE {_GROUP_SQL} END) FROM q0 CROSS JOIN (SELECT unnest(range(0, {len(retrieval.SYNONYMS)})) AS k))),
+us AS (SELECT CASE quality WHEN 1 THEN 'angle_a' ELSE 'angle_b' END AS angle, count(*) % 4 AS uses FROM labels GROUP BY 1),
+sc AS (SELECT query_id, fact_id, sum(w) AS s FROM fx JOIN q1 USING (token) JOIN id USING (token) GROUP BY 1, 2),
+se AS (SELECT query_id, fa.fact_id, spine, coalesce(s, 0) / sqrt(greatest(len(t), 1)) * CASE WHEN fa.angle IS NOT NULL THEN pow(0.7, coalesce(uses, 0)) ELSE 1.0 END AS score
+   FROM (SELECT query_id FROM q0) CROSS JOIN fa LEFT JOIN sc USING (query_id, fact_id) LEFT JOIN us ON us.angle = fa.angle),
+pk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS pick FROM se WHERE score > 0 OR spine)"""
+
+
+def _with(ctes: str, select: str) -> str:
+    return f"WITH RECURSIVE {ctes} {select}"
+
+
+def _r(cols: str, digits: int = 6) -> str:
+    return ", ".join(f"round({c}, {digits}) AS {c}" for c in cols.split())
+
+
+ORACLES = {
+    "sentence_stats": _with(_FEAT, "SELECT doc_id, sentence_count AS sentences, round(mean_sentence_words, 6) AS mean, round(sd_sentence_words, 6) AS sd, round(p10_sentence_words, 6) AS p10, round(p90_sentence_words, 6) AS p90 FROM ft"),
+    "punct_rates": _with(_FEAT, f"SELECT doc_id, {_r('comma_rate semicolon_rate em_dash_rate period_rate colon_rate commas_per_sentence')} FROM ft"),
+    "function_word_freqs": _with(_VEC, "SELECT doc_id, pos::INTEGER AS pos, round(f, 9) AS f FROM ve WHERE f > 0"),
+    "mtld": _with(_MTLD, "SELECT doc_id, round(mtld, 6) AS mtld FROM mt"),
+    "markers": _with(_FEAT, f"SELECT doc_id, {_r('en_dash_rate doubled_period_rate bold_mid_paragraph_rate lowercase_start_rate contraction_rate')} FROM ft"),
+    "scalars": _with(_FEAT + ", " + _LONG, "SELECT doc_id, feature, round(value, 6) AS value FROM lf UNION ALL SELECT doc_id, 'misspelling_rate', NULL FROM ft"),
+    "proper_nouns": _with(_SPELL, "SELECT doc_id, word FROM pn"),
+    "morph_variants": _with(f"{_TK}, w AS (SELECT DISTINCT unnest(t) AS word FROM tk)", _MORPH.replace("{0}", "w")),
+    "word_frequencies": _with(_SPELL, "SELECT word, n FROM fq"),
+    "doc_frequency_vocab": _with(_SPELL, "SELECT word, count(DISTINCT doc_id) AS docs FROM ca JOIN un USING (word) GROUP BY word HAVING count(DISTINCT doc_id) >= 3"),
+    "spell_check": _with(
+        f"{_SPELL}, vc AS (SELECT word FROM ca JOIN un USING (word) GROUP BY word HAVING count(DISTINCT doc_id) >= 10), su AS (SELECT word FROM un WHERE length(word) >= 6 AND word NOT IN (SELECT word FROM vc)), {_edits_sql('su')}",
+        "SELECT doc_id, word, sum(n)::BIGINT AS n, CASE WHEN word IN (SELECT word FROM em) THEN 'misspelling' ELSE 'out_of_vocabulary' END AS verdict FROM ca JOIN un USING (word) GROUP BY 1, 2",
+    ),
+    "features": _with(
+        f"{_FEAT}, {_MTLD.replace(_TK + ', ', '')}, {_SPELL.replace(_TK + ', ', '')}, su AS (SELECT word FROM un WHERE length(word) >= 6), {_edits_sql('su')}, "
+        "sp AS (SELECT doc_id, sum(CASE WHEN word IN (SELECT word FROM em) THEN n ELSE 0 END) AS ms, sum(CASE WHEN word IN (SELECT word FROM em) THEN 0 ELSE n END) AS oo FROM ca JOIN un USING (word) GROUP BY 1)",
+        "SELECT ft.doc_id, word_count, sentence_count, "
+        + _r("mean_sentence_words sd_sentence_words p10_sentence_words p90_sentence_words comma_rate semicolon_rate em_dash_rate period_rate colon_rate commas_per_sentence mtld en_dash_rate doubled_period_rate bold_mid_paragraph_rate lowercase_start_rate contraction_rate")
+        + ", round(coalesce(ms, 0)::DOUBLE / greatest(word_count, 1) * 1000, 6) AS misspelling_rate, round(coalesce(oo, 0)::DOUBLE / greatest(word_count, 1) * 1000, 6) AS out_of_vocabulary_rate FROM ft JOIN mt USING (doc_id) LEFT JOIN sp USING (doc_id)",
+    ),
+    "correction_for": _with(f"{_SPELL}, su AS (SELECT word FROM fq WHERE n <= 3 AND regexp_matches(word, '^[a-z]{{6,}}$')), {_edits_sql('su')}", "SELECT word, correct, correct_n FROM ec WHERE k = 1"),
+    "error_table": _with(
+        f"{_SPELL}, su AS (SELECT word FROM un WHERE length(word) >= 6), {_edits_sql('su')}, ok AS (SELECT ec.word, correct FROM ec LEFT JOIN fq ON fq.word = ec.word WHERE k = 1 AND coalesce(fq.n, 0) <= correct_n)",
+        "SELECT correct, word AS variant, sum(n)::BIGINT AS n, string_agg(DISTINCT register, ',' ORDER BY register) AS registers FROM ca JOIN ok USING (word) GROUP BY 1, 2",
+    ),
+    "register_stats": _with(_STATS, f"SELECT register, documents, words, underpowered, feature, n, {_r('mean sd min max')} FROM rs"),
+    "register_vectors": _with(_VEC, "SELECT register, pos::INTEGER AS pos, round(avg(f), 9) AS f FROM ve GROUP BY 1, 2 HAVING avg(f) > 0"),
+    "register_contracts": _with(_STATS, f"SELECT against AS register, feature, {_r('mean sd low high')} FROM ct"),
+    "validate_contract": _with(_Z, "SELECT doc_id, requested, ok, nearest, fit, violations FROM va"),
+    "nearest_register": _with(_Z, "SELECT doc_id, nearest FROM nr"),
+    "marker_leaks": _with(f"{_Z}, {_LEAKS}", "SELECT doc_id, requested, feature, round(value, 6) AS value, z FROM lk"),
+    "contract_compliance": _with(_Z, "SELECT source AS arm, count(*) FILTER (ok) AS passed, count(*) AS total, count(*) FILTER (doc_id % 5 = 0) AS retried, round(avg(fit), 6) AS mean_fit FROM va GROUP BY 1"),
+    "bleed_matrix": _with(f"{_Z}, {_BLEED}", "SELECT requested, exemplar, n, round(hold_rate, 6) AS hold_rate, round(bleed_rate, 6) AS bleed_rate FROM bl"),
+    "worst_leaks": _with(f"{_Z}, {_LEAKS}", "SELECT requested, exemplar, feature, z AS worst_z FROM (SELECT *, row_number() OVER (PARTITION BY requested, exemplar, feature ORDER BY abs(z) DESC, z DESC) AS k FROM lk) WHERE k = 1"),
+    "worst_bleed": _with(f"{_Z}, {_BLEED}", "SELECT round(max(bleed_rate), 6) AS worst_bleed, max(bleed_rate) <= 0.1 AS passes FROM bl WHERE requested <> exemplar"),
+    "reference_profile": _with(_VEC, "SELECT pos::INTEGER AS pos, round(avg(f), 9) AS mean, round(stddev_samp(f), 9) AS sd FROM ve GROUP BY 1 HAVING stddev_samp(f) > 0"),
+    "burrows_delta": _with(f"{_VEC}, pf AS (SELECT pos, stddev_samp(f) AS sd FROM ve GROUP BY 1)", "SELECT a.doc_id, round(avg(abs(a.f - b.f) / sd), 6) AS delta FROM ve a JOIN ve b ON b.doc_id = a.doc_id + 1 AND b.pos = a.pos JOIN pf ON pf.pos = a.pos WHERE sd <> 0 GROUP BY 1"),
+    "aggregate_chunks": _with(_CHUNKS, "SELECT register, chunk, count(*) AS documents, sum(words)::BIGINT AS words FROM ck GROUP BY 1, 2"),
+    "within_band": _with(f"{_CHUNKS}, {_band_sql('cv', 'chunk')}", _BAND_OUT),
+    "band_table": _with(
+        f"{_VEC}, k0 AS (SELECT doc_id::VARCHAR AS doc_key, lang AS register FROM documents), "
+        + corpus_split("sp", "k0")
+        + f", vh AS (SELECT ve.* FROM ve JOIN sp ON doc_key = doc_id::VARCHAR WHERE split <> 'holdout'), {_band_sql('vh', 'doc_id')}",
+        _BAND_OUT,
+    ),
+    "judge_band": _with(
+        f"{_VEC}, {_band_sql('ve', 'doc_id')}, rm AS (SELECT register, pos, avg(f) AS g, stddev_samp(f) AS sd FROM ve GROUP BY 1, 2), sm AS (SELECT register, source, pos, avg(f) AS f FROM ve GROUP BY 1, 2, 3), ob AS (SELECT register, source, avg(abs(f - g) / sd) AS observed FROM sm JOIN rm USING (register, pos) WHERE sd <> 0 GROUP BY 1, 2)",
+        "SELECT register, source, round(observed, 6) AS observed, round(high, 6) AS high, CASE WHEN NOT underpowered AND high IS NOT NULL THEN observed <= high END AS inside FROM ob JOIN ba USING (register)",
+    ),
+    "general_imposters": _with(
+        f"{_CHUNKS}, gs AS (SELECT pos, stddev_samp(f) AS sd FROM cv GROUP BY 1), gc AS (SELECT pos, f FROM cv WHERE register = 'en' AND chunk = 0), "
+        f"gm AS (SELECT t, pos FROM (SELECT unnest(range(1, {TRIALS + 1})) AS t) CROSS JOIN (SELECT pos FROM gs) WHERE {duck_draw(chr(39) + '7|mask|' + chr(39) + ' || t || ' + chr(39) + '|' + chr(39) + ' || pos')} < 0.5), "
+        "gb AS (SELECT t FROM gm GROUP BY 1 HAVING count(*) >= 5), "
+        "gd AS (SELECT cv.register, cv.chunk, cv.pos, abs(cv.f - gc.f) / sd AS d FROM cv JOIN gc USING (pos) JOIN gs USING (pos) WHERE sd <> 0 AND NOT (cv.register = 'en' AND cv.chunk = 0)), "
+        "ge AS (SELECT t, register, chunk, avg(d) AS d FROM gd JOIN gm USING (pos) GROUP BY 1, 2, 3), "
+        "gr AS (SELECT t, min(d) FILTER (register = 'en') AS au, min(d) FILTER (register <> 'en') AS im FROM ge WHERE t IN (SELECT t FROM gb) GROUP BY 1)",
+        "SELECT round(count(*) FILTER (au < im)::DOUBLE / count(*), 6) AS score, count(*) AS trials FROM gr WHERE au IS NOT NULL AND im IS NOT NULL",
+    ),
+    "register_separation": _with(
+        f"{_VEC}, lv AS (SELECT ve.*, CASE WHEN toxic = 1 THEN 'model' ELSE 'author' END AS side FROM ve JOIN labels USING (doc_id)), pf AS (SELECT pos, stddev_samp(f) AS sd FROM lv GROUP BY 1), "
+        "mm AS (SELECT side, pos, avg(f) FILTER (register = 'en') AS a, avg(f) FILTER (register = 'de') AS b FROM lv GROUP BY 1, 2)",
+        "SELECT side, round(avg(abs(a - b) / sd), 6) AS separation FROM mm JOIN pf USING (pos) WHERE sd <> 0 GROUP BY 1",
+    ),
+    "frozen_gate": "SELECT TRUE AS ok, 'matches the committed digest' AS reason",
+    "panel_accuracy": _with(_BOOT, "SELECT register, n, round(accuracy, 6) AS accuracy, clusters FROM ac"),
+    "cluster_bootstrap": _with(_BOOT, "SELECT register, n, round(accuracy, 6) AS accuracy, clusters, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, lo <= 0.5 AND hi >= 0.5 AS indistinguishable FROM ac JOIN ci USING (register)"),
+    "build_pairs": _with(_PAIRS, "SELECT 'pair_' || model_doc AS pair_id, register, author_side, md5(CASE author_side WHEN 'A' THEN atext ELSE mtext END) AS a, md5(CASE author_side WHEN 'A' THEN mtext ELSE atext END) AS b, author_doc, model_doc FROM pp"),
+    "passages_by_source": "SELECT doc_id AS source_id, n_chars, quality FROM documents JOIN labels USING (doc_id)",
+    "majority_vote": _with(_VOTES, "SELECT pair_id, author_side, a, votes, round(confidence, 6) AS confidence, tell, CASE WHEN votes IS NULL THEN NULL WHEN a >= votes - a THEN 'A' ELSE 'B' END AS guess, CASE WHEN votes IS NULL THEN NULL WHEN a >= votes - a THEN 'A' ELSE 'B' END = author_side AS correct FROM pa LEFT JOIN ta USING (pair_id)"),
+    "noise_share": _with(
+        f"{_JD}, a AS (SELECT register, avg(correct::INT) FILTER (toxic = 1) AS w, avg(correct::INT) FILTER (toxic = 0) AS o FROM jd GROUP BY 1)",
+        "SELECT register, round(CASE WHEN abs(w - 0.5) + abs(o - 0.5) = 0 THEN 0.0 ELSE abs(o - w) / (abs(w - 0.5) + abs(o - 0.5)) END, 6) AS share FROM a",
+    ),
+    "idf": _with(_FACTS, "SELECT token, df, round(w, 9) AS weight FROM id"),
+    "angle_usage": f"WITH e AS (SELECT {_ANGLED} AS data FROM events), a AS (SELECT coalesce(json_extract_string(data, '$.angle_used'), json_extract_string(data, '$.angleUsed')) AS angle FROM e) SELECT angle, count(*) AS uses FROM a WHERE angle <> '' GROUP BY 1",
+    "retrieve_facts": _with(_RETR, "SELECT query_id, fact_id, round(score, 4) AS score, pick::INTEGER AS pick FROM pk WHERE pick <= 4"),
+}
