@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus", "style", "listings", "log")
+QUERY_MODULES = ("corpus", "style", "listings", "log")
+ORACLE_MODULES = ("corpus", "style", "listings_sql", "log")
 
 
-def _merged(attr: str) -> dict:
+def _merged(attr: str, modules: tuple[str, ...]) -> dict:
     out: dict = {}
-    for name in MODULES:
+    for name in modules:
         try:
             module = importlib.import_module(f"{__name__}.{name}")
         except ModuleNotFoundError as e:
@@ -25,8 +26,8 @@ def _merged(attr: str) -> dict:
 
 
 def queries() -> dict:
-    return _merged("QUERIES")
+    return _merged("QUERIES", QUERY_MODULES)
 
 
 def oracle_sql() -> dict:
-    return _merged("ORACLES")
+    return _merged("ORACLES", ORACLE_MODULES)

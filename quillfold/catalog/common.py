@@ -23,10 +23,13 @@ ALNUM = "regexp_extract_all(lower({0}), '[a-z0-9'']+')"
 ALPHA = "regexp_extract_all(lower({0}), '[a-z'']+')"
 
 
-def duck_windows(tokens: str, n: int) -> str:
+def duck_grams(name: str, source: str, key: str, text: str, n: int) -> str:
+    """CTEs giving ``name(key, pos, g)``: every run of n tokens, tokens as rows."""
+    w = f"OVER (PARTITION BY {key} ORDER BY pos)"
+    parts = " || ' ' || ".join(["w"] + [f"lead(w, {i}) {w}" for i in range(1, n)])
     return (
-        f"list_transform(range(1, greatest(len({tokens}) - {n} + 2, 1)), "
-        f"lambda i: array_to_string({tokens}[i:i + {n - 1}], ' '))"
+        f"{name}_w AS (SELECT {key}, unnest(t) AS w, generate_subscripts(t, 1) AS pos FROM (SELECT {key}, {ALNUM.format(text)} AS t FROM {source})), "
+        f"{name}_g AS (SELECT {key}, pos, {parts} AS g FROM {name}_w), {name} AS (SELECT * FROM {name}_g WHERE g IS NOT NULL)"
     )
 
 

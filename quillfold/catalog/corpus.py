@@ -10,7 +10,7 @@ from ..operators import contamination, dedup, leak, register, split, triage
 from ..plans import corpus_build
 from ..session import cut_lineage, read_table, spread
 from ..sources import records
-from .common import ALNUM, PASTED, documents, duck_draw, duck_windows, pasted
+from .common import ALNUM, PASTED, documents, duck_draw, duck_grams, pasted
 
 # ---------------------------------------------------------------- cleaning steps
 
@@ -169,15 +169,12 @@ def q_flag_contaminated(spark, sf_dir):
     return flagged.filter("contaminated").select("doc_id", "shared_ngram", "contamination_reason")
 
 
-_GRAMS = """d AS (SELECT doc_id, {tok} AS t FROM {table}),
-dg AS (SELECT doc_id, unnest({win}) AS g, generate_subscripts({win}, 1) AS pos FROM d),
-b AS (SELECT {btok} AS t FROM benchmark), bg AS (SELECT DISTINCT unnest({win}) AS g FROM b),
-hit AS (SELECT doc_id, min_by(g, pos) AS shared_ngram FROM dg JOIN bg USING (g) GROUP BY doc_id)"""
-
-
 def _hits(table: str, column: str) -> str:
-    return _GRAMS.format(
-        tok=ALNUM.format(column), table=table, btok=ALNUM.format("text"), win=duck_windows("t", 8)
+    return (
+        duck_grams("dg", table, "doc_id", column, 8)
+        + ", "
+        + duck_grams("bg", "benchmark", "item_id", "text", 8)
+        + ", hit AS (SELECT doc_id, min_by(g, pos) AS shared_ngram FROM dg WHERE g IN (SELECT g FROM bg) GROUP BY doc_id)"
     )
 
 
@@ -188,8 +185,9 @@ def q_near_duplicates(spark, sf_dir):
 
 
 # The sequential rule needs recursion over rows in order; pairs come from a plain self-join.
-_NEAR = f"""sh AS (SELECT doc_id, list_distinct({duck_windows("t", 5)}) AS s FROM (SELECT doc_id, {ALNUM.format("clean")} AS t FROM {{0}})),
-ex AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sh),
+_NEAR = duck_grams("sg", "{0}", "doc_id", "clean", 5) + """, sx AS (SELECT DISTINCT doc_id, hash(g) AS g FROM sg),
+sh AS (SELECT doc_id, list(g) AS s FROM sx GROUP BY doc_id), sn AS (SELECT doc_id, count(*) AS n FROM sx GROUP BY 1),
+ex AS (SELECT sx.doc_id, n, g FROM sx JOIN sn USING (doc_id)),
 df AS (SELECT g, count(*) AS f FROM ex GROUP BY g HAVING count(*) > 1),
 rk AS (SELECT doc_id, n, g, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(f, 1), g) AS r FROM ex LEFT JOIN df USING (g)),
 pf AS (SELECT doc_id, g FROM rk WHERE r <= n - ((9 * n + 9) // 10) + 1),
@@ -584,7 +582,9 @@ SELECT doc_id, length(t)::BIGINT AS n, md5(t) AS digest FROM r""",
  '[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{feff}]', '', 'g'), '(?i)-{3,}(BEGIN|END) UNTRUSTED', '[fence removed]', 'g') AS t FROM pages)
 SELECT page_id, length(t)::BIGINT AS n, md5(t) AS digest FROM r""",
     "excerpt": f"WITH r AS (SELECT doc_id, string_split({_FLAT.replace('{0}', 'text')}, ' ') AS w FROM documents) SELECT doc_id, array_to_string(w[1:40], ' ') || CASE WHEN len(w) > 40 THEN ' …' ELSE '' END AS excerpt FROM r",
-    "ngram_set": f"WITH d AS (SELECT doc_id, {ALNUM.format('text')} AS t FROM documents), g AS (SELECT doc_id, {duck_windows('t', 5)} AS g FROM d) SELECT doc_id, len(list_distinct(g))::BIGINT AS shingles, g[1] AS first_shingle FROM g",
+    "ngram_set": "WITH "
+    + duck_grams("gr", "documents", "doc_id", "text", 5)
+    + ", s AS (SELECT doc_id, count(DISTINCT g) AS shingles, min_by(g, pos) AS first_shingle FROM gr GROUP BY 1) SELECT doc_id, coalesce(shingles, 0) AS shingles, first_shingle FROM documents LEFT JOIN s USING (doc_id)",
     "jaccard": """WITH w AS (SELECT conv_id, turn, list_distinct(string_split(lower(text), ' ')) AS w FROM conversations),
 p AS (SELECT a.conv_id, a.turn, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS na, len(b.w) AS nb FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)
 SELECT conv_id, turn, CASE WHEN na + nb - i = 0 THEN 1.0::DOUBLE ELSE round(i::DOUBLE / (na + nb - i), 6) END AS similarity FROM p""",

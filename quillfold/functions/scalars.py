@@ -196,7 +196,8 @@ def _clamp01(c: Column, default: float) -> Column:
 def expected_benefit(amount: Column, win_rate: Column, eligibility: Column, hours: Column) -> Column:
     award = F.greatest(F.lit(0.0), F.coalesce(amount, F.lit(0.0)))
     cost = F.greatest(F.lit(0.0), hours) * HOURLY_EFFORT
-    return F.round(award * _clamp01(win_rate, 0.0) * _clamp01(eligibility, 0.0) - cost, 2)
+    value = award * _clamp01(win_rate, 0.0) * _clamp01(eligibility, 0.0) - cost
+    return F.floor(value * 100 + 0.5) / 100
 
 
 def no_essay(text: Column) -> Column:

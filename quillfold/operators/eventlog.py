@@ -126,7 +126,7 @@ def application_fold() -> list[Column]:
         on_found("effort").alias("effort"),
         on_found("amount").cast("double").alias("amount"),
         on_found("deadlineISO").cast("date").alias("deadline_iso"),
-        _latest(F.coalesce(field("discoveredAt").cast("timestamp"), F.col("at")), found).alias("discovered_at"),
+        _latest(F.coalesce(field("discoveredAt").cast("timestamp_ntz"), F.col("at")), found).alias("discovered_at"),
         _latest(
             F.when(found, F.coalesce(field("eligibility.decision"), F.lit("unscreened"))).otherwise(field("decision")),
             found | (screened & has(field("decision"))),

@@ -392,7 +392,7 @@ def to_application(raw: DataFrame) -> DataFrame:
         lambda p: (F.length(p["prompt"]) > 0) & ~p["prompt"].rlike(PLACEHOLDER_PROMPT),
     )
     given = F.when(F.col("id").startswith("sch_"), F.col("id"))
-    fit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("match") / 100))
+    fit = F.when(F.col("match").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("match") / 100)))
     return raw.select(
         F.coalesce(given, canonical_id(F.col("name"), F.col("url"))).alias("id"),
         F.coalesce("slug", slug(F.col("name"))).alias("slug"),

@@ -57,7 +57,8 @@ class CardLayout:
     pairs: str | None = None  # groups 1 and 2: label and value (swapped if value_first)
     value_first: bool = False
     cells: tuple[tuple[str, str], ...] = ()  # (label, regex) for table layouts
-    window: int = 6000
+    window: int = 6000  # characters after the link
+    overlap: bool = False  # the window runs past the next link
     keep_levels: str | None = None
 
 
@@ -81,6 +82,7 @@ INFO_PAIRS = CardLayout(
     url=r'href="(https?://[^"]*/scholarships/search/[a-z0-9-]+/)"',
     pairs=r'card-info(?:_mob)?-name"[^>]*>([^<]+)<[\s\S]{0,200}?card-info(?:_mob)?-value"[^>]*>([^<]+)<',
     window=2500,
+    overlap=True,
 )
 TITLE_LINKS = CardLayout(
     separator=r'(?=<a href="https?://[^"]*/scholarships/[^"?]+[^"]*" class="scholarship-group-title-link">)',
@@ -97,10 +99,20 @@ def extract_cards(pages: DataFrame, layout: CardLayout, source: str, key: str =
 
     Award pools are not awards: only a label like "award worth" or "award amount" gives an amount.
     """
-    fragments = pages.select(key, F.posexplode(F.split(F.col(html), layout.separator)).alias("pos", "part"))
-    cut = F.substring("part", 1, layout.window)
+    parts = F.split(F.col(html), layout.separator)
+    if layout.overlap:
+        # where each fragment starts, then a window of the whole page from there
+        starts = F.aggregate(parts, F.array(F.lit(1)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
+        parts = F.transform(starts, lambda at: F.substring(F.col(html), at, F.lit(layout.window)))
+    fragments = pages.select(key, F.posexplode(parts).alias("pos", "part"))
+    if layout.pairs and not layout.overlap:
+        # only the last title is without a next one to end its window
+        last = F.max("pos").over(W.partitionBy(key))
+        fragments = fragments.withColumn(
+            "part", F.when(F.col("pos") == last, F.substring("part", 1, layout.window)).otherwise(F.col("part"))
+        )
     got = lambda p: F.when(F.length(F.regexp_extract(F.col("part"), p, 1)) > 0, F.regexp_extract(F.col("part"), p, 1))
-    cards = fragments.withColumn("part", cut).withColumn("card_id", got(layout.key)).filter("card_id IS NOT NULL")
+    cards = fragments.withColumn("card_id", got(layout.key)).filter("card_id IS NOT NULL")
     if layout.pairs:
         first, second = (F.regexp_extract_all("part", F.lit(layout.pairs), F.lit(g)) for g in (1, 2))
         labels, values = (second, first) if layout.value_first else (first, second)
@@ -120,7 +132,9 @@ def extract_cards(pages: DataFrame, layout: CardLayout, source: str, key: str =
     amount_key = F.try_element_at(
         F.filter("info", lambda e: e["k"].rlike(r"awards?\s+worth") | (e["k"] == "award amount")), F.lit(1)
     )["k"]
-    amount_text = value(lambda k: k.rlike(r"awards?\s+worth") | (k == "award amount"))
+    cards = cards.withColumn("_amount_key", amount_key)
+    amount_key = F.col("_amount_key")
+    amount_text = value(lambda k: k == F.col("_amount_key"))
     level = F.coalesce(value(lambda k: (k == "level") | (k == "grade level")), F.lit(""))
     if layout.keep_levels:
         cards = cards.filter((level == "") | level.rlike(layout.keep_levels))

@@ -12,16 +12,21 @@ from pyspark.sql.streaming.state import GroupState
 from ..operators import eventlog
 from ..session import scratch_dir
 
-LOG_SCHEMA = "seq bigint, at timestamp, type string, application_id string, actor string, data string"
+LOG_SCHEMA = "seq bigint, at timestamp_ntz, type string, application_id string, actor string, data string"
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The log as a batch table; blank lines vanish, order is ``seq``."""
-    return spark.read.schema(LOG_SCHEMA).json(path)
+    return spark.read.schema(LOG_SCHEMA).option("timestampNTZFormat", TIME_FORMAT).json(path)
+
+
+def write_log(log: DataFrame, path: str) -> None:
+    log.write.mode("append").option("timestampNTZFormat", TIME_FORMAT).json(path)
 
 
 def stream_log(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(LOG_SCHEMA)
+    reader = spark.readStream.schema(LOG_SCHEMA).option("timestampNTZFormat", TIME_FORMAT)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.json(path)
@@ -115,4 +120,4 @@ def collect_stream(stream: DataFrame, name: str) -> DataFrame:
     spark = stream.sparkSession
     out, checkpoint = scratch_dir(spark, name), scratch_dir(spark, f"{name}-progress")
     run_to_end(stream, "append", lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}"), checkpoint)
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
