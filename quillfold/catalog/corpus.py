@@ -185,7 +185,7 @@ def q_near_duplicates(spark, sf_dir):
 
 
 # The sequential rule needs recursion over rows in order; pairs come from a plain self-join.
-_NEAR = duck_grams("sg", "{0}", "doc_id", "clean", 5) + """, sx AS (SELECT DISTINCT doc_id, hash(g) AS g FROM sg),
+_NEAR = duck_grams("nsg", "{0}", "doc_id", "clean", 5) + """, sx AS (SELECT DISTINCT doc_id, hash(g) AS g FROM nsg),
 sh AS (SELECT doc_id, list(g) AS s FROM sx GROUP BY doc_id), sn AS (SELECT doc_id, count(*) AS n FROM sx GROUP BY 1),
 ex AS (SELECT sx.doc_id, n, g FROM sx JOIN sn USING (doc_id)),
 df AS (SELECT g, count(*) AS f FROM ex GROUP BY g HAVING count(*) > 1),

@@ -22,7 +22,7 @@ PROFILE = eligibility.Profile(state_names=("texas",), institutions=("lakeside co
 
 
 def _li(spark, sf_dir):
-    df = read_table(spark, sf_dir, "part").selectExpr(*[f"{sql} AS {name}" for name, sql in COLUMNS.items()])
+    df = spread(read_table(spark, sf_dir, "part"), "p_partkey").selectExpr(*[f"{sql} AS {name}" for name, sql in COLUMNS.items()])
     return df.withColumn("flags", F.array_compact(F.array("flag")))
 
 

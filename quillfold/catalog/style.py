@@ -232,8 +232,8 @@ def _chunks(spark, sf_dir):
         "doc_id", F.col("lang").alias("register"), F.regexp_count("text", F.lit(r"\S+")).alias("words"), F.size(tok_alpha(F.col("text"))).alias("tokens")
     )
     numbered = delta.aggregate_chunks(sized, "register", "doc_id")
-    vectors = numbered.join(stylometry.function_word_freqs(docs, "doc_id"), "doc_id")
-    return cut_lineage(delta.chunk_vectors(vectors, "register"))
+    counts = stylometry.function_word_counts(docs, "doc_id")
+    return cut_lineage(delta.chunk_vectors(numbered, counts, "register", "doc_id"))
 
 
 def q_within_band(spark, sf_dir):

@@ -22,8 +22,17 @@ CONTRACTION = rf"(?i){NOT_AFTER_WORD}\w+'(?:t|s|re|ve|ll|d|m){NOT_BEFORE_WORD}"
 
 
 def ascii_edges(pattern: str) -> str:
-    """Rewrite ``\\b`` into an ASCII word edge."""
-    return pattern.replace(r"\b", WORD_EDGE)
+    """Rewrite ``\\b`` into an ASCII word edge, as one lookaround where its side is known."""
+    parts = pattern.split(r"\b")
+    out = parts[0]
+    for before, after in zip(parts, parts[1:]):
+        opens = not before or before[-1] in "|(:"
+        tail = before.rstrip(")")
+        if tail.endswith("?") and tail[-2:-1].isalpha():
+            tail = tail[:-1]
+        closes = (not after or after[0] in "|)") and tail[-1:].isalnum() and tail[-2:-1] != "\\"
+        out += (NOT_AFTER_WORD if opens else NOT_BEFORE_WORD if closes else WORD_EDGE) + after
+    return out
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -98,6 +107,20 @@ def windows(tokens: Column, n: int) -> Column:
     )
 
 
+def window_hashes(tokens: Column, n: int) -> Column:
+    """64-bit hash of every run of ``n`` tokens, without building the joined strings."""
+    return let(
+        tokens,
+        lambda t: F.when(
+            F.size(t) >= n,
+            F.transform(
+                F.sequence(F.lit(0), F.greatest(F.size(t) - n, F.lit(0))),
+                lambda i: F.xxhash64(*[F.get(t, i + k) for k in range(n)]),
+            ),
+        ).otherwise(F.array().cast("array<bigint>")),
+    )
+
+
 def ngram_set(text: Column, n: int) -> Column:
     return F.array_distinct(windows(tok_alnum(text), n))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import tok_alnum, windows
+from ..functions.text import tok_alnum, window_hashes
 from ..session import HOT_ROWS, cut_lineage, salted_join
 
 SHINGLE = 5
@@ -27,43 +27,32 @@ THRESHOLD = (9, 10)
 PIVOTS = 4
 
 
-def shingle_sets(df: DataFrame, key: str, text: str, order: str, n: int = SHINGLE) -> DataFrame:
-    """``_key, _ord, h (sorted distinct 64-bit shingle hashes), n``; rows without shingles are left out."""
-    hashes = F.array_sort(F.array_distinct(F.transform(windows(tok_alnum(F.col(text)), n), lambda g: F.xxhash64(g))))
-    return (
-        df.select(F.col(key).alias("_key"), F.col(order).alias("_ord"), hashes.alias("h"))
-        .withColumn("n", F.size("h"))
-        .filter("n > 0")
-    )
+def shingle_sets(texts: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """``_key, _ord, h, n``: sorted distinct 64-bit shingle hashes; rows without shingles are left out."""
+    hashes = F.sort_array(F.array_distinct(window_hashes(tok_alnum(F.col("_text")), n)))
+    return texts.select("_key", "_ord", hashes.alias("h")).withColumn("n", F.size("h")).filter("n > 0")
 
 
-def representatives(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """First row of each identical shingle set, and the map from every row to its first row."""
-    # two independent 64-bit hashes plus the size identify a set
-    signed = sets.select(
-        "_key", "_ord", F.struct("n", F.xxhash64("h").alias("a"), F.xxhash64(F.lit(7), "h").alias("b")).alias("sig")
-    )
+def representatives(signed: DataFrame) -> DataFrame:
+    """``_key, rep``: the first row with the same shingle set, for every row."""
     first = signed.groupBy("sig").agg(F.min(F.struct("_ord", "_key")).alias("m"))
-    member_of = salted_join(signed, first, "sig", F.col("_key")).select("_key", F.col("m._key").alias("rep"))
-    return first.select(F.col("m._key").alias("rep")), member_of
+    return salted_join(signed, first, "sig", F.col("_key")).select("_key", F.col("m._key").alias("rep"))
 
 
 def prefix_index(reps: DataFrame, num: int, den: int) -> DataFrame:
     """One row per (representative, prefix shingle) that some other representative also contains."""
-    tokens = reps.select(F.col("_key").alias("rep"), F.explode("h").alias("tok"))
+    tokens = reps.select(F.col("_key").alias("rep"), "_ord", "n", F.explode("h").alias("tok"))
     df = tokens.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
     # shingles seen once sort first and cannot match, so only their number matters
-    shared = (
-        tokens.join(df, "tok")
-        .groupBy("rep")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("shared"))
+    shared = tokens.join(df, "tok").groupBy("rep").agg(
+        F.first("_ord").alias("_ord"),
+        F.first("n").alias("n"),
+        F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("shared"),
     )
     prefix_len = F.col("n") - F.floor((F.lit(num) * F.col("n") + (den - 1)) / den).cast("int") + 1
     take = prefix_len - (F.col("n") - F.size("shared"))
     return (
-        reps.select(F.col("_key").alias("rep"), "_ord", "n")
-        .join(shared, "rep")
-        .withColumn("_take", take)
+        shared.withColumn("_take", take)
         .filter("_take > 0")
         .select("rep", "_ord", "n", F.explode(F.slice("shared", F.lit(1), F.col("_take"))).alias("s"))
         .select("rep", "_ord", "n", F.col("s.tok").alias("tok"), F.col("s.df").alias("df"))
@@ -88,8 +77,10 @@ def _candidates(index: DataFrame, pivots: DataFrame, num: int, den: int, hot_row
     return left.join(right, ["tok", "_salt"]).filter(close & earlier).select("pivot", "rep").distinct()
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, hot_rows: int) -> DataFrame:
-    """Keep the pairs whose exact similarity reaches the threshold."""
+def _verify(pairs: DataFrame, sets_of, num: int, den: int, hot_rows: int) -> DataFrame:
+    """Keep the pairs whose exact similarity reaches the threshold; only their texts are read again."""
+    named = pairs.select(F.col("pivot").alias("_key")).union(pairs.select("rep")).distinct()
+    sets = cut_lineage(sets_of(named))
     a = sets.select(F.col("_key").alias("rep"), F.col("h").alias("h_r"))
     b = sets.select(F.col("_key").alias("pivot"), F.col("h").alias("h_p"))
     both = salted_join(pairs.join(a, "rep"), b, "pivot", F.col("rep"), hot_rows)
@@ -98,17 +89,6 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, hot_rows: int
     return both.filter(inter * den >= union * num).select("pivot", "rep")
 
 
-def similar_pairs(
-    df: DataFrame, key: str, text: str, threshold: tuple[int, int] = THRESHOLD, n: int = SHINGLE
-) -> DataFrame:
-    """Report of matches: every row with its earliest match among all *earlier* distinct texts.
-
-    One row per matched row, so a cluster of copies stays linear in its size.
-    """
-    kept = near_duplicates(df, key, text, key, threshold, n, with_match=True)
-    return kept.filter("is_duplicate").select(key, "duplicate_of")
-
-
 def near_duplicates(
     df: DataFrame,
     key: str,
@@ -122,10 +102,19 @@ def near_duplicates(
 ) -> DataFrame:
     """``key, is_duplicate`` (and ``duplicate_of``: the first kept row it matches) for every row."""
     num, den = threshold
-    sets = cut_lineage(shingle_sets(df, key, text, order, n))
-    rep_keys, member_of = representatives(sets)
-    reps = sets.join(rep_keys.withColumnRenamed("rep", "_key"), "_key")
-    index = cut_lineage(prefix_index(reps, num, den))
+    texts = df.select(F.col(key).alias("_key"), F.col(order).alias("_ord"), F.col(text).alias("_text"))
+    # shingling is cheaper than storing the sets: only signatures are kept, sets are made where needed
+    signed = cut_lineage(
+        shingle_sets(texts, n).select(
+            "_key", "_ord", F.struct("n", F.xxhash64("h").alias("a"), F.xxhash64(F.lit(7), "h").alias("b")).alias("sig")
+        )
+    )
+    member_of = cut_lineage(representatives(signed))
+    copies = member_of.filter("rep <> _key").select("_key")
+    index = cut_lineage(prefix_index(shingle_sets(texts.join(copies, "_key", "left_anti"), n), num, den))
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        return shingle_sets(texts.join(keys, "_key", "left_semi"), n)
 
     undecided = index
     dropped: DataFrame | None = None
@@ -134,9 +123,8 @@ def near_duplicates(
         by_order = W.partitionBy("tok").orderBy("_ord", "rep")
         # rank <= k keeps a per-task top k before the shuffle, so hot buckets stay small
         lead = cut_lineage(undecided.withColumn("_rk", F.row_number().over(by_order)).filter(F.col("_rk") <= k))
-        pairs = cut_lineage(
-            _verify(_candidates(undecided, lead, num, den, hot_rows), sets, num, den, hot_rows)
-        )
+        met = cut_lineage(_candidates(undecided, lead, num, den, hot_rows))
+        pairs = cut_lineage(_verify(met, sets_of, num, den, hot_rows))
         horizon = lead.filter(F.col("_rk") == k).select("tok", F.struct("_ord", "rep").alias("last"))
         unclear = (
             undecided.join(horizon, "tok").filter(F.struct("_ord", "rep") > F.col("last")).select("rep").distinct()

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 from ..functions.fixed import FUNCTION_WORDS
 from ..functions.text import draw
 from .ranking import rank_by_draw
+from .stylometry import dense
 
 WIDTH = len(FUNCTION_WORDS)
 MIN_CHUNK_WORDS = 1000
@@ -77,23 +78,47 @@ def register_separation(samples: DataFrame, group: str, first: str, second: str,
 def within_band(samples: DataFrame, group: str, key: str, iterations: int = BAND_ITERATIONS, seed: int = 1, profile: DataFrame | None = None) -> DataFrame:
     """``group, documents, iterations, median, low, high, underpowered`` of split-half Deltas.
 
-    Iterations are rows: each splits the group's documents in two random halves by a keyed draw and
-    compares the half means. Half sums combine on the map side, 150 numbers per (iteration, half).
+    Each iteration splits the group's documents in two random halves by a keyed draw and compares
+    the half means. The ranks are narrow rows; the vectors only meet the assignments in Arrow
+    batches, where all half sums of a batch are one matrix product.
     """
     sizes = samples.groupBy(group).agg(F.count("*").alias("documents"))
     enough = sizes.filter(F.col("documents") >= MIN_BAND_DOCS).select(group)
     docs = samples.select(group, key, "freqs").join(enough, group)
-    runs = docs.select(group, key, "freqs", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("it"))
+    runs = docs.select(group, key, F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("it"))
     ranked = rank_by_draw(
         runs.withColumn("_d", draw(seed, "band", F.col("it"), F.col(key))), [group, "it"], "_d", key, buckets=64
     )
-    half = F.when(F.col("rank") <= F.floor(F.col("group_size") / 2), 0).otherwise(1)
-    means = ranked.groupBy(group, "it", half.alias("half")).agg(
-        F.array(*[F.avg(F.get("freqs", F.lit(i))) for i in range(WIDTH)]).alias("v")
-    )
-    halves = means.groupBy(group, "it").agg(
-        F.max_by("v", -F.col("half")).alias("a"), F.max_by("v", F.col("half")).alias("b")
+    in_first = F.col("rank") <= F.floor(F.col("group_size") / 2)
+    # per document, the iterations that put it in the first half
+    sides = ranked.groupBy(group, key).agg(F.collect_list(F.when(in_first, F.col("it"))).alias("first"))
+    kind = samples.schema[group].dataType.simpleString()
+
+    def half_sums(batches):
+        for pdf in batches:
+            for name, part in pdf.groupby(group):
+                f = np.vstack(part["freqs"].to_numpy())
+                member = np.zeros((len(part), iterations))
+                for row, its in enumerate(part["first"]):
+                    member[row, np.asarray(its, dtype=int) - 1] = 1.0
+                sums, rest = member.T @ f, (1 - member).T @ f
+                yield pd.DataFrame(
+                    {
+                        group: name,
+                        "it": np.arange(1, iterations + 1),
+                        "a": list(sums),
+                        "b": list(rest),
+                        "na": member.sum(axis=0).astype(int),
+                        "nb": (1 - member).sum(axis=0).astype(int),
+                    }
+                )
+
+    # one row per (batch, iteration) leaves each task, whatever the number of documents
+    partial = docs.join(sides, [group, key]).select(group, "freqs", "first").mapInPandas(
+        half_sums, f"{group} {kind}, it int, a array<double>, b array<double>, na long, nb long"
     )
+    total = lambda c, n: F.array(*[F.sum(F.get(c, F.lit(i))) / F.sum(n) for i in range(WIDTH)])
+    halves = partial.groupBy(group, "it").agg(total("a", "na").alias("a"), total("b", "nb").alias("b"))
     prof = reference_profile(docs, group) if profile is None else profile
     keys = [group] if profile is None else []
     sds = _sd_array(prof, *keys)
@@ -236,12 +261,13 @@ def aggregate_chunks(
     return docs.join(numbered, [group, order])
 
 
-def chunk_vectors(docs: DataFrame, group: str, chunk: str = "chunk") -> DataFrame:
-    """Function-word shares of whole chunks, from the members' token counts.
+def chunk_vectors(numbered: DataFrame, counts: DataFrame, group: str, key: str, chunk: str = "chunk") -> DataFrame:
+    """``group, chunk, freqs``: function-word shares of whole chunks.
 
-    Counts add up over joined texts, so the texts themselves are never concatenated. Needs
-    ``freqs`` and ``tokens`` per document.
+    Counts add up over joined texts, so the texts themselves are never concatenated. ``numbered``
+    has ``key, group, chunk, tokens``; ``counts`` has ``key, pos, c``.
     """
-    sums = [F.sum(F.get("freqs", F.lit(i)) * F.col("tokens")) for i in range(WIDTH)]
-    total = F.greatest(F.sum("tokens"), F.lit(1))
-    return docs.groupBy(group, chunk).agg(F.array(*[s / total for s in sums]).alias("freqs"), F.sum("tokens").alias("tokens"))
+    places = numbered.select(key, group, chunk)
+    sums = counts.join(places, key).groupBy(group, chunk, "pos").agg(F.sum("c").alias("c"))
+    sizes = numbered.groupBy(group, chunk).agg(F.sum("tokens").alias("tokens"))
+    return dense(sums, sizes, [group, chunk], "tokens")

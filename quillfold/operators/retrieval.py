@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import jaccard, tok_alnum, tok_retrieval, windows
+from ..functions.text import jaccard, tok_alnum, tok_retrieval, window_hashes
 from ..session import cut_lineage, small
 
 # Fixed values
@@ -27,16 +27,25 @@ SYNONYMS = {
 }
 
 
-def _shortlist(queries: DataFrame, pool: DataFrame, size: int) -> DataFrame:
-    """Best ``size`` pool rows per query of the same register, with rank and the number ranked."""
-    q = small(queries.select("query_id", "register", F.array_distinct(tok_retrieval(F.col("seed"))).alias("_q")))
-    # tokenised before the join, so once per pool row; large texts never enter the exchange
-    p = pool.select("doc_id", "register", "word_count", F.array_distinct(tok_retrieval(F.col("text"))).alias("_t"))
-    overlap = F.size(F.array_intersect("_t", "_q"))
-    score = overlap / F.sqrt(F.greatest(F.size("_t"), F.lit(1)).cast("double"))
-    scored = p.join(q, "register").select("query_id", "doc_id", "register", "word_count", score.alias("score"))
+def _token_hashes(text: Column) -> Column:
+    return F.array_distinct(F.transform(tok_retrieval(text), lambda w: F.xxhash64(w)))
+
+
+def _next_best(pool: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """Per query, its best ``size`` admissible pool rows after the place its walk has reached."""
+    score = F.size(F.array_intersect("_t", "_q")) / F.sqrt(F.greatest(F.size("_t"), F.lit(1)).cast("double"))
+    place = F.struct((-F.col("score")).alias("neg"), F.col("doc_id"))
+    ahead = F.col("_at").isNull() | (place > F.col("_at"))
+    fits = F.col("_room").isNull() | (F.col("word_count") <= F.col("_room"))
+    rows = (
+        pool.join(small(wanted), "register")
+        .filter(fits)
+        .withColumn("score", score)
+        .filter(ahead)
+        .select("query_id", "doc_id", "register", "word_count", "score")
+    )
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
 
 
 def exemplars_mmr(
@@ -51,48 +60,49 @@ def exemplars_mmr(
     none too similar to an earlier pick. ``queries`` (query_id, register, seed), ``pool`` (doc_id,
     register, word_count, text).
 
-    The greedy walk follows the ranking, so it only ever looks at a head of it. Each query walks a
-    short list; queries that exhaust theirs with more rows left go again with a longer one, so the
-    result is that of the full ranking. The constraints only tighten, so pass i is: drop what is no
-    longer admissible, take the best of the rest.
+    The constraints only tighten, so every pick lies after the one before it in the ranking. A pass
+    scans the pool once for the next few rows per query that fit the remaining budget, then checks
+    those for similarity. A query whose few all turn out too similar goes on from the last of them.
     """
-    todo, done, size = queries, None, shortlist
-    while True:
-        heads = _shortlist(todo, pool, size)
-        sets = pool.select("doc_id", F.array_distinct(F.transform(windows(tok_alnum(F.col("text")), 5), lambda g: F.xxhash64(g))).alias("_s"))
-        cand = cut_lineage(heads.join(sets, "doc_id"))
-        picks = None
-        for _ in range(n):
-            rest = cand
-            if picks is not None:
-                sofar = picks.groupBy("query_id").agg(
-                    F.sum("word_count").alias("_words"),
-                    F.collect_list("_s").alias("_picked"),
-                    F.max("rank").alias("_last"),
-                )
-                similar = F.exists("_picked", lambda x: jaccard(F.col("_s"), x, both_empty=0.0) > threshold)
-                rest = (
-                    cand.join(sofar, "query_id")
-                    .filter(
-                        (F.col("rank") > F.col("_last")) & (F.col("_words") + F.col("word_count") <= max_words) & ~similar
-                    )
-                    .select(*cand.columns)
-                )
-            best = rest.groupBy("query_id").agg(F.min("rank").alias("rank"))
-            new = rest.join(best, ["query_id", "rank"]).select(*cand.columns)
-            picks = cut_lineage(new if picks is None else picks.unionByName(new))
-        # a full short list that still yielded fewer than n picks may hide more
-        reach = cand.groupBy("query_id").agg(F.count("*").alias("_seen"))
-        got = picks.groupBy("query_id").agg(F.count("*").alias("_got"))
-        short = reach.join(got, "query_id").filter((F.col("_seen") >= size) & (F.col("_got") < n)).select("query_id")
-        short = cut_lineage(short)
-        ready = picks.join(short, "query_id", "left_anti")
-        done = ready if done is None else done.unionByName(ready)
-        if not short.limit(1).count():
-            break
-        todo, size = todo.join(short, "query_id", "left_semi"), size * 8
-    pick_no = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
-    return done.select("query_id", "doc_id", "register", "word_count", F.round("score", 4).alias("score"), pick_no.alias("pick"))
+    hashed = cut_lineage(pool.select("doc_id", "register", "word_count", _token_hashes(F.col("text")).alias("_t")))
+    seeds = cut_lineage(queries.select("query_id", "register", _token_hashes(F.col("seed")).alias("_q")))
+    place = F.struct((-F.col("score")).alias("neg"), F.col("doc_id"))
+
+    def with_sets(rows: DataFrame) -> DataFrame:
+        texts = pool.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+        sets = texts.select("doc_id", F.array_distinct(window_hashes(tok_alnum(F.col("text")), 5)).alias("_s"))
+        return rows.join(sets, "doc_id")
+
+    anywhere = F.lit(None).cast("struct<neg:double,doc_id:" + pool.schema["doc_id"].dataType.simpleString() + ">")
+    start = seeds.withColumn("_at", anywhere).withColumn("_room", F.lit(None).cast("long"))
+    columns = ["query_id", "doc_id", "register", "word_count", "score", "_s"]
+    # the first pick is free of both constraints
+    picks = cut_lineage(with_sets(_next_best(hashed, start, 1)).select(*columns))
+    for _ in range(n - 1):
+        sofar = picks.groupBy("query_id").agg(
+            F.collect_list("_s").alias("_picked"), F.max(place).alias("_at"), (F.lit(max_words) - F.sum("word_count")).alias("_room")
+        )
+        sofar = cut_lineage(sofar)
+        todo = seeds.join(sofar.select("query_id", "_at", "_room"), "query_id").filter("_room > 0")
+        found = None
+        while True:
+            heads = cut_lineage(with_sets(_next_best(hashed, todo, shortlist)))
+            similar = F.exists("_picked", lambda x: jaccard(F.col("_s"), x, both_empty=0.0) > threshold)
+            ok = heads.join(sofar.select("query_id", "_picked"), "query_id").filter(~similar)
+            best = ok.groupBy("query_id").agg(F.min("rank").alias("rank"))
+            new = cut_lineage(heads.join(best, ["query_id", "rank"]).select(*columns))
+            found = new if found is None else found.unionByName(new)
+            tail = heads.groupBy("query_id").agg(F.count("*").alias("_seen"), F.max(place).alias("_to"))
+            stuck = tail.filter(F.col("_seen") >= shortlist).join(new.select("query_id"), "query_id", "left_anti")
+            stuck = cut_lineage(stuck.select("query_id", "_to"))
+            if not stuck.limit(1).count():
+                break
+            todo = todo.join(stuck, "query_id").withColumn("_at", F.col("_to")).drop("_to")
+        picks = picks.unionByName(found)
+    number = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return picks.withColumn("pick", number).select(
+        "query_id", "doc_id", "register", "word_count", F.round("score", 4).alias("score"), "pick"
+    )
 
 
 def idf(tokens: DataFrame, n: Column | int, key: str = "fact_id", token: str = "token") -> DataFrame:

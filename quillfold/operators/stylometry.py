@@ -82,29 +82,36 @@ def sentence_stats(text: Column) -> Column:
     return let(sentences_quote(text), stats)
 
 
-def function_word_freqs(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key, freqs``: share of each function word among all tokens, in list order."""
-    n = len(FUNCTION_WORDS)
+def function_word_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key, pos, c``: occurrences of each function word, positions in list order."""
     index = F.create_map(*[F.lit(x) for i, w in enumerate(FUNCTION_WORDS) for x in (w, i)])
-    tokens = tok_alpha(F.col(text))
-    sized = df.select(key, F.greatest(F.size(tokens), F.lit(1)).alias("_n"))
     # a document's tokens sit in one task, so the partial count leaves at most 150 rows per document
-    counts = (
-        df.select(key, F.explode(tokens).alias("w"))
+    return (
+        df.select(key, F.explode(tok_alpha(F.col(text))).alias("w"))
         .filter(F.col("w").isin(*FUNCTION_WORDS))
         .groupBy(key, "w")
         .agg(F.count("*").alias("c"))
         .select(key, index[F.col("w")].alias("pos"), "c")
     )
-    by_doc = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pos", "c"))).alias("m"))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0)) / F.col("_n")
-    )
-    return sized.join(by_doc, key, "left").select(
-        key, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), n)).otherwise(dense).alias("freqs")
+
+
+def dense(counts: DataFrame, sizes: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Shares of all function words per key from sparse counts; keys without any get zeros."""
+    n = len(FUNCTION_WORDS)
+    maps = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", "c"))).alias("m"))
+    total = F.greatest(F.col(size), F.lit(1))
+    shares = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0)) / total)
+    return sizes.join(maps, keys, "left").select(
+        *keys, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), n)).otherwise(shares).alias("freqs")
     )
 
 
+def function_word_freqs(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key, freqs``: share of each function word among all tokens, in list order."""
+    sizes = df.select(key, F.size(tok_alpha(F.col(text))).alias("_n"))
+    return dense(function_word_counts(df, key, text), sizes, [key], "_n")
+
+
 def style_features(df: DataFrame, key: str, text: str = "text", spelling: DataFrame | None = None) -> DataFrame:
     """One row of scalar features per document.
 

@@ -37,30 +37,39 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Fan a scan out when it has fewer splits than the cluster has slots.
 
     Text work is CPU-bound, so a single small file should not run as one task. Inputs that already
-    arrive in enough splits (any large table) pass through without a shuffle.
+    arrive in enough splits (any large table) pass through untouched. A small one is rewritten in
+    more splits: after a plain ``repartition`` the optimizer would push filters on computed columns
+    back below the exchange, into the few tasks.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= slots:
         return df
-    return df.repartition(slots, *keys) if keys else df.repartition(slots)
+    return cut_lineage(df.repartition(slots, *keys) if keys else df.repartition(slots))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder; survives losing any executor."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quillfold-ckpt-"))
-    return df.checkpoint(eager=True)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="quillfold-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder next to the checkpoints, for tables written by a job."""
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = tempfile.mkdtemp(prefix="quillfold-tables-")
-    return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+    """A fresh folder for a table written by a job, next to the checkpoints."""
+    return f"{shared_folder(spark)}/{name}-{os.urandom(8).hex()}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows as a table in the shared folder and go on from there.
+
+    Any executor may be lost afterwards without recomputing what led here, and later steps read
+    only the columns they use. Iterations restart their plan from it.
+    """
+    path = scratch_dir(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
