@@ -257,11 +257,14 @@ def select_top(ranked: DataFrame, top: int, key: str = "listing_id", head: int |
 
 def _greedy_names(rows: DataFrame, key: str) -> DataFrame:
     """Rows of a bounded head that no earlier kept row duplicates by name."""
-    # the shorter prefix occurs whole inside the longer name, so they share every letter triple of it
+    # a prefix that occurs in another name brings its own first letters (up to three) along
     short = F.least(F.length("norm_name"), F.lit(3))
-    pieces = F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length("norm_name") - 2, F.lit(1))), lambda i: F.substring("norm_name", i, F.lit(3)))
-    )
+
+    def windows(size: int):
+        at = F.sequence(F.lit(1), F.greatest(F.length("norm_name") - (size - 1), F.lit(1)))
+        return F.transform(at, lambda i: F.substring("norm_name", i, F.lit(size)))
+
+    pieces = F.array_distinct(F.concat(windows(1), windows(2), windows(3)))
     start = F.substring("norm_name", F.lit(1), short)
     a = rows.select(F.col("ev_rank").alias("a_rank"), F.col("norm_name").alias("a_name"), start.alias("b"))
     b = rows.select(F.col("ev_rank").alias("b_rank"), F.col("norm_name").alias("b_name"), F.explode(pieces).alias("b"))

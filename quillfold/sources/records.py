@@ -43,8 +43,7 @@ def read_turns(spark: SparkSession, folder: str) -> DataFrame:
         .text(folder, wholetext=True)
         .withColumn("path", F.col("_metadata.file_path"))
     )
-    root = F.lit(folder.rstrip("/") + "/")
-    rel = F.substring_index("path", root, -1)
+    rel = F.substring_index("path", folder.rstrip("/") + "/", -1)
     lines = files.select(rel.alias("rel"), F.posexplode(F.split("value", "\n")).alias("i", "raw")).filter(
         F.length(F.trim("raw")) > 0
     )
