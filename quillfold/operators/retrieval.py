@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import jaccard, tok_alnum, tok_retrieval, window_hashes
-from ..session import cut_lineage, small
+from ..session import beside, cut_lineage, small
 
 # Fixed values
 MMR_THRESHOLD = 0.3
@@ -136,12 +136,8 @@ def retrieve_facts(
     """
     tokens = facts.select("fact_id", F.explode(F.array_distinct(tok_retrieval(F.col("text")))).alias("token"))
     total = facts.agg(F.count("*").alias("_n"))
-    weights = (
-        tokens.groupBy("token")
-        .agg(F.count("*").alias("df"))
-        .crossJoin(F.broadcast(total))  # one-row total
-        .select("token", F.log((F.col("_n") + 1) / (F.col("df") + 0.5)).alias("w"))
-    )
+    df = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    weights = beside(df, total).select("token", F.log((F.col("_n") + 1) / (F.col("df") + 0.5)).alias("w"))
     wanted = small(queries.select("query_id", F.explode(expand_query(F.array_distinct(tok_retrieval(F.col("prompt"))))).alias("token")))
     # the query side is small and goes to the facts; its partial sums leave one row per (query, fact)
     raw = tokens.join(wanted, "token").join(weights, "token").groupBy("query_id", "fact_id").agg(F.sum("w").alias("s"))

@@ -77,6 +77,12 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def beside(df: DataFrame, single: DataFrame) -> DataFrame:
+    """``df`` with the columns of a one-row aggregate next to every row."""
+    key = F.lit(1)
+    return df.withColumn("_one", key).join(F.broadcast(single.withColumn("_one", key)), "_one").drop("_one")
+
+
 def salted_join(
     big: DataFrame, other: DataFrame, on: str, spread_by: Column, hot_rows: int | None = None
 ) -> DataFrame:

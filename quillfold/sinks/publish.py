@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import beside
+
 # Fixed values
 PARTIAL_BELOW = 0.7
 PUBLISH_BELOW = 0.9
@@ -37,14 +39,14 @@ def merge_or_replace(
     existing: DataFrame, fresh: DataFrame, key: str, interrupted: bool = False, shortfall: bool = False
 ) -> DataFrame:
     """Fresh rows alone after a complete pass, otherwise the upsert. The verdict is part of the plan."""
-    counts = existing.agg(F.count("*").alias("_existing")).crossJoin(fresh.agg(F.count("*").alias("_fresh")))
+    counts = beside(existing.agg(F.count("*").alias("_existing")), fresh.agg(F.count("*").alias("_fresh")))
     verdict = counts.select(
         cache_verdict(F.lit(interrupted), F.lit(shortfall), F.col("_existing"), F.col("_fresh")).alias("partial_reason")
     )
     new = fresh.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").dropDuplicates([key])
     merged = merge_harvest(existing, fresh, key).join(new.select(key, F.lit(True).alias("_new")), key, "left")
     return (
-        merged.crossJoin(F.broadcast(verdict))  # one-row verdict
+        beside(merged, verdict)
         .filter(F.col("_new") | F.col("partial_reason").isNotNull())
         .drop("_new")
     )
@@ -66,8 +68,6 @@ def publish_verdict(blocked: Column, fresh: Column, existing: Column) -> tuple[C
 def publish_guard(source_status: DataFrame, fresh: DataFrame, existing: DataFrame) -> DataFrame:
     """One row ``blocked, fresh, existing, publish, reason`` for the caller to act on."""
     blocked = source_status.agg(F.count_if(F.col("status").isin("blocked", "error")).alias("blocked"))
-    one = (
-        blocked.crossJoin(fresh.agg(F.count("*").alias("fresh"))).crossJoin(existing.agg(F.count("*").alias("existing")))
-    )
+    one = beside(beside(blocked, fresh.agg(F.count("*").alias("fresh"))), existing.agg(F.count("*").alias("existing")))
     publish, reason = publish_verdict(F.col("blocked"), F.col("fresh"), F.col("existing"))
     return one.select("*", publish.alias("publish"), reason.alias("reason"))
