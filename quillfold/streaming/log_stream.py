@@ -59,7 +59,10 @@ def _changelog(spark: SparkSession, updates: DataFrame, key: str, name: str) ->
 
     run_to_end(updates, "update", write, checkpoint)
     fields = [c for c in updates.columns if c != key]
-    log = spark.read.schema(updates.withColumn("_batch", F.lit(0)).schema).parquet(out)
+    schema = updates.withColumn("_batch", F.lit(0)).schema
+    # an empty first folder, so that a stream without input reads as no rows
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
+    log = spark.read.schema(schema).parquet(out)
     newest = log.groupBy(key).agg(F.max_by(F.struct(*fields), "_batch").alias("r"))
     return newest.select(key, "r.*")
 
@@ -120,4 +123,5 @@ def collect_stream(stream: DataFrame, name: str) -> DataFrame:
     spark = stream.sparkSession
     out, checkpoint = scratch_dir(spark, name), scratch_dir(spark, f"{name}-progress")
     run_to_end(stream, "append", lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}"), checkpoint)
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
     return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
