@@ -75,12 +75,18 @@ class Words:
         values *= _power("up", len(values))
         totals = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values, out=totals[1:])
-        value = (totals[self.end] - totals[self.start]) * _power("down", len(values))[self.start]
-        self.hash = mix(value ^ ((self.end - self.start).astype(np.uint64) << np.uint64(56)))
+        self._totals = totals
+        self.hash = self.prefix_hash()
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         self.offset = np.concatenate([[1], 1 + np.cumsum(sizes + 1)])
         self.first = np.searchsorted(self.start, self.offset)
 
+    def prefix_hash(self, size: int | None = None) -> np.ndarray:
+        """Hashes of the words, or of their first `size` bytes."""
+        end = self.end if size is None else np.minimum(self.end, self.start + size)
+        value = (self._totals[end] - self._totals[self.start]) * _power("down", len(self._totals))[self.start]
+        return mix(value ^ ((end - self.start).astype(np.uint64) << np.uint64(56)))
+
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
