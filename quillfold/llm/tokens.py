@@ -14,9 +14,9 @@ from itertools import repeat
 import numpy as np
 
 #: Pieces a worker remembers, and the longest remembered. Others are encoded again.
-PIECES = 400_000
+PIECES = 1_000_000
 PIECE_CHARS = 48
-_UNSAFE = re.compile(r"\0|\s[ \n]|[ \n]\s")
+_RARE = re.compile(r"[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _loaded: dict[str, Encoder] = {}
 
@@ -36,6 +36,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.between = self._separator()
+        self.tails = {x: self.tokenizer.encode(x, add_special_tokens=False).ids[0] for x in ",."}
         self._forget()
 
     def _forget(self) -> None:
@@ -43,25 +45,68 @@ class Encoder:
         self.begin, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.count, self.used, self.flat = 1, 0, np.zeros(4096, np.uint32)
 
+    def _separator(self) -> tuple[str, int] | None:
+        """A string that may stand between pieces without changing their ids, and its own id; None if there is none."""
+        probes = [" the", "the", "The,", " a", ".", " ", "\n", "###", " 12", "é", "\nIt's", " x!?", "'"]
+        apart = [x.ids for x in self.tokenizer.encode_batch_fast(probes, add_special_tokens=False)]
+        for between in ("\0", " \0 "):
+            own = self.tokenizer.encode_batch_fast([between.strip()], add_special_tokens=False)[0].ids
+            joined = self.tokenizer.encode_batch_fast([between.join(probes)], add_special_tokens=False)[0].ids
+            if len(own) == 1 and joined == [k for ids in apart for k in [*own, *ids]][1:]:
+                return between, own[0]
+        return None
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces one after another, and how many each has."""
+        if self.between is None or any("\0" in x for x in pieces):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter((k for ids in found for k in ids), np.uint32, int(sizes.sum())), sizes
+        text, mark = self.between
+        ids = np.array(self.tokenizer.encode_batch_fast([text.join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        marks = np.concatenate([[-1], np.flatnonzero(ids == mark), [len(ids)]])
+        return ids[ids != mark], np.diff(marks) - 1
+
     def _learn(self, pieces: list[str]) -> None:
-        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            ids = found.ids
-            if self.count == len(self.begin):
-                self.begin, self.size = np.resize(self.begin, 2 * self.count), np.resize(self.size, 2 * self.count)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.begin[self.count], self.size[self.count] = self.used, len(ids)
-            self.known[piece] = self.count
-            self.count += 1
-            self.used += len(ids)
+        """New pieces, each once. A comma or full stop after a letter or digit is a token of its own."""
+        known, tailed, plain = self.known, [], []
+        for piece in pieces:
+            (tailed if len(piece) > 2 and piece[-1] in ",." and piece[-2].isalnum() else plain).append(piece)
+        fresh = set(plain)
+        stems = [x for x in dict.fromkeys(x[:-1] for x in tailed) if x not in known and x not in fresh]
+        if plain or stems:
+            self._store(plain + stems, *self._encoded(plain + stems))
+        if tailed:
+            at = np.fromiter((known[x[:-1]] for x in tailed), np.int64, len(tailed))
+            tail = np.fromiter((self.tails[x[-1]] for x in tailed), np.uint32, len(tailed))
+            ids, sizes = self._gather(at)
+            self._store(tailed, np.insert(ids, np.cumsum(sizes), tail), sizes + 1)
+
+    def _store(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        new, used = self.count + len(pieces), self.used + len(ids)
+        if new > len(self.begin):
+            self.begin, self.size = np.resize(self.begin, 2 * new), np.resize(self.size, 2 * new)
+        if used > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * used)
+        self.flat[self.used : used] = ids
+        self.size[self.count : new] = sizes
+        self.begin[self.count : new] = self.used + np.cumsum(sizes) - sizes
+        self.known.update(zip(pieces, range(self.count, new), strict=True))
+        self.count, self.used = new, used
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.size[at]
+        total = np.cumsum(sizes)
+        shift = np.repeat(self.begin[at] - total + sizes, sizes)
+        shift += np.arange(len(shift))
+        return self.flat[shift], sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (unsigned 32-bit) and the number of ids of each text."""
         pieces: list[str] = []
         ends = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
-            if _UNSAFE.search(text):
+            if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _RARE.search(text):
                 pieces += _CUT.split(text)
             else:
                 pieces += text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
@@ -72,9 +117,9 @@ class Encoder:
         missing = np.flatnonzero(at < 0).tolist()
         self._learn(list(dict.fromkeys(pieces[k] for k in missing)))
         at[missing] = [self.known[pieces[k]] for k in missing]
-        sizes = self.size[at]
+        ids, sizes = self._gather(at)
         total = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.begin[at] - total[:-1], sizes) + np.arange(total[-1])]
         for piece in {pieces[k] for k in missing if len(pieces[k]) > PIECE_CHARS}:
-            del self.known[piece]
+            self.known.pop(piece, None)
+            self.known.pop(piece[:-1], None)
         return ids, np.diff(np.concatenate([[0], total[ends]]))
