@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, hosts, licenses, packing, quality, secrets, topk, toxicity
+from . import binary, hosts, licenses, neardup, packing, quality, secrets, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.detect(table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_top_products": op2_top_products,
     "op3_toxicity": op3_toxicity,
     "op4_licenses": op4_licenses,
+    "op5_near_duplicates": op5_near_duplicates,
     "op7_packing": op7_packing,
     "op8_token_files": op8_token_files,
     "op9_url_verdicts": op9_url_verdicts,
