@@ -2,7 +2,8 @@
 
 Both public vocabularies used here split a text before a single blank or line break that stands between two characters
 that are not white space, whatever stands further away. So a text is cut there, and the ids of the pieces joined are
-the ids of the text. Most pieces are words met before.
+the ids of the text. Most pieces are words met before. A vocabulary that lower-cases and drops white space gives a word
+the same ids in any case and place, so there the pieces of ordinary Latin texts are lower-cased words.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ PIECES = 1_000_000
 PIECE_CHARS = 48
 _RARE = re.compile(r"[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Characters that lower-casing maps one to one and that normal form C leaves alone.
+_PLAIN = re.compile(r"[\0-\x7f\xa1-\u012f\u0131-\u0148\u014a-\u017e]*")
 _loaded: dict[str, Encoder] = {}
 
 
@@ -37,6 +40,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.between = self._separator()
+        folded = [x.ids for x in self.tokenizer.encode_batch_fast(["the", "The", " The", "\nTHE"], add_special_tokens=False)]
+        self.folds = folded == folded[:1] * 4
         self.tails = {x: self.tokenizer.encode(x, add_special_tokens=False).ids[0] for x in ",."}
         self._forget()
 
@@ -106,7 +111,9 @@ class Encoder:
         pieces: list[str] = []
         ends = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
-            if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _RARE.search(text):
+            if self.folds and "\0" not in text and _PLAIN.fullmatch(text):
+                pieces += text.lower().replace("\n", " ").split(" ")
+            elif "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _RARE.search(text):
                 pieces += _CUT.split(text)
             else:
                 pieces += text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
