@@ -60,14 +60,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a list of texts: lower-cased runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`.
 
+    With `fold`, letters beyond ASCII are lower-cased too (but for texts where that would move later bytes).
+
     Per word: 64-bit hash, start and end byte in `raw` (the texts as given, joined). Per text: range of its words in
     `first` (one entry more than texts).
     """
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], fold: bool = False):
         encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
         self.raw = b"\n" + b"\n".join(encoded) + b"\n"
-        lowered = np.frombuffer(self.raw.lower(), np.uint8)
+        low = self.raw.lower()
+        if fold and len(low) > sum(map(len, texts)) + len(texts) + 1:  # not ASCII alone
+            folded = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+            low = b"\n".join([b"", *(b if len(b) == len(a) else a.lower() for a, b in zip(encoded, folded, strict=True)), b""])
+        lowered = np.frombuffer(low, np.uint8)
         inside = _WORD[lowered]
         edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         self.start, self.end = edges[0::2], edges[1::2]

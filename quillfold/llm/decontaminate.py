@@ -48,7 +48,7 @@ class Template:
     stood there) and `first` (where each text's begin, one entry more)."""
 
     def __init__(self, texts: list[str]):
-        words = Words(texts)
+        words = Words(texts, fold=True)
         raw = np.frombuffer(words.raw, np.uint8)
         start, end = words.start, words.end
         digit = (raw >= 0x30) & (raw <= 0x39)
@@ -58,14 +58,19 @@ class Template:
             _unit_hashes.append(np.sort(np.array([hash_of(u) for u in UNITS], np.uint64)))
         units = _unit_hashes[0]
         unit = units[np.minimum(np.searchsorted(units, words.hash), len(units) - 1)] == words.hash
-        lead, second = raw[start], raw[np.minimum(start + 1, len(raw) - 1)]
-        upper = ((lead >= 0x41) & (lead <= 0x5A)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
+        lead, last = raw[start], len(raw) - 1
+        next_at = np.minimum(start + 1 + (lead == 0xC3), last)  # its second character
+
+        def capital(at):
+            one, two = raw[at], raw[np.minimum(at + 1, last)]
+            return ((one >= 0x41) & (one <= 0x5A)) | ((one == 0xC3) & (two >= 0x80) & (two <= 0x9E) & (two != 0x97))
+
         blank = (raw == 0x20) | (raw == 0x09) | (raw == 0x22) | (raw == 0x27) | (raw == 0x28)
         seen = np.maximum.accumulate(np.where(blank, 0, np.arange(len(raw), dtype=np.int32)))
         before = raw[seen[start - 1]]
         opens = np.isin(before, np.frombuffer(b".!?:;\n", np.uint8))
-        shouted = (second >= 0x41) & (second <= 0x5A)  # a word in capitals is no name but a word like any other
-        name = upper & ~shouted & ~opens & (end - start > 1) & ~number
+        # a word in capitals is no name but a word like any other
+        name = capital(start) & ~capital(next_at) & ~opens & (next_at < end) & ~number
         # a number goes on after a point or comma: 3.14 and 1,000 are one number
         joint = np.zeros(len(start), bool)
         if len(start) > 1:

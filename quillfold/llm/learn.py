@@ -73,7 +73,7 @@ def with_terms(docs: DataFrame, extra: str = "") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_text_size(batches):
-            words = Words(texts_of(batch))
+            words = Words(texts_of(batch), fold=True)
             both = np.unique(np.concatenate([row * TERMS + term for row, term in term_numbers(words)]))
             ends = np.searchsorted(both, np.arange(batch.num_rows + 1) * TERMS)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((both % TERMS).astype(np.int32)))

@@ -123,7 +123,7 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 def shingle_sets(texts: list[str], size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed runs of `size` words of each text, ascending, and where each text's begin."""
-    every, first = shingles(Words(texts), size)
+    every, first = shingles(Words(texts, fold=True), size)
     sets = [np.unique(every[a:b]) for a, b in zip(first, first[1:], strict=False)]
     return np.concatenate([np.zeros(0, np.uint64), *sets]), np.concatenate([[0], np.cumsum([len(s) for s in sets], dtype=np.int64)])
 

@@ -102,7 +102,7 @@ class Views:
         self.calibrated = {"text": np.array([1.0, 0.0]), "page": np.array([1.0, 0.0]), "both": np.array([0.5, 0.5, 0.0])}
 
     def raw(self, texts: list[str], fields: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
-        words = Words(texts)
+        words = Words(texts, fold=True)
         t, p = text_view(words, places(self.terms), len(self.terms)), page_view(words, fields)
         return t @ self.text[:-1] + self.text[-1], p @ self.page[:-1] + self.page[-1]
 
@@ -154,7 +154,7 @@ def _drawn(docs: DataFrame, extra: DataFrame, terms: list[int]) -> pd.DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = places(terms)
         for batch in by_text_size(batches):
-            words = Words(texts_of(batch))
+            words = Words(texts_of(batch), fold=True)
             fields = {c: batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")}
             t, p = text_view(words, place, len(terms)), page_view(words, fields)
             yield pa.RecordBatch.from_arrays(

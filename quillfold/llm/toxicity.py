@@ -93,7 +93,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, samp
         machine.values = values
         place = places(terms)
         for batch in by_text_size(batches):
-            row, at = chosen_terms(Words(texts_of(batch)), place, max(1, len(terms)))
+            row, at = chosen_terms(Words(texts_of(batch), fold=True), place, max(1, len(terms)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sigmoid(machine.raw(row, at, batch.num_rows)))], ["doc_id", "score"]
             )
@@ -117,7 +117,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
         machine.values = values
         place = places(terms)
         for batch in by_text_size(batches):
-            row, at = chosen_terms(Words(texts_of(batch)), place, max(1, len(terms)))
+            row, at = chosen_terms(Words(texts_of(batch), fold=True), place, max(1, len(terms)))
             kept = sigmoid(machine.raw(row, at, batch.num_rows)) < threshold
             yield batch.filter(pa.array(kept))
 
