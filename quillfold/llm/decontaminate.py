@@ -238,7 +238,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set("item_id")).alias("items"), F.max("covered").alias("covered"), F.max("verbatim").alias("verbatim")
     )
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"))
-    return keyed.join(told, "text_key").select("doc_id", "items", "covered", "verbatim")
+    return keyed.join(saved(told), "text_key").select("doc_id", "items", "covered", "verbatim")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

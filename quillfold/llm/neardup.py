@@ -258,7 +258,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     named = nodes.select("text_key", "node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     leaders = named.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("lead"))
     told = named.join(leaders, "label").select("text_key", F.col("lead.rep").alias("class_id"), (F.col("lead.node") == F.col("node")).alias("leads"), "label")
-    return signed.select("text_key", "doc_id").join(told, "text_key").withColumn(
+    return signed.select("text_key", "doc_id").join(saved(told), "text_key").withColumn(
         "first", F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))
     )
 
