@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from .batches import Words, by_text_size, mix, texts_of
 from .store import saved
 
-#: Number of hashed terms. A term is a word, or the first 4 or 5 bytes of a longer word.
+#: Number of hashed terms. A term is a word, or the first 4 to 7 bytes of a longer word.
 TERMS = 1 << 18
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6, 7)
+#: Chi-square from which on a term is taken to tell something: one in a thousand terms without meaning reaches it.
+ABOVE_CHANCE = 10.83
 
 
 def held_out(doc_id: Column) -> Column:
@@ -84,27 +86,21 @@ def with_terms(docs: DataFrame, extra: str = "") -> DataFrame:
 
 
 def telling_terms(sample: DataFrame, number: int) -> list[int]:
-    """The terms with the largest weighted chi-square statistic against y among `sample` (y, weight, terms)."""
-    total = sample.groupBy().agg(
-        F.sum(F.when(F.col("y") == 1, F.col("weight"))).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("weight"))).alias("neg")
-    ).first()
-    pos, neg = float(total["pos"] or 0), float(total["neg"] or 0)
+    """The terms with the largest chi-square statistic against y among `sample` (y, terms), if it is above chance."""
+    seen = {r["y"]: float(r["count"]) for r in sample.groupBy("y").count().collect()}
+    pos, neg = seen.get(1, 0.0), seen.get(0, 0.0)
     if not pos or not neg:
         return []
-    a, b = F.col("a"), F.col("b")
-    n, both = pos + neg, a + b
-    chi = n * (a * (neg - b) - b * (pos - a)) ** 2 / (both * (n - both + 1.0) * pos * neg)
+    a, b = F.col("a"), F.col("n") - F.col("a")
+    chi = (pos + neg) * (a * (neg - b) - b * (pos - a)) ** 2 / (F.col("n") * (pos + neg - F.col("n") + 1.0) * pos * neg)
     counted = (
-        sample.select("y", "weight", F.explode("terms").alias("term"))
+        sample.select("y", F.explode("terms").alias("term"))
         .groupBy("term")
-        .agg(
-            F.sum(F.when(F.col("y") == 1, F.col("weight")).otherwise(0.0)).alias("a"),
-            F.sum(F.when(F.col("y") == 0, F.col("weight")).otherwise(0.0)).alias("b"),
-            F.count("*").alias("n"),
-        )
-        .filter("n >= 3")
+        .agg(F.sum("y").cast("double").alias("a"), F.count("*").cast("double").alias("n"))
+        .withColumn("chi", chi)
+        .filter((F.col("n") >= 3) & (F.col("chi") >= ABOVE_CHANCE))
     )
-    return [r["term"] for r in counted.orderBy(chi.desc(), "term").limit(number).select("term").collect()]
+    return [r["term"] for r in counted.orderBy(F.desc("chi"), "term").limit(number).select("term").collect()]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
