@@ -69,8 +69,8 @@ class Template:
         seen = np.maximum.accumulate(np.where(blank, 0, np.arange(len(raw), dtype=np.int32)))
         before = raw[seen[start - 1]]
         opens = np.isin(before, np.frombuffer(b".!?:;\n", np.uint8))
-        # a word in capitals is no name but a word like any other
-        name = capital(start) & ~capital(next_at) & ~opens & (next_at < end) & ~number
+        # a word in capitals, or a capital before a digit, is no name but a word like any other
+        name = capital(start) & ~capital(next_at) & ~digit[next_at] & ~opens & (next_at < end) & ~number
         # a number goes on after a point or comma: 3.14 and 1,000 are one number
         joint = np.zeros(len(start), bool)
         if len(start) > 1:

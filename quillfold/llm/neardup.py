@@ -31,7 +31,7 @@ COORDINATES = BANDS * BAND
 #: Texts whose darts are thrown at a time.
 TEXTS = 1000
 #: First nodes of a bucket that meet all others in a later round; nodes from which on a bucket is divided by other bands.
-PIVOTS, LARGE = 4, 48
+PIVOTS, LARGE = 16, 32
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = float(1 << 32)

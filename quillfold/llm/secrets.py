@@ -133,6 +133,7 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     base = lambda s: s["kind"] < len(BASE)
     count = lambda k: F.size(F.filter("items", lambda s: s["kind"] == k)).cast("long")
+    # written, so that the join below starts from two fresh exchanges and Spark can split a text with very many copies
     results = listed.select(
         "text_key",
         *[count(k).alias(f"n_{kind}") for k, (kind, *_) in enumerate(BASE)],
@@ -141,7 +142,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.size(F.filter("items", lambda s: ~base(s))).cast("long").alias("n_linked"),
     )
     keyed = docs.select("doc_id", text_key(F.col("text").cast("string")))
-    return keyed.join(results, "text_key", "left").select(
+    return keyed.join(saved(results), "text_key", "left").select(
         "doc_id",
         *[F.coalesce(f"n_{kind}", F.lit(0).cast("long")).alias(f"n_{kind}") for kind, *_ in BASE],
         F.coalesce("base_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("base_sha256"),
@@ -175,4 +176,4 @@ def redact(docs: DataFrame) -> DataFrame:
     )
     keyed = docs.withColumn("__text_key", text_key(F.col("text").cast("string")))
     changed = F.when(F.col("__cuts").isNotNull(), F.array_join(kept, PLACEHOLDER)).otherwise(F.col("text"))
-    return keyed.join(merged, "__text_key", "left").withColumn("text", changed).select(*docs.columns)
+    return keyed.join(saved(merged), "__text_key", "left").withColumn("text", changed).select(*docs.columns)

@@ -166,10 +166,12 @@ def top_products(vectors: DataFrame, query_every: int = 100, k: int = 10) -> Dat
     )  # one row per block
     side = lambda df, s: df.select(*[F.col(c).alias(f"{s}_{c}") for c in df.columns])
     v = side(blocks.join(numbered.drop("longest"), ["part", "number"]), "v").withColumnRenamed("v_v_block", "v_block")
-    q = side(queries, "q")
 
-    first = q.withColumn("v_block", F.lit(0)).join(v, "v_block").mapInArrow(_products(k), _FOUND)
-    first = saved(first)
+    # the longest vectors go to every block of queries, a copy each
+    nth = queries.select("part", "number").withColumn("nth", F.row_number().over(Window.orderBy("part", "number")) - 1)  # one row per block
+    asking = queries.join(nth, ["part", "number"])
+    longest = v.filter("v_block = 0").withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(max(0, queries.count() - 1)))))
+    first = saved(side(asking, "q").join(longest, F.col("q_nth") == F.col("nth")).mapInArrow(_products(k), _FOUND))
     kth = (
         first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"))))
         .filter(F.col("rank") == k)
