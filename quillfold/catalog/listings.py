@@ -18,7 +18,33 @@ def TODAY():
     return F.lit("2026-06-01").cast("date")
 
 
-PROFILE = eligibility.Profile(state_names=("texas",), institutions=("lakeside college", "lakeside"))
+PROFILE = eligibility.Profile(
+    state_names=("texas",),
+    institutions=("lakeside college", "lakeside"),
+    allowed_fields=("robotics", "computer science", "biology", "engineering", "stem"),
+    disallowed_fields=("nursing", "law", "music", "architecture"),
+)
+IDEA_RULES = (
+    ("adversity", ("athletic",), ("final", "lost")),
+    ("career-goals", ("academic", "future"), ("research", "degree")),
+    ("community-service", ("personal",), ("volunteer", "church")),
+    ("leadership", ("professional", "personal"), ("founded",)),
+    ("personal-statement", ("personal", "academic"), ("family", "moved")),
+)
+# A form's own refusals, declined answers and paths.
+FORM_RULES = labels.LabelRules(
+    block=((r"\bssn\b", "government number"), (r"\bpassword\b", "password")),
+    decline=((r"\bgender\b", "not told"), (r"\bfirst[- ]generation\b", "not verified")),
+    paths=(
+        (r"\be-?mail\b", "mail", 0.99),
+        (r"\b(first name|first)\b", "given", 0.97),
+        (r"\bname\b", "whole", 0.7),
+        (r"\bzip\b", "zip", 0.99),
+        (r"\bcity\b", "town", 0.93),
+        (r"\bhigh school\b", "school", 0.97),
+        (r"\bstatus\b", "level", 0.55),
+    ),
+)
 
 
 def _li(spark, sf_dir):
@@ -482,7 +508,7 @@ _TIMELINE = (
 
 def q_ideas_for(spark, sf_dir):
     ev = read_table(spark, sf_dir, "orders").selectExpr(*_TIMELINE)
-    return topics.ideas_for(ev).select("archetype", "event_id", "score", "pick")
+    return topics.ideas_for(ev, IDEA_RULES).select("archetype", "event_id", "score", "pick")
 
 
 def q_brain_dump(spark, sf_dir):
@@ -619,7 +645,7 @@ def q_map_labels(spark, sf_dir):
         "CASE c_custkey % 3 WHEN 0 THEN 1.0D ELSE 0.9D END AS label_tier",
         "CASE c_custkey % 5 WHEN 0 THEN 0.8D ELSE 1.0D END AS freshness",
     )
-    return labels.map_labels(c).select("c_custkey", "kind", "path", "score", "band", "competing")
+    return labels.map_labels(c, FORM_RULES).select("c_custkey", "kind", "path", "score", "band", "competing")
 
 
 C = F.col

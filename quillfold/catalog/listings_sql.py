@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..operators import topics
 from .listing_inputs import CTE, SHARED_NAME, URL, case_of
 from .listings import (
+    IDEA_RULES,
     _CACHE,
     _CACHED_AT,
     _DEADLINE_TEXT,
@@ -114,7 +115,7 @@ bu AS (SELECT source, effort, count(*) FILTER (o_orderstatus = 'F') AS wins, cou
 DETAILS = f"de AS (SELECT concat('g-', CAST(floor(p_partkey / 3) AS BIGINT)) AS slug, '$' || (p_partkey + 100) AS amt, {case_of(0)} AS txt, {EXPECT['decision']} AS decision FROM part WHERE p_partkey % 6 = 0)"
 LIBRARY = "lb AS (SELECT 'piece-' || doc_id AS slug, CASE doc_id % 5 WHEN 0 THEN 'leadership' WHEN 1 THEN 'need' WHEN 2 THEN 'service' WHEN 3 THEN 'stem' ELSE 'stem' END AS angle, len(regexp_extract_all(regexp_replace('# A *title*' || chr(10) || text, '[#*_>`\\-]', ' ', 'g'), '\\S+'))::BIGINT AS words FROM documents JOIN labels USING (doc_id))"
 ANGLES = "ak AS (" + " UNION ALL ".join(
-    f"SELECT {i} AS ord, '{a}' AS angle, unnest({list(dict.fromkeys(kw.split()))!r}) AS kw" for i, (a, kw) in enumerate(topics.ANGLES.items())
+    f"SELECT {i} AS ord, '{a}' AS angle, unnest({list(kw)!r}) AS kw" for i, (a, kw) in enumerate(topics.ANGLES.items())
 ) + ")"
 
 
@@ -130,9 +131,12 @@ mx AS (SELECT mu.id, mu.prompt, mu.lim, CASE WHEN md.id IS NULL THEN 'needs_new_
   FROM mu LEFT JOIN md ON md.id = mu.id AND md.k = 1)"""
 
 
-CUES = "cu AS (" + " UNION ALL ".join(
-    f"SELECT {i} AS ord, '{n}' AS arch, {'NULL' if a is None else repr(a)} AS angle, unnest({list(c)!r}) AS cue" for i, (n, a, c) in enumerate(topics.ARCHETYPES)
-) + ")"
+def cues_sql(table: tuple) -> str:
+    rows = (f"SELECT {i} AS ord, '{n}' AS arch, {'NULL::VARCHAR' if a is None else repr(a)} AS angle, unnest({list(c)!r}) AS cue" for i, (n, a, c) in enumerate(table))
+    return "cu AS (" + " UNION ALL ".join(rows) + ")"
+
+
+CUES, QUEUE_CUES = cues_sql(topics.TOPIC_CUES), cues_sql(topics.QUEUE_CUES)
 
 
 def topic_sql(source: str, text: str, angle: str) -> str:
@@ -310,7 +314,7 @@ SELECT source, CASE WHEN st <> 'ok' THEN st WHEN coalesce(n, 0) > 0 THEN 'ok' EL
         "SELECT ord::INTEGER AS ord, arch AS archetype, written_slug, coalesce(need_new, 0) AS need_new, coalesce(reusable, 0) AS reusable FROM dm LEFT JOIN wa USING (arch)",
     ),
     "brain_dump": w(
-        f"""{CTE}, {CUES}, s0 AS (SELECT listing_id AS id, name || ' ' || description AS d, deadline FROM li WHERE listing_id % 6 <> 0 AND NOT {NO_ESSAY.replace('{0}', "name || ' ' || description")}), {topic_sql('s0', 'd', 'NULL')},
+        f"""{CTE}, {QUEUE_CUES}, s0 AS (SELECT listing_id AS id, name || ' ' || description AS d, deadline FROM li WHERE listing_id % 6 <> 0 AND NOT {NO_ESSAY.replace('{0}', "name || ' ' || description")}), {topic_sql('s0', 'd', 'NULL')},
 dy AS (SELECT *, CASE WHEN regexp_matches(deadline, '^[A-Za-z]+$') AND deadline <> 'rolling' THEN {mk("'2026'", month_no('deadline'), "'1'")} ELSE {parse_deadline('deadline')} END AS dd FROM tt),
 dz AS (SELECT *, date_diff('day', {TODAY}, CASE WHEN regexp_matches(deadline, '^[A-Za-z]+$') AND dd < {TODAY} THEN (dd + INTERVAL 1 YEAR)::DATE ELSE dd END) AS days FROM dy)""",
         f'SELECT id AS listing_id, CASE WHEN days IS NULL THEN 1 WHEN days >= 0 THEN 0 ELSE 2 END AS "group", days::INTEGER AS days_left, {limit_of("d")} AS word_limit, archetype FROM dz',
@@ -331,8 +335,8 @@ SELECT school, period, sum(cost) AS cost, sum(aid) AS aid, sum(least(cost, aid))
     "parse_detail_pages": """WITH d AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Be a "student"' ELSE 'US resident' END AS requirements, trim(repeat('about the award & more ', 4)) AS about, CASE WHEN page_id % 4 <> 0 THEN '$' || page_id || ',000' END AS amount_text FROM pages WHERE page_id % 5 <> 0)
 SELECT page_id, requirements, about, amount_text, requirements || '. ' || about AS text FROM d""",
     "map_labels": """WITH c AS (SELECT c_custkey, c_custkey % 12 AS k, CASE c_custkey % 3 WHEN 0 THEN 1.0 ELSE 0.9 END::DOUBLE * CASE c_custkey % 5 WHEN 0 THEN 0.8 ELSE 1.0 END::DOUBLE AS f FROM customer),
-m AS (SELECT * FROM (VALUES (0, 'fill', 'contact.email', 0.99, ''), (1, 'fill', 'contact.email', 0.99, ''), (2, 'block', NULL, NULL, NULL), (3, 'decline', NULL, NULL, NULL), (4, 'fill', 'identity.first_name', 0.97 * 0.85, 'identity.full_name'),
- (5, 'fill', 'identity.full_name', 0.7 * 0.85, 'academic.high_school'), (6, 'fill', 'academic.class_level', 0.55, ''), (7, 'unmapped', NULL, NULL, NULL), (8, 'unmapped', NULL, NULL, NULL), (9, 'fill', 'contact.zip', 0.99, ''), (10, 'fill', 'contact.city', 0.93, ''), (11, 'decline', NULL, NULL, NULL)) AS t(k, kind, path, s, competing)),
+m AS (SELECT * FROM (VALUES (0, 'fill', 'mail', 0.99, ''), (1, 'fill', 'mail', 0.99, ''), (2, 'block', NULL, NULL, NULL), (3, 'decline', NULL, NULL, NULL), (4, 'fill', 'given', 0.97 * 0.85, 'whole'),
+ (5, 'fill', 'whole', 0.7 * 0.85, 'school'), (6, 'fill', 'level', 0.55, ''), (7, 'unmapped', NULL, NULL, NULL), (8, 'unmapped', NULL, NULL, NULL), (9, 'fill', 'zip', 0.99, ''), (10, 'fill', 'town', 0.93, ''), (11, 'decline', NULL, NULL, NULL)) AS t(k, kind, path, s, competing)),
 r AS (SELECT c_custkey, kind, path, round(s::DOUBLE * f, 3) AS score, competing FROM c JOIN m USING (k))
 SELECT c_custkey, kind, path, score, CASE WHEN kind = 'fill' THEN CASE WHEN score >= 0.98 THEN 'sure' WHEN score >= 0.8 THEN 'likely' ELSE 'review' END END AS band, competing FROM r""",
     "html_to_text": w(
@@ -344,6 +348,6 @@ SELECT c_custkey, kind, path, score, CASE WHEN kind = 'fill' THEN CASE WHEN scor
         "SELECT page_id, md5(card) AS card, length(card)::BIGINT AS card_chars, md5(detail) AS detail FROM c",
     ),
     "ideas_for": "WITH e AS (SELECT o_orderkey AS event_id, lower(CASE o_orderkey % 6 WHEN 0 THEN 'Founded a company' WHEN 1 THEN 'Moved with family' WHEN 2 THEN 'Lost the final' WHEN 3 THEN 'Research degree' WHEN 4 THEN 'Volunteer at church' ELSE 'Nothing' END || '  ' || CASE WHEN o_orderkey % 4 = 0 THEN 'it mattered' ELSE '' END) AS hay, o_orderkey % 4 = 0 AS noted, CASE o_orderkey % 5 WHEN 0 THEN 'personal' WHEN 1 THEN 'academic' WHEN 2 THEN 'professional' WHEN 3 THEN 'athletic' ELSE 'future' END AS cat, year(o_orderdate) AS y FROM orders), r AS ("
-    + " UNION ALL ".join(f"SELECT '{n}' AS archetype, {list(c)!r} AS cats, {list(k)!r} AS kws" for n, c, k in topics.IDEA_RULES)
+    + " UNION ALL ".join(f"SELECT '{n}' AS archetype, {list(c)!r} AS cats, {list(k)!r} AS kws" for n, c, k in IDEA_RULES)
     + "), s AS (SELECT archetype, event_id, y, CASE WHEN list_contains(cats, cat) THEN 2 ELSE 0 END + 3 * len(list_filter(kws, lambda x: contains(hay, x))) + CASE WHEN noted THEN 2 ELSE 0 END AS score FROM e CROSS JOIN r), k AS (SELECT *, row_number() OVER (PARTITION BY archetype ORDER BY score DESC, y DESC, event_id) AS pick FROM s WHERE score >= 3) SELECT archetype, event_id, score::INTEGER AS score, pick::INTEGER AS pick FROM k WHERE pick <= 5",
 }

@@ -31,10 +31,12 @@ def numeric_entities(text: Column) -> Column:
     """
 
     def piece(p: Column) -> Column:
-        code = F.regexp_extract(p, r"^(\d{1,7});", 1)
-        # one UTF-16 unit, as two big-endian bytes
-        unit = F.decode(F.unhex(F.lpad(F.hex(code.cast("long") % 65536), 4, "0")), "UTF-16BE")
-        rest = F.regexp_replace(p, r"^\d{1,7};", "")
+        code = F.regexp_extract(p, r"^(\d+);", 1)
+        # one UTF-16 unit, as two big-endian bytes; from 2**69 on a double is a multiple of 65536
+        digits = F.regexp_replace(code, r"^0+", "")
+        number = F.when(F.length(digits) > 15, F.when(F.length(digits) < 22, code.cast("double").cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)"))).otherwise(code.cast("decimal(38,0)"))
+        unit = F.decode(F.unhex(F.lpad(F.hex((number % 65536).cast("long")), 4, "0")), "UTF-16BE")
+        rest = F.regexp_replace(p, r"^\d+;", "")
         return F.when(F.length(code) > 0, F.concat(unit, rest)).otherwise(F.concat(F.lit("&#"), p))
 
     parts = F.split(text, "&#")

@@ -81,7 +81,7 @@ def canonical_id(name: Column, url: Column) -> Column:
 
 
 def slug_to_name(s: Column) -> Column:
-    cap = lambda w: F.when(F.length(w) > 2, F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))).otherwise(w)
+    cap = lambda w: F.when(F.length(w) > 2, F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))).otherwise(w)
     return F.array_join(F.transform(F.split(s, "-"), cap), " ")
 
 
@@ -89,7 +89,7 @@ def describe_card(grade: Column, key: Column, amount_text: Column) -> Column:
     """Short description of a card, or NULL when nothing is known."""
     filled = lambda c: F.when(F.length(c) > 0, c)
     grade_part = F.concat(F.lit("Grade level: "), filled(grade), F.lit("."))
-    title = F.concat(F.upper(F.substring(key, 1, 1)), F.substring(key, 2, 1000))
+    title = F.concat(F.upper(F.substring(key, 1, 1)), F.substring(key, F.lit(2), F.length(key)))
     amount_part = F.concat(filled(title), F.lit(" "), filled(amount_text), F.lit("."))
     return filled(F.concat_ws(" ", grade_part, amount_part))
 

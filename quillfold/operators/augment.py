@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS
 
 ATTEMPTS_PER_ERROR = 12
+# The table of usual misspellings goes to every task; above this many rows it is refused, not cut.
+TABLE_ROWS = 1_000_000
 
 
 def _noisy(text: str, key: str, rate: float, seed: int, table: list, cumulative: list) -> str:
@@ -40,8 +41,8 @@ def inject_errors(df: DataFrame, errors: DataFrame, key: str, rate: float | None
     """Add ``noisy``. Unchanged without a table, a rate, or a budget of at least one error."""
     if rate is None or rate <= 0:
         return df.withColumn("noisy", F.col(text))
-    rows = errors.select("correct", "variant", "n").orderBy(F.desc("n"), "correct", "variant").limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
+    rows = errors.select("correct", "variant", "n").orderBy(F.desc("n"), "correct", "variant").limit(TABLE_ROWS + 1).collect()
+    if len(rows) > TABLE_ROWS:
         raise ValueError("error table too large to ship to every task; raise its minimum count")
     if not rows:
         return df.withColumn("noisy", F.col(text))

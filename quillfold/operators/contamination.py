@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tok_alnum, windows
-from ..session import small
 
 NGRAM = 8
 
@@ -43,7 +42,7 @@ def flag_contaminated(
         .select(key, F.posexplode(windows(tok_alnum(F.col(text)), n)).alias("_pos", "ngram"))
     )
     hits = (
-        grams.join(small(protected_ngrams(protected, protected_text, n)), "ngram")
+        grams.join(protected_ngrams(protected, protected_text, n), "ngram")
         .groupBy(key)
         .agg(F.min_by("ngram", "_pos").alias("shared_ngram"))
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small
 from .stylometry import scalars
 
 # Fixed values
@@ -58,7 +57,7 @@ def z_scores(features: DataFrame, contracts: DataFrame, key: str) -> DataFrame:
     return (
         scalars(features, [key])
         .filter(F.col("value").isNotNull())
-        .join(small(bands), "feature")
+        .join(bands, "feature")
         .withColumn("z", (F.col("value") - F.col("mean")) / F.col("sd"))
     )
 
@@ -86,7 +85,7 @@ def validate_contract(features: DataFrame, contracts: DataFrame, key: str, reque
     fits = _fits(z_scores(features, contracts, key), key)
     nearest = fits.groupBy(key).agg(F.min_by("against", F.struct("fit", "against")).alias("nearest"))
     own = fits.withColumnRenamed("against", requested)
-    has = small(contracts.select(F.col("register").alias(requested), F.lit(True).alias("_has")).distinct())
+    has = contracts.select(F.col("register").alias(requested), F.lit(True).alias("_has")).distinct()
     joined = (
         features.select(key, requested).join(has, requested, "left").join(own, [key, requested], "left").join(nearest, key, "left")
     )

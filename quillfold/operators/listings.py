@@ -16,7 +16,7 @@ from ..functions.scalars import (
     parse_amount,
     slug,
 )
-from ..session import cut_lineage, small
+from ..session import cut_lineage
 from .machine import canonical_state_of
 
 # Fixed values
@@ -337,7 +337,7 @@ def emit_selection(selected: DataFrame, today: Column) -> DataFrame:
 def not_in_seeded(listings: DataFrame, seeded: DataFrame, name: str = "name") -> DataFrame:
     """Drop listings whose name fuzzily equals a hand-made one (containment either way)."""
     keyed = listings.withColumn("_n", norm_key(F.col(name)))
-    s = small(seeded.select(norm_key(F.col("name")).alias("_s")).filter("_s <> ''").distinct())
+    s = seeded.select(norm_key(F.col("name")).alias("_s")).filter("_s <> ''").distinct()
     # containment has no join key; the hand-made list is small and checked
     same = F.contains(F.col("_s"), F.substring("_n", 1, NAME_PREFIX)) | F.contains(F.col("_n"), F.col("_s"))
     return keyed.join(s, same, "left_anti").drop("_n")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import normalize_passage
 from ..functions.text import draw, words
-from ..session import small
 from .ranking import rank_by_draw
 
 # Fixed values
@@ -28,7 +27,7 @@ def build_pairs(author: DataFrame, model: DataFrame, seed: int = 11, target: int
     pool = pool.select(
         "register", "number", "group_size", F.col("doc_id").alias("author_doc"), normalize_passage(F.col("text"), target).alias("author_text")
     )
-    sizes = small(pool.select("register", "group_size").distinct())
+    sizes = pool.select("register", "group_size").distinct()
     picked = (
         model.join(sizes, "register")
         .withColumn("number", (F.floor(draw(seed, "pick", F.col("doc_id")) * F.col("group_size")) + 1).cast("long"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import jaccard, tok_alnum, tok_retrieval, window_hashes
-from ..session import beside, cut_lineage, small
+from ..session import beside, cut_lineage
 
 # Fixed values
 MMR_THRESHOLD = 0.3
@@ -38,7 +38,7 @@ def _next_best(pool: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     ahead = F.col("_at").isNull() | (place > F.col("_at"))
     fits = F.col("_room").isNull() | (F.col("word_count") <= F.col("_room"))
     rows = (
-        pool.join(small(wanted), "register")
+        pool.join(wanted, "register")
         .filter(fits)
         .withColumn("score", score)
         .filter(ahead)
@@ -138,13 +138,13 @@ def retrieve_facts(
     total = facts.agg(F.count("*").alias("_n"))
     df = tokens.groupBy("token").agg(F.count("*").alias("df"))
     weights = beside(df, total).select("token", F.log((F.col("_n") + 1) / (F.col("df") + 0.5)).alias("w"))
-    wanted = small(queries.select("query_id", F.explode(expand_query(F.array_distinct(tok_retrieval(F.col("prompt"))))).alias("token")))
+    wanted = queries.select("query_id", F.explode(expand_query(F.array_distinct(tok_retrieval(F.col("prompt"))))).alias("token"))
     # the query side is small and goes to the facts; its partial sums leave one row per (query, fact)
     raw = tokens.join(wanted, "token").join(weights, "token").groupBy("query_id", "fact_id").agg(F.sum("w").alias("s"))
     size = F.sqrt(F.greatest(F.size(F.array_distinct(tok_retrieval(F.col("text")))), F.lit(1)).cast("double"))
     meta = facts.select("fact_id", "angle", "spine", size.alias("_root"))
     if usage is not None:
-        meta = meta.join(small(usage.select("angle", "uses")), "angle", "left")
+        meta = meta.join(usage.select("angle", "uses"), "angle", "left")
     else:
         meta = meta.withColumn("uses", F.lit(0))
     damp = F.when(F.col("angle").isNotNull(), F.pow(F.lit(decay), F.coalesce("uses", F.lit(0)))).otherwise(1.0)

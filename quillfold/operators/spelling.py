@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tok_alpha
-from ..session import small
 
 # Fixed values
 SUFFIXES = ("s", "es", "ed", "ing", "er", "est", "ly", "ment", "ness", "d", "n")
@@ -70,7 +69,7 @@ def word_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
 def _unknown(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Distinct words none of whose stems is in the dictionary."""
     variants = words.select("word", F.explode(morph_variants(F.col("word"))).alias("v"))
-    known = variants.join(small(dictionary.select(F.col("word").alias("v"))), "v", "left_semi").select("word").distinct()
+    known = variants.join(dictionary.select(F.col("word").alias("v")), "v", "left_semi").select("word").distinct()
     return words.join(known, "word", "left_anti")
 
 
@@ -79,7 +78,7 @@ def candidate_tokens(df: DataFrame, key: str, allow: DataFrame | None = None, te
     proper = proper_nouns(df, key, text).withColumnRenamed("word", "raw")
     tokens = token_counts(df, key, text).filter(F.length("word") >= MIN_WORD).join(proper, [key, "raw"], "left_anti")
     if allow is not None:
-        listed = small(allow.select("word"))
+        listed = allow.select("word")
         tokens = tokens.join(listed, "word", "left_anti").join(listed.withColumnRenamed("word", "raw"), "raw", "left_anti")
     return tokens
 
@@ -139,7 +138,7 @@ def spell_check(
     unknown = _unknown(tokens.select("word").distinct(), dictionary)
     suspects = unknown.filter(F.length("word") >= MIN_MISSPELLING)
     if vocabulary is not None:
-        suspects = suspects.join(small(vocabulary.select("word")), "word", "left_anti")
+        suspects = suspects.join(vocabulary.select("word"), "word", "left_anti")
     wrong = one_edit_matches(suspects, dictionary).select("word").distinct().withColumn("_wrong", F.lit(True))
     verdicts = unknown.join(wrong, "word", "left").select(
         "word", F.when(F.col("_wrong"), "misspelling").otherwise("out_of_vocabulary").alias("verdict")
@@ -180,7 +179,7 @@ def build_error_table(
     """
     tokens = candidate_tokens(df, key, allow, text).filter(F.length("word") >= MIN_MISSPELLING)
     if vocabulary is not None:
-        tokens = tokens.join(small(vocabulary.select("word")), "word", "left_anti")
+        tokens = tokens.join(vocabulary.select("word"), "word", "left_anti")
     freq = word_frequencies(df, text)
     unknown = _unknown(tokens.select("word").distinct(), dictionary)
     fixes = (

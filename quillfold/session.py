@@ -5,24 +5,32 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A table is only ever hinted for broadcast after its row count was checked against this bound.
-BROADCAST_ROWS = 1_000_000
+# Setting: partitions that inputs are dealt out over, for runs on a few small files.
+SPLITS = "spark.quillfold.input.splits"
 # A join key with more rows than this on one side is split over several salts.
 HOT_ROWS = 200_000
 
 
 def get_spark(app: str = "quillfold", cores: str | None = None) -> SparkSession:
-    cores = cores or os.environ.get("BENCH_CPUS", "8")
-    return (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
-        .config("spark.sql.shuffle.partitions", str(cores) if cores.isdigit() else "8")
+    """The session of a submitted application as it is configured; without a master, a local one of ``cores``."""
+    builder = (
+        SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+    )
+    if SparkConf().contains("spark.master") or "SPARK_REMOTE" in os.environ:
+        return builder.getOrCreate()
+    cores = cores or os.environ.get("BENCH_CPUS", "8")
+    split = cores if cores.isdigit() else "8"
+    return (
+        builder.master(f"local[{cores}]")
+        .config("spark.sql.shuffle.partitions", split)
+        .config(SPLITS, split)  # the test tables are single small files
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
@@ -34,26 +42,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Fan a scan out when it has fewer splits than the cluster has slots.
+    """Deal a scan out anew over as many partitions as the setting ``SPLITS`` says; unset, leave it as it is.
 
-    Text work is CPU-bound, so a single small file should not run as one task. Inputs that already
-    arrive in enough splits (any large table) pass through untouched. A small one is rewritten in
-    more splits: after a plain ``repartition`` the optimizer would push filters on computed columns
-    back below the exchange, into the few tasks.
+    Text work is CPU-bound, so someone who runs on a few files of one row group each may want more tasks than files. Large
+    tables come in enough splits by themselves.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return cut_lineage(df.repartition(slots, *keys) if keys else df.repartition(slots))
+    splits = df.sparkSession.conf.get(SPLITS, None)
+    return df.repartition(int(splits), *keys) if splits else df
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="quillfold-"))
-    return sc.getCheckpointDir().rstrip("/")
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Only a local master without that setting gets a folder of its own; anywhere else the setting is required.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="quillfold-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -72,11 +82,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint ``df`` for broadcast only if a bounded count proves it small; else leave it to shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def beside(df: DataFrame, single: DataFrame) -> DataFrame:
     """``df`` with the columns of a one-row aggregate next to every row."""
     key = F.lit(1)

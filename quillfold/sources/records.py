@@ -139,19 +139,17 @@ def split_sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def unclaimed_headings(sections: DataFrame, rules: DataFrame) -> DataFrame:
     """Sections whose heading matches no rule (``pattern, field``; matched at the start, any case)."""
-    from ..session import small
 
     claims = F.lower(F.col("heading")).startswith(F.lower(F.col("pattern")))
-    return sections.join(small(rules.select("pattern")), claims, "left_anti")
+    return sections.join(rules.select("pattern"), claims, "left_anti")
 
 
 def assemble_fields(sections: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     """Body text per document and field; a section goes to the first rule that claims it."""
-    from ..session import small
 
     claims = F.lower(F.col("heading")).startswith(F.lower(F.col("pattern")))
     first = (
-        sections.join(small(rules), claims)
+        sections.join(rules, claims)
         .groupBy(key, "section", "body")
         .agg(F.min_by("field", "ord").alias("field"))
     )

@@ -32,7 +32,9 @@ def test_amounts_and_dates(one):
     assert one(S.word_limit, "a 500-word essay", "words: up to 650", "10 words", "none") == [500, 650, None, None]
 
 
-HOME = eligibility.Profile(state_names=("michigan",), institutions=("lakeside", "lakeside college"))
+HOME = eligibility.Profile(
+    state_names=("michigan",), institutions=("lakeside", "lakeside college"), allowed_fields=("biology", "health"), disallowed_fields=("nursing", "law")
+)
 
 
 @pytest.mark.parametrize(
@@ -105,13 +107,18 @@ def test_publish_rules(spark):
 
 
 def test_labels(spark):
+    rules = labels.LabelRules(
+        block=((r"\bsocial security\b", "number"),),
+        decline=((r"\bgender\b", "no"), (r"\bfirst[- ]generation\b", "no")),
+        paths=((r"\be-?mail\b", "mail", 0.99), (r"\bfirst name\b", "given", 0.97), (r"\bname\b", "whole", 0.7)),
+    )
     rows = ["Email Address", "Social Security Number", "Gender", "Marital status", "field_2", "First name", "First-generation student?"]
     df = spark.createDataFrame([(r,) for r in rows], "label string")
-    got = {r["label"]: (r["kind"], r["path"]) for r in labels.map_labels(df).collect()}
-    assert got["Email Address"] == ("fill", "contact.email")
+    got = {r["label"]: (r["kind"], r["path"]) for r in labels.map_labels(df, rules).collect()}
+    assert got["Email Address"] == ("fill", "mail")
     assert got["Social Security Number"][0] == "block" and got["Gender"][0] == "decline"
     assert got["First-generation student?"][0] == "decline" and got["field_2"] == ("unmapped", None)
-    assert got["First name"] == ("fill", "identity.first_name")
+    assert got["First name"] == ("fill", "given")
 
 
 def test_pages(spark, one):
