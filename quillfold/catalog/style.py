@@ -13,7 +13,7 @@ from .common import ALPHA, documents, duck_draw
 from .corpus import _split_sql as corpus_split
 
 DICT_DOCS = 20
-BAND_RUNS = 100
+BAND_RUNS = delta.BAND_ITERATIONS
 TRIALS = 150
 
 
@@ -49,7 +49,7 @@ def q_punct_rates(spark, sf_dir):
 
 def q_function_word_freqs(spark, sf_dir):
     v = stylometry.function_word_freqs(documents(spark, sf_dir), "doc_id")
-    return v.select("doc_id", F.posexplode("freqs").alias("pos", "f")).filter("f > 0").select("doc_id", "pos", F.round("f", 9).alias("f"))
+    return v.select("doc_id", F.posexplode("freqs").alias("pos", "f")).select("doc_id", "pos", F.round("f", 9).alias("f"))
 
 
 def q_mtld(spark, sf_dir):
@@ -69,8 +69,8 @@ def q_features(spark, sf_dir):
 
 
 def q_scalars(spark, sf_dir):
-    f = _features(spark, sf_dir)
-    return stylometry.scalars(f, ["doc_id"]).filter("feature <> 'mtld'").select("doc_id", "feature", F.round("value", 6).alias("value"))
+    f = _features(spark, sf_dir, spelled=True)
+    return stylometry.scalars(f, ["doc_id"]).select("doc_id", "feature", F.round("value", 6).alias("value"))
 
 
 # ---------------------------------------------------------------- spelling
@@ -130,27 +130,27 @@ def _lang_stats(features):
 
 
 def q_register_stats(spark, sf_dir):
-    f = _features(spark, sf_dir)
-    s = _lang_stats(f).filter("feature <> 'mtld'")
+    f = _features(spark, sf_dir, spelled=True)
+    s = _lang_stats(f)
     return _rounded(s.select("register", "documents", "words", "underpowered", "feature", "n", "mean", "sd", "min", "max"))
 
 
 def q_register_vectors(spark, sf_dir):
     """Mean function-word vector per register."""
-    return _rounded(delta.mean_vector(_vectors(spark, sf_dir), "register").filter("f > 0"), 9)
+    return _rounded(delta.mean_vector(_vectors(spark, sf_dir), "register"), 9)
 
 
 def _contracts(features):
-    return cut_lineage(contracts.register_contracts(_lang_stats(features).filter("feature <> 'mtld'")))
+    return cut_lineage(contracts.register_contracts(_lang_stats(features)))
 
 
 def q_register_contracts(spark, sf_dir):
-    return _rounded(_contracts(_features(spark, sf_dir)))
+    return _rounded(_contracts(_features(spark, sf_dir, spelled=True)))
 
 
 def _contract_inputs(spark, sf_dir):
     """Features of all documents, each asked for the next language's register in a third of cases."""
-    f = cut_lineage(_features(spark, sf_dir))
+    f = cut_lineage(_features(spark, sf_dir, spelled=True))
     nxt = F.expr("CASE register WHEN 'en' THEN 'de' WHEN 'de' THEN 'fr' WHEN 'fr' THEN 'es' ELSE 'en' END")
     f = f.withColumn("requested", F.when(F.col("doc_id") % 3 == 0, nxt).otherwise(F.col("register")))
     return f, _contracts(f)
@@ -483,15 +483,15 @@ ft AS (SELECT doc_id, register, source, len(t)::BIGINT AS word_count, len(s)::BI
     + _cnt(r"(?i)\b\w+''(t|s|re|ve|ll|d|m)\b")
     + "::DOUBLE / n * 100 AS contraction_rate FROM f1)"
 )
-_LONG_FEATURES = [f for f in stylometry.CONTRACT_FEATURES if f not in ("mtld", "misspelling_rate")]
+_LONG_FEATURES = list(stylometry.CONTRACT_FEATURES)
 _LONG = (
     "lf AS (SELECT doc_id, register, source, unnest(["
     + ", ".join(f"'{f}'" for f in _LONG_FEATURES)
     + "]) AS feature, unnest(["
     + ", ".join(_LONG_FEATURES)
-    + "]) AS value FROM ft)"
+    + "]) AS value FROM f13)"
 )
-_STATS = f"""{_FEAT}, {_LONG},
+_STATS = f"""{{FULL}}, {_LONG},
 st AS (SELECT register, feature, count(*) AS n, avg(value) AS mean, coalesce(stddev_samp(value), 0.0) AS sd, min(value) AS min, max(value) AS max FROM lf GROUP BY 1, 2),
 sz AS (SELECT register, count(*) AS documents, sum(word_count)::BIGINT AS words FROM ft GROUP BY 1),
 rs AS (SELECT *, (documents < 5 OR words < 3000) AS underpowered FROM sz JOIN st USING (register)),
@@ -625,8 +625,16 @@ se AS (SELECT query_id, fa.fact_id, spine, coalesce(s, 0) / sqrt(greatest(len(t)
 pk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS pick FROM se WHERE score > 0 OR spine)"""
 
 
+# All features of the contracts: those of one text, lexical diversity and the misspelling rate.
+_FULL = (
+    f"{_FEAT}, {_MTLD.replace(_TK + ', ', '')}, {_SPELL.replace(_TK + ', ', '')}, su AS (SELECT word FROM un WHERE length(word) >= 6), {_edits_sql('su')}, "
+    "sp AS (SELECT doc_id, sum(n) AS ms FROM ca JOIN un USING (word) WHERE word IN (SELECT word FROM em) GROUP BY 1), "
+    "f13 AS (SELECT ft.*, mtld, coalesce(ms, 0)::DOUBLE / greatest(word_count, 1) * 1000 AS misspelling_rate FROM ft JOIN mt USING (doc_id) LEFT JOIN sp USING (doc_id))"
+)
+
+
 def _with(ctes: str, select: str) -> str:
-    return f"WITH RECURSIVE {ctes} {select}"
+    return f"WITH RECURSIVE {ctes.replace('{FULL}', _FULL)} {select}"
 
 
 def _r(cols: str, digits: int = 6) -> str:
@@ -636,10 +644,10 @@ def _r(cols: str, digits: int = 6) -> str:
 ORACLES = {
     "sentence_stats": _with(_FEAT, "SELECT doc_id, sentence_count AS sentences, round(mean_sentence_words, 6) AS mean, round(sd_sentence_words, 6) AS sd, round(p10_sentence_words, 6) AS p10, round(p90_sentence_words, 6) AS p90 FROM ft"),
     "punct_rates": _with(_FEAT, f"SELECT doc_id, {_r('comma_rate semicolon_rate em_dash_rate period_rate colon_rate commas_per_sentence')} FROM ft"),
-    "function_word_freqs": _with(_VEC, "SELECT doc_id, pos::INTEGER AS pos, round(f, 9) AS f FROM ve WHERE f > 0"),
+    "function_word_freqs": _with(_VEC, "SELECT doc_id, pos::INTEGER AS pos, round(f, 9) AS f FROM ve"),
     "mtld": _with(_MTLD, "SELECT doc_id, round(mtld, 6) AS mtld FROM mt"),
     "markers": _with(_FEAT, f"SELECT doc_id, {_r('en_dash_rate doubled_period_rate bold_mid_paragraph_rate lowercase_start_rate contraction_rate')} FROM ft"),
-    "scalars": _with(_FEAT + ", " + _LONG, "SELECT doc_id, feature, round(value, 6) AS value FROM lf UNION ALL SELECT doc_id, 'misspelling_rate', NULL FROM ft"),
+    "scalars": _with(_FULL + ", " + _LONG, "SELECT doc_id, feature, round(value, 6) AS value FROM lf"),
     "proper_nouns": _with(_SPELL, "SELECT doc_id, word FROM pn"),
     "morph_variants": _with(f"{_TK}, w AS (SELECT DISTINCT unnest(t) AS word FROM tk)", _MORPH.replace("{0}", "w")),
     "word_frequencies": _with(_SPELL, "SELECT word, n FROM fq"),
@@ -661,7 +669,7 @@ ORACLES = {
         "SELECT correct, word AS variant, sum(n)::BIGINT AS n, string_agg(DISTINCT register, ',' ORDER BY register) AS registers FROM ca JOIN ok USING (word) GROUP BY 1, 2",
     ),
     "register_stats": _with(_STATS, f"SELECT register, documents, words, underpowered, feature, n, {_r('mean sd min max')} FROM rs"),
-    "register_vectors": _with(_VEC, "SELECT register, pos::INTEGER AS pos, round(avg(f), 9) AS f FROM ve GROUP BY 1, 2 HAVING avg(f) > 0"),
+    "register_vectors": _with(_VEC, "SELECT register, pos::INTEGER AS pos, round(avg(f), 9) AS f FROM ve GROUP BY 1, 2"),
     "register_contracts": _with(_STATS, f"SELECT against AS register, feature, {_r('mean sd low high')} FROM ct"),
     "validate_contract": _with(_Z, "SELECT doc_id, requested, ok, nearest, fit, violations FROM va"),
     "nearest_register": _with(_Z, "SELECT doc_id, nearest FROM nr"),
