@@ -8,7 +8,7 @@ weight are looked at, so long texts cost one hash per element; the few texts wit
 
 Texts that agree in a whole band of coordinates are candidates. Equal texts are one node throughout. In a bucket of m
 nodes the first is compared with the others, m - 1 pairs; nodes that stay in different classes meet in further rounds
-(`_rounds`), so a link between any two nodes of a bucket is found whatever the first one is. Candidates are checked by
+(`_rounds`), so a link between any two classes of a bucket is found whatever the first node is. Candidates are checked by
 their exact Jaccard similarity; classes are the connected components of the links.
 """
 
@@ -25,11 +25,11 @@ from .batches import Words, by_text_size, mix, shingles, texts_of
 from .store import saved
 
 WORDS, SIMILARITY = 5, 0.8
-#: 32 bands of 5: two texts of similarity 0.8 share no band with a chance of 3 in a million.
-BANDS, BAND = 32, 5
+#: 56 bands of 8: two texts of similarity 0.8 share no band with a chance of 3 in 100,000, of 0.85 of 2 in 100 million.
+BANDS, BAND = 56, 8
 COORDINATES = BANDS * BAND
 #: Texts whose darts are thrown at a time.
-TEXTS = 1000
+TEXTS = 200
 #: First nodes of a bucket that meet all others in a later round; nodes from which on a bucket is divided by other bands.
 PIVOTS, LARGE = 16, 32
 
@@ -185,15 +185,15 @@ def components(links: DataFrame) -> DataFrame:
     labels = saved(edges.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
     while True:
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, labels["node"] == near["a"], "left").select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
+        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
+        lower = (
+            labels.join(near, labels["node"] == near["a"], "left")
+            .join(jump, F.col("label") == F.col("at"), "left")
+            .select("node", F.col("label").alias("old"), F.least("label", "near", "further").alias("label"))
         )
         lower = saved(lower)
-        jump = lower.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        nearer = lower.join(jump, F.col("label") == F.col("at"), "left").select("node", "old", F.least("label", "further").alias("label"))
-        nearer = saved(nearer)
-        labels = nearer.select("node", "label")
-        if nearer.filter("label < old").isEmpty():
+        labels = lower.select("node", "label")
+        if lower.filter("label < old").isEmpty():
             return labels
 
 
@@ -216,37 +216,39 @@ def _rounds(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     links = _links(pairs, sets, similarity)
     labels = components(links)
     # what is left: the other nodes of buckets that are not of one class
-    rest, divided = live.filter(F.col("node") != F.col("first")).select("key", "node", "n"), False
+    rest = live.filter(F.col("node") != F.col("first")).select("key", "node", "n")
+    rest = saved(_mixed(rest.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))))
+    if rest.isEmpty():
+        return labels
+    # Large buckets of unlike texts are divided: texts that share two of them meet again, in much smaller buckets. Texts
+    # that share a bucket of ordinary size meet there.
+    large = saved(rest.filter(F.col("m") > LARGE).select("key", "node", "n", "label"))
+    other = large.select("node", F.col("key").alias("other"))
+    finer = large.join(other, "node").filter(F.col("key") < F.col("other")).select(F.xxhash64("key", "other").alias("key"), "node", "n", "label")
+    rest = rest.filter(F.col("m") <= LARGE).unionByName(_mixed(finer)).select("key", "node", "n", "label")
     while True:
-        named = rest.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).filter(F.col("x") < F.col("y"))
-        rest = saved(named.join(mixed.select("key", "m"), "key"))
-        if rest.isEmpty():
-            return labels
-        if not divided:
-            # large buckets of unlike texts: texts that share another band too meet again, in much smaller buckets
-            divided = True
-            finer = (
-                rest.filter(F.col("m") > LARGE)
-                .select("key", "node", "n", "label")
-                .join(nodes.select("node", F.explode("bands").alias("other")), "node")
-                .filter(F.col("other") != F.col("key"))
-                .select(F.xxhash64("key", "other").alias("key"), "node", "n", "label")
-            )
-            rest = saved(rest.filter(F.col("m") <= LARGE).select("key", "node", "n", "label").union(finer))
-        ranked = rest.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("node")))
-        pivots = saved(ranked.filter(F.col("place") <= PIVOTS).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")))
+        # nodes of a bucket's smaller classes come first: once they have met all others, the largest class alone is left
+        members_of = F.count("*").over(Window.partitionBy("key", "label"))
+        place = F.row_number().over(Window.partitionBy("key").orderBy("members", "label", "node"))
+        ranked = saved(rest.repartition("key").withColumn("members", members_of).withColumn("place", place).drop("members"))
+        pivots = ranked.filter(F.col("place") <= PIVOTS).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("place").alias("at"))
         pairs = (
-            rest.join(pivots, "key")
-            .filter((F.col("a") < F.col("node")) & (F.col("la") != F.col("label")) & fits(F.col("n"), F.col("na")))
-            .select("a", F.col("node").alias("b"))
+            ranked.join(pivots, "key")
+            .filter((F.col("at") < F.col("place")) & (F.col("la") != F.col("label")) & fits(F.col("n"), F.col("na")))
+            .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
             .distinct()
         )
-        more = _links(pairs, sets, similarity)
-        rest = rest.join(pivots.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n")
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
+        links = links.union(_links(pairs, sets, similarity))
+        rest = saved(_mixed(ranked.filter(F.col("place") > PIVOTS).select("key", "node", "n", "label")))
+        if rest.isEmpty():
+            return components(links)
+        rest = rest.select("key", "node", "n", "label")
+
+
+def _mixed(rest: DataFrame) -> DataFrame:
+    """The rows of buckets with nodes of two classes or more, with the bucket's size m."""
+    mixed = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"))
+    return rest.join(mixed.filter(F.col("x") < F.col("y")).select("key", "m"), "key")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
