@@ -71,4 +71,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_verdicts": op9_url_verdicts,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {}
+
+
+def _secrets_sql() -> str:
+    """Matches of each pattern with their places, weak ones that have a complementary part within the scope, and lists."""
+    kinds = [*secrets.BASE, *secrets.WEAK]
+    names = [k[0] for k in kinds]
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    matches = " UNION ALL ".join(
+        f"SELECT doc_id, {n} AS kind, generate_subscripts(w, 1) AS number, unnest(w) AS w, unnest(p) AS p, unnest(g[1:len(w)]) AS gap FROM "
+        f"(SELECT doc_id, regexp_extract_all(t, {quoted(rx)}, 0) AS w, regexp_extract_all(t, {quoted(rx)}, {group}) AS p, string_split_regex(t, {quoted(rx)}) AS g FROM d)"
+        for n, (_, rx, group, _) in enumerate(kinds)
+    )
+    least = " ".join(f"WHEN {n} THEN {k[3]}" for n, k in enumerate(kinds))
+    suits = " OR ".join(
+        f"(l.kind = {names.index(k)} AND r.kind IN ({', '.join(str(names.index(x)) for x in others)}))" for k, others in secrets.COMPLEMENTS.items()
+    )
+    listed = f"{names!r}[kind + 1] || ':' || start || ':' || till"
+    near, base = secrets.SCOPE, len(secrets.BASE)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({matches}),
+s AS (SELECT doc_id, kind, length(w) AS size, length(p) AS counted, sum(length(gap) + length(w)) OVER (PARTITION BY doc_id, kind ORDER BY number)::BIGINT AS till FROM m),
+p AS (SELECT doc_id, kind, till - size AS start, till FROM s WHERE counted >= CASE kind {least} END),
+k AS (SELECT DISTINCT l.doc_id, l.kind, l.start, l.till FROM p l JOIN p r ON r.doc_id = l.doc_id WHERE ({suits}) AND r.start - l.till <= {near} AND l.start - r.till <= {near}),
+a AS (SELECT * FROM p WHERE kind < {base} UNION ALL SELECT * FROM k)
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = {n}) AS n_{k[0]}" for n, k in enumerate(secrets.BASE))},
+ sha256(coalesce(string_agg({listed}, ',' ORDER BY start, kind, till) FILTER (kind < {base}), '')) AS base_sha256,
+ coalesce(string_agg({listed}, ',' ORDER BY start, kind, till) FILTER (kind IS NOT NULL), '') AS spans, count(*) FILTER (kind >= {base}) AS n_linked
+FROM d LEFT JOIN a USING (doc_id) GROUP BY d.doc_id"""
+
+
+#: The others train, iterate, hash, tokenise or walk an automaton; they are tested against brute-force versions.
+ORACLES: dict[str, str] = {
+    "op1_secrets": _secrets_sql(),
+    "op2_top_products": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+}
