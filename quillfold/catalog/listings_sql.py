@@ -167,8 +167,8 @@ lb AS (SELECT page_id, href, lower("""
     + r""") AS label, pos, regexp_replace(lower(regexp_extract(href, '^https?://([^/?#]+)', 1)), '^www\.', '') AS host, own FROM la WHERE NOT regexp_matches(href, '^(#|mailto:|tel:)')),
 lc AS (SELECT *, CASE WHEN regexp_matches(label, 'apply|application') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(label, 'scholarship website|visit (the )?(scholarship )?website|official site|learn more') THEN 2 ELSE 0 END
    + CASE WHEN regexp_matches(label, 'website') THEN 1 ELSE 0 END AS score FROM lb WHERE host <> '' AND host <> own AND NOT regexp_matches(host, '(?i)(careeronestop|myskillsmyfuture|dol\.gov|usa\.gov|ogp\.me|schema\.org|w3\.org|gstatic|facebook|twitter|x\.com|linkedin|instagram|youtube|google\.com/maps|googleadservices|doubleclick)')),
-ld AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, host ORDER BY score DESC, pos) AS k FROM lc) WHERE k = 1),
-le AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS j, count(*) OVER (PARTITION BY page_id) AS hosts FROM ld) WHERE j = 1),
+ld AS (SELECT * FROM (SELECT *, min(pos) OVER (PARTITION BY page_id, host) AS first, row_number() OVER (PARTITION BY page_id, host ORDER BY score DESC, pos) AS k FROM lc) WHERE k = 1),
+le AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, first) AS j, count(*) OVER (PARTITION BY page_id) AS hosts FROM ld) WHERE j = 1),
 ol AS (SELECT page_id, le.href AS apply_url, coalesce(hosts, 0) AS hosts, CASE WHEN score > 0 THEN 'high' WHEN hosts = 1 THEN 'medium' ELSE 'low' END AS confidence,
   CASE WHEN hosts IS NULL THEN 'no outbound application link' WHEN score > 0 THEN 'resolved via link text: ' || substr(le.label, 1, 40) WHEN hosts = 1 THEN 'single external host ' || host ELSE 'ambiguous: ' || hosts || ' external hosts' END AS note
   FROM fp LEFT JOIN le USING (page_id))"""

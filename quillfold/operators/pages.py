@@ -213,7 +213,7 @@ def absolute_url(base: Column, href: Column) -> Column:
 
 
 def outbound_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Outbound anchors with host and score, first best per host."""
+    """Outbound anchors with host and score, first best per host; ``first`` is the place of the host's first anchor."""
     anchor = r"""(?i)<a\s+[^>]*href=["']([^"']+)["'][^>]*>([\s\S]*?)</a>"""
     both = F.arrays_zip(
         F.regexp_extract_all(html, F.lit(anchor), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(anchor), F.lit(2)).alias("label")
@@ -232,16 +232,18 @@ def outbound_links(pages: DataFrame, key: str = "page_id", url: str = "url", htm
     best = W.partitionBy(key, "host").orderBy(F.desc("score"), "pos")
     return (
         outside.withColumn("score", score)
+        .withColumn("first", F.min("pos").over(W.partitionBy(key, "host")))
         .withColumn("_rn", F.row_number().over(best))
         .filter("_rn = 1")
-        .select(key, "host", "target", "label", "score", "pos")
+        .select(key, "host", "target", "label", "score", "first")
     )
 
 
 def outlinks(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Likely application link per page with a confidence; pages without one get a NULL link."""
     hosts = outbound_links(pages, key, url, html)
-    first_pos = F.struct(-F.col("score"), F.col("pos"))
+    # hosts of one score keep the order in which they first appear
+    first_pos = F.struct(-F.col("score"), F.col("first"))
     chosen = hosts.groupBy(key).agg(
         F.min_by(F.struct("host", "target", "label", "score"), first_pos).alias("b"), F.count("*").alias("hosts")
     )

@@ -59,7 +59,8 @@ def read_turns(spark: SparkSession, folder: str) -> DataFrame:
         (field("$.isSidechain") == "true").alias("sidechain"),
         # present but null still counts as a result in the source format, absent does not
         F.when(F.col("raw").rlike(r'"toolUseResult"\s*:'), F.lit("x")).alias("tool_result"),
-        F.when(F.col("raw").rlike(r'"content"\s*:\s*"'), message).alias("content"),
+        # a list of typed parts is tool traffic, whatever its parts hold
+        F.when(F.schema_of_variant(F.try_variant_get(F.try_parse_json("raw"), "$.message.content", "variant")) == "STRING", message).alias("content"),
         field("$.timestamp").alias("timestamp"),
     )
     kept = parsed.filter(

@@ -73,6 +73,7 @@ def test_read_turns(spark, tmp_path):
     lines = [
         {"type": "user", "message": {"content": "hello there"}},
         {"type": "user", "message": {"content": [{"text": "array"}]}},
+        {"type": "user", "message": {"content": [{"type": "tool_result", "content": "nested"}]}},
         {"type": "assistant", "message": {"content": "no"}},
         {"type": "user", "isSidechain": True, "message": {"content": "side"}},
         {"type": "user", "toolUseResult": {"x": 1}, "message": {"content": "tool"}},

@@ -136,3 +136,16 @@ def test_scores_never_invented(spark):
     scores = spark.createDataFrame([(1, 150, "odd", None)], "listing_id int, match int, effort string, flags array<string>")
     got = {r["listing_id"]: (r["match"], r["effort"], r["flags"]) for r in listings.apply_scores(base, scores).collect()}
     assert got == {1: (100, "med", []), 2: (None, "med", ["score_failed"])}
+
+
+def test_outlinks_keep_the_place_of_the_first_anchor(spark):
+    html = '<a href="https://a.org/home">home</a> <a href="https://b.org/x">apply</a> <a href="https://a.org/y">apply</a>'
+    df = spark.createDataFrame([(1, "https://info.example.com/p", html)], "page_id int, url string, html string")
+    assert pages.outlinks(df).first()["apply_url"] == "https://a.org/y"
+
+
+def test_long_words_and_entities_are_whole(spark, one):
+    from quillfold.functions import scalars
+
+    assert one(scalars.slug_to_name, "a-" + "x" * 1500) == ["a X" + "x" * 1499]
+    assert one(H.numeric_entities, "&#00000233; &#65;") == ["é A"]
