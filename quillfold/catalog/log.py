@@ -92,8 +92,7 @@ def _sealed(spark, sf_dir):
 
 
 def q_seal_log(spark, sf_dir):
-    """First links of each block; the whole chain is checked by ``verify_chain``."""
-    return _sealed(spark, sf_dir).filter("(seq - 1) % 500 < 2").select("seq", "prev_hash")
+    return _sealed(spark, sf_dir).select("seq", "prev_hash")
 
 
 def q_verify_chain(spark, sf_dir):
@@ -285,8 +284,9 @@ _APP_COLS = "application_id, name, source, effort, amount, deadline_iso, discove
 _CONTENT = "'{\"seq\":' || seq || ',\"at\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '\",\"type\":\"' || type || '\",\"application_id\":\"' || app || '\",\"actor\":\"' || actor || '\",\"data\":\"' || replace(data, '\"', '\\\"') || '\"}'"
 _SEAL = f"""sl AS (SELECT event_id + 1 AS seq, ts, {TYPE} AS type, {APP} AS app, CASE event_id % 3 WHEN 0 THEN 'human' ELSE 'agent' END AS actor, {DATA} AS data FROM events),
 sc AS (SELECT seq, floor((seq - 1) / 500)::BIGINT AS b, {_CONTENT} AS c FROM sl),
-rt AS (SELECT b + 1 AS b, sha256(string_agg(sha256(c), '|' ORDER BY seq)) AS root FROM sc GROUP BY sc.b),
-ln AS (SELECT seq, root AS prev_hash, c FROM sc LEFT JOIN rt USING (b) WHERE (seq - 1) % 500 = 0)"""
+bd AS (SELECT b, sha256(string_agg(sha256(c), '|' ORDER BY seq)) AS d, list(c ORDER BY seq) AS cs FROM sc GROUP BY b),
+rt(b, root) AS (SELECT 0::BIGINT, 'null' UNION ALL SELECT rt.b + 1, sha256(d || '|' || root) FROM rt JOIN bd ON bd.b = rt.b),
+ln AS (SELECT b, len(cs) AS n, string_split(list_reduce(list_prepend(root, cs), lambda a, x: a || ',' || sha256(x || '|' || right(a, 64))), ',') AS links FROM bd JOIN rt USING (b))"""
 _RAISE = f"""pr AS (SELECT event_id AS ord, CASE event_id % 4 WHEN 0 THEN 'ELIGIBILITY_AMBIGUOUS' WHEN 1 THEN 'CAPTCHA_REQUIRED' WHEN 2 THEN 'MADE_UP' ELSE 'SUBMIT_APPROVAL' END AS t, {APP} AS app, (event_id % 2)::VARCHAR AS d, user_id % 2 = 0 AS ev FROM events),
 pk AS (SELECT *, 'cp_' || substr(sha256(t || '|' || app || '|' || d), 1, 12) AS id FROM pr),
 pf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS k FROM pk) WHERE k = 1), po AS (SELECT DISTINCT id FROM pk WHERE t = 'CAPTCHA_REQUIRED' AND ord % 8 = 1)"""
@@ -308,7 +308,7 @@ ORACLES = {
     "stream_operation_states": f"WITH {_OPS} SELECT operation_id, kind, application_id, status, started_at, completed_at FROM ot",
     "disposition": f"WITH {_OPS}, wq AS (SELECT 'op' || user_id || '-' || i AS operation_id FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN (SELECT unnest(range(0, 5)) AS i)) SELECT operation_id, CASE WHEN status IS NULL OR status = 'failed' THEN 'proceed' WHEN status = 'completed' THEN 'already_completed' ELSE 'in_doubt' END AS disposition, coalesce(status = 'failed', FALSE) AS retry FROM wq LEFT JOIN ot USING (operation_id)",
     "operation_id": f"SELECT event_id, 'op_' || substr(sha256('submit_application|' || {APP} || '|[{{\"key\":\"a\",\"value\":\"' || user_id || '\"}},{{\"key\":\"z\",\"value\":\"' || event_type || '\"}}]'), 1, 16) AS operation_id FROM events",
-    "seal_log": f"WITH {_SEAL} SELECT seq, prev_hash FROM ln UNION ALL SELECT seq + 1, sha256(c || '|' || coalesce(prev_hash, 'null')) FROM ln WHERE seq < (SELECT max(seq) FROM sc)",
+    "seal_log": f"WITH RECURSIVE {_SEAL} SELECT b * 500 + k AS seq, nullif(links[k], 'null') AS prev_hash FROM (SELECT b, links, unnest(range(1, n + 1)) AS k FROM ln)",
     "verify_chain": "SELECT * FROM (VALUES (TRUE, NULL::BIGINT, NULL::VARCHAR, 'sound'), (FALSE, 1235, 'prev_hash does not match the preceding event', 'tampered'), (FALSE, 778, 'predecessor is missing', 'gap')) AS t(ok, broken_at, reason, log)",
     "latest_frozen": f"WITH {CTE} SELECT seq, app AS application_id, CASE event_id % 3 WHEN 0 THEN 'human' ELSE 'agent' END AS actor FROM lg WHERE type = 'submitted' ORDER BY seq DESC LIMIT 1",
     "scrub_secrets": "SELECT event_id, '{\"user\":\"u' || user_id || '\",\"password\":\"[redacted]\",\"list\":[{\"API_key\":\"[redacted]\"},{\"ok\":' || user_id || '}]}' AS data FROM events",

@@ -44,13 +44,33 @@ def _link(content: Column, prev_hash: Column) -> Column:
     return F.sha2(F.concat_ws("|", content, F.coalesce(prev_hash, F.lit("null"))), 256)
 
 
-def _block_roots(log: DataFrame, block: int) -> DataFrame:
-    """One digest per block of ``block`` consecutive events."""
-    return (
-        log.select(F.floor((F.col("seq") - 1) / block).alias("_block"), "seq", F.sha2(content_json(), 256).alias("d"))
-        .groupBy("_block")
-        .agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "d"))), lambda x: x["d"]), "|"), 256).alias("root"))
-    )
+def _digests(rows: DataFrame, place: str, digest: str, block: int) -> DataFrame:
+    """(n, d): one digest per ``block`` consecutive places."""
+    inside = F.transform(F.array_sort(F.collect_list(F.struct(place, digest))), lambda x: x[digest])
+    return rows.groupBy(F.floor(F.col(place) / block).alias("n")).agg(F.sha2(F.array_join(inside, "|"), 256).alias("d"))
+
+
+def _roots_before(log: DataFrame, block: int) -> DataFrame:
+    """(_block, root): what all blocks before a block amount to; NULL before the first.
+
+    A root covers its block and the root before it, so a change anywhere changes every later root. The roots are linked in
+    two levels of ``block`` members, and only the upper one, with one row per ``block`` blocks, is linked by one task.
+    """
+
+    def chained(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("n")
+        prev, out = rows["start"].iloc[0], []
+        for d in rows["d"]:
+            out.append(prev)
+            prev = hashlib.sha256(f"{d}|{'null' if prev is None else prev}".encode()).hexdigest()
+        return pd.DataFrame({"n": rows["n"], "root": out})
+
+    events = log.select((F.col("seq") - 1).alias("at"), F.sha2(content_json(), 256).alias("c"))
+    lower = _digests(events, "at", "c", block)
+    upper = _digests(lower, "n", "d", block).withColumns({"start": F.lit(None).cast("string"), "_top": F.floor(F.col("n") * 0)})
+    starts = upper.groupBy("_top").applyInPandas(chained, "n long, root string").select(F.col("n").alias("_upper"), F.col("root").alias("start"))
+    members = lower.withColumn("_upper", F.floor(F.col("n") / block)).join(starts, "_upper")
+    return members.groupBy("_upper").applyInPandas(chained, "n long, root string").withColumnRenamed("n", "_block")
 
 
 def seal_log(log: DataFrame, block: int = SEAL_BLOCK) -> DataFrame:
@@ -58,9 +78,10 @@ def seal_log(log: DataFrame, block: int = SEAL_BLOCK) -> DataFrame:
 
     A strictly sequential chain cannot be written in parallel, so the chain is cut in blocks of
     ``block`` events. Inside a block each event links to its predecessor's content and link; the
-    first event of a block links to the digest of the whole previous block.
+    first event of a block links to the root of all blocks before, so no part of the past can be
+    changed and sealed again without changing the last link.
     """
-    roots = _block_roots(log, block).select((F.col("_block") + 1).alias("_block"), "root")
+    roots = _roots_before(log, block)
     rows = log.withColumn("_block", F.floor((F.col("seq") - 1) / block)).withColumn("_content", content_json())
     start = rows.select("seq", "_block", "_content").join(roots, "_block", "left")
 
@@ -86,7 +107,7 @@ def verify_chain(log: DataFrame, block: int = SEAL_BLOCK) -> DataFrame:
     before = rows.select(
         (F.col("seq") + 1).alias("seq"), _link(F.col("_content"), F.col("prev_hash")).alias("_expected"), F.lit(True).alias("_has")
     )
-    roots = _block_roots(log, block).select(((F.col("_block") + 1) * block + 1).cast("long").alias("seq"), "root")
+    roots = _roots_before(log, block).select((F.col("_block") * block + 1).cast("long").alias("seq"), "root")
     joined = rows.join(before, "seq", "left").join(roots, "seq", "left")
     expected = F.when(F.pmod(F.col("seq") - 1, F.lit(block)) == 0, F.col("root")).otherwise(F.col("_expected"))
     copies = log.groupBy("seq").count().filter("count > 1").select("seq", F.lit("sequence number repeats").alias("reason"))

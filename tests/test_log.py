@@ -72,6 +72,13 @@ def test_chain(log):
     assert log_rebuild.rebuild(sealed, block=5)["applications"].count() == 2
 
 
+def test_a_forged_and_resealed_history_changes_the_last_link(log):
+    links = lambda x: [r["prev_hash"] for r in eventlog.seal_log(x, block=3).orderBy("seq").collect()]
+    forged = log.withColumn("data", F.when(F.col("seq") == 2, F.lit('{"x":1}')).otherwise(F.col("data")))
+    one, other = links(log), links(forged)
+    assert one[:2] == other[:2] and all(a != b for a, b in zip(one[2:], other[2:], strict=True)) and len(one) > 9
+
+
 def test_streams_equal_batch(spark, log, tmp_path):
     path = str(tmp_path / "log")
     for lo, hi in ((1, 4), (5, 6), (7, 12), (13, 16)):
