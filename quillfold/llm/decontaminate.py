@@ -8,6 +8,9 @@ slots are a verbatim copy, consistently changed ones a re-parameterised one.
 
 Documents do not shuffle their windows: a bit table of fixed size that holds the benchmark's windows goes to the tasks,
 and only windows found there (true ones and a few in ten thousand others) go on to the join, which is exact.
+
+Every window of every item takes part, however many items share it. Documents first meet the distinct places of windows,
+whatever items have them; only diagonals that cover enough words for one of these items go on to the items themselves.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from .store import saved
 WINDOW, LITERAL, SHORTEST = 8, 4, 5
 #: Template words that a hit covers at least, or all that the item's windows cover.
 COVERED = 12
-#: Items that share a window at most, for it to bring up candidates; an item with no such window brings up all of its.
+#: Items of a window that one task joins with it: a window of more items is dealt out in parts of about so many.
 SHARED = 32
 #: Bits of the table of windows.
 BITS = 1 << 24
@@ -126,7 +129,7 @@ def text_key(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(code, size, item_id, at, slots, covers) of the windows that bring up candidates, in a table.
+    """(code, size, item_id, at, slots, covers) of all windows of the items, in a table.
 
     Items of fewer than `SHORTEST` template words have none, shorter items than a window one of their own length. Items
     with equal templates and slots are one, under the smallest id. covers: template words to be covered for a hit.
@@ -153,13 +156,9 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
     texts = benchmark.filter("item_id IS NOT NULL").groupBy(F.col("text").cast("string").alias("text")).agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
     rows = saved(texts.select("item_id", "text").mapInArrow(run, "code long, size int, item_id long, at int, slots array<long>"))
-    shared = rows.groupBy("code").agg(F.count("*").alias("items"))
-    told = rows.join(shared, "code")
-    rare = told.groupBy("item_id").agg(F.min("items").alias("least"))
-    kept = told.join(rare, "item_id").filter((F.col("items") <= SHARED) | (F.col("least") > SHARED))
     ahead = covered_words(F.sort_array(F.collect_set("at")), F.max("size"))
-    covers = kept.groupBy("item_id").agg(F.least(ahead, F.lit(COVERED)).alias("covers"))
-    return saved(kept.join(covers, "item_id").select("code", "size", "item_id", "at", "slots", "covers"))
+    covers = rows.groupBy("item_id").agg(F.least(ahead, F.lit(COVERED)).alias("covers"))
+    return saved(rows.join(covers, "item_id").select("code", "size", "item_id", "at", "slots", "covers"))
 
 
 def covered_words(places: Column, size: Column) -> Column:
@@ -210,9 +209,19 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     texts = docs.select(text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
     found = texts.mapInArrow(run, "text_key binary, code long, doc_at int, doc_slots array<long>").dropDuplicates(["text_key", "code", "doc_at"])
-    met = saved(found).join(windows, "code").filter(F.size("slots") == F.size("doc_slots"))
+    # distinct places of windows, in how many parts their items are dealt out, and the words that one of these covers at least
+    parts = F.ceil(F.count("*") / SHARED).cast("int").alias("parts")
+    places = saved(windows.groupBy("code", "at").agg(F.max("size").alias("size"), F.min("covers").alias("least"), parts))
+    diagonal = (F.col("doc_at") - F.col("at")).alias("diagonal")
+    placed = saved(saved(found).join(places, "code").select("text_key", "code", "at", "doc_slots", diagonal, "size", "least", "parts"))
+    # covers no less than any single item's windows on this diagonal do
+    enough = covered_words(F.sort_array(F.collect_set("at")), F.max("size")) >= F.min("least")
+    alive = placed.groupBy("text_key", "diagonal").agg(enough.alias("enough")).filter("enough").select("text_key", "diagonal")
+    dealt = placed.join(alive, ["text_key", "diagonal"]).select("text_key", "diagonal", "code", "at", "doc_slots", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    own = windows.join(places.select("code", "at", "parts"), ["code", "at"]).withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int")).drop("parts")
+    met = dealt.join(own, ["code", "at", "part"]).filter(F.size("slots") == F.size("doc_slots"))
     pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("slots").alias("b"), F.col("doc_slots").alias("d")))))
-    chains = met.groupBy("text_key", "item_id", (F.col("doc_at") - F.col("at")).alias("diagonal")).agg(
+    chains = met.groupBy("text_key", "item_id", "diagonal").agg(
         covered_words(F.sort_array(F.collect_set("at")), F.max("size")).alias("covered"),
         F.max("covers").alias("covers"),
         pairs.alias("pairs"),

@@ -58,6 +58,18 @@ def test_windows_shared_by_many_items(spark, monkeypatch):
     assert 3 in told[1] and 50 in told[1] and told[2] == [50]
 
 
+def test_families_of_any_size(spark):
+    """A stem brings up every item of its family, verbatim or re-parameterised, with 32 items as with 40."""
+    for size in (32, 40):
+        stem = "{} trains leave the old station and each of them carries {} tired people home over {} long miles of rail in the night."
+        items = [(i, f"{stem.format(12, i + 50, 7)} {prose(100 + i, 10)}") for i in range(size)] + [(99, f"{stem.format(1, 2, 3)} {prose(7, 4)}")]
+        told = f"before. {stem.format(31, 45, 8)} {prose(900, 10)}"
+        docs = [(1, told), (2, f"see: {stem.format(12, 53, 7)}"), (3, "and each of them carries 4 tired people away"), (4, f"x {prose(103, 10)} y")]
+        found = {r.doc_id: r["items"] for r in d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+        everyone = [*range(size), 99]
+        assert found == {1: everyone, 2: everyone}
+
+
 def test_no_rows(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert d.contaminated(no_documents(spark), bench).collect() == []
