@@ -2,6 +2,8 @@
 
 Words become typed placeholders where a question can be re-parameterised: numbers, units, names (words
 with a capital initial within a sentence). Windows of consecutive template words are hashed and joined between documents and benchmark items.
+Windows of placeholders for the most part say too little; they are hashed with what stands in them (exact windows), so that they meet
+verbatim copies. Scripts without spaces between words are cut into characters.
 Matching windows on one diagonal (document position minus item position) are chained; a chain that covers enough of an
 item is a hit if its slots are consistent: one value of the item always stands for one value of the document. Equal
 slots are a verbatim copy, consistently changed ones a re-parameterised one.
@@ -15,6 +17,8 @@ whatever items have them; only diagonals that cover enough words for one of thes
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from .batches import Words, by_text_size, hash_of, mix, texts_of
 from .store import saved
 
-#: Template words of a window, words of it that must not be placeholders, and of the shortest item that can be found.
+#: Template words of a window, words of it that are no placeholders unless it is exact, and words of the shortest item that can be found.
 WINDOW, LITERAL, SHORTEST = 8, 4, 5
 #: Template words that a hit covers at least, or all that the item's windows cover.
 COVERED = 12
@@ -45,13 +49,27 @@ UNITS = (
 _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (0x6E756D, 0x756E6974, 0x6E616D65))
 _unit_hashes: list[np.ndarray] = []
 
+#: Characters of scripts without spaces between words: Thai, Lao, Tibetan, Burmese, Khmer, kana, bopomofo, Chinese.
+_UNSPACED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3021-\u3029\u3031-\u3035\u3040-\u30ff\u3100-\u312f\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff"
+#: Punctuation and spaces beyond ASCII, and those of them that end a sentence.
+_MARKS = "".join(c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c)[0] in "PZ" and c != "\u30fb")
+_ENDS = "\u2026\u3002\uff01\uff0e\uff1a\uff1b\uff1f\uff61"
+_beyond = re.compile(f"([{re.escape(_MARKS)}])|([{_UNSPACED}])")
+
+
+def _spaced(text: str) -> str:
+    """With characters of unspaced scripts as words of their own, and punctuation beyond ASCII as a stop or space."""
+    if text.isascii():
+        return text
+    return _beyond.sub(lambda m: f" {m[2]} " if m[2] else ". " if m[1] in _ENDS else " ", text)
+
 
 class Template:
     """Template words of many texts: `word` (hash or placeholder), `slot` (whether a placeholder), `value` (hash of what
     stood there) and `first` (where each text's begin, one entry more)."""
 
     def __init__(self, texts: list[str]):
-        words = Words(texts, fold=True)
+        words = Words([_spaced(t) for t in texts], fold=True)
         raw = np.frombuffer(words.raw, np.uint8)
         start, end = words.start, words.end
         digit = (raw >= 0x30) & (raw <= 0x39)
@@ -96,43 +114,54 @@ class Template:
             self.first = words.first
         self.value = value
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, position in it, hash) of the windows of `size` words with enough words that are no placeholders."""
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, position in it, hash, whether exact) of the windows of `size` words.
+
+        A window with too few words that are no placeholders is exact: its hash is of the words that stand there.
+        """
         count = np.diff(self.first)
         row = np.repeat(np.arange(len(count)), count)
         n = len(self.word) - size + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        at = np.arange(n)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
         literal = np.concatenate([[0], np.cumsum(~self.slot)])
-        good = (row[:n] == row[size - 1 :]) & (literal[size:] - literal[:n] >= min(LITERAL, size - 1))
-        code = np.full(n, size, np.uint64)
+        exact = literal[size:] - literal[:n] < min(LITERAL, size - 1)
+        code, values = np.full(n, size, np.uint64), np.full(int(exact.sum()), size + WINDOW, np.uint64)
+        place = np.flatnonzero(exact)
         for k in range(size):
-            code = (code ^ self.word[k : k + n]) * np.uint64(0xD6E8FEB86659FD93)
-            code ^= code >> np.uint64(32)
-        code = mix(code)
-        return row[:n][good], at[good] - self.first[row[:n][good]], code[good]
-
-    def slots(self, row: np.ndarray, position: np.ndarray, size: int) -> pa.ListArray:
-        """Values of the placeholders of each of these windows, in order."""
+            _stir(code, self.word[k : k + n])
+            _stir(values, self.value[place + k])
+        code[exact] = values
+        at = np.flatnonzero(row[:n] == row[size - 1 :])
+        return row[at], at - self.first[row[at]], mix(code[at]), exact[at]
+
+    def slots(self, row: np.ndarray, position: np.ndarray, size: int, exact: np.ndarray) -> pa.ListArray:
+        """Values of the placeholders of each of these windows, of an exact one of all words, in order."""
         begin = self.first[row] + position
         place = begin[:, None] + np.arange(size)
-        is_slot = self.slot[place] if len(begin) else np.zeros((0, size), bool)
+        is_slot = self.slot[place] | exact[:, None] if len(begin) else np.zeros((0, size), bool)
         ends = np.concatenate([[0], np.cumsum(is_slot.sum(1))])
         values = self.value[place][is_slot] if len(begin) else np.zeros(0, np.uint64)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64)))
 
 
+def _stir(code: np.ndarray, word: np.ndarray) -> None:
+    code ^= word
+    code *= np.uint64(0xD6E8FEB86659FD93)
+    code ^= code >> np.uint64(32)
+
+
 def text_key(text: Column) -> Column:
     """Identifies a whole text; null reads as empty."""
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(code, size, item_id, at, slots, covers) of all windows of the items, in a table.
+    """(code, size, item_id, at, slots, exact, covers, typed) of all windows of the items, in a table.
 
     Items of fewer than `SHORTEST` template words have none, shorter items than a window one of their own length. Items
-    with equal templates and slots are one, under the smallest id. covers: template words to be covered for a hit.
+    with equal templates and slots are one, under the smallest id. covers: template words to be covered for a hit; typed: those to be covered by windows
+    that are not exact, null without such windows. Either will do.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,25 +169,27 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
             made = Template(texts_of(batch))
             count = np.diff(made.first)
             for size in range(SHORTEST, WINDOW + 1):
-                row, at, code = made.windows(size)
+                row, at, code, exact = made.windows(size)
                 mine = count[row] == size if size < WINDOW else count[row] >= size
-                row, at, code = row[mine], at[mine], code[mine]
+                row, at, code, exact = row[mine], at[mine], code[mine], exact[mine]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(code.view(np.int64)),
                         pa.array(np.full(len(row), size, np.int32)),
                         batch.column("item_id").take(pa.array(row)),
                         pa.array(at.astype(np.int32)),
-                        made.slots(row, at, size),
+                        made.slots(row, at, size, exact),
+                        pa.array(exact),
                     ],
-                    ["code", "size", "item_id", "at", "slots"],
+                    ["code", "size", "item_id", "at", "slots", "exact"],
                 )
 
     texts = benchmark.filter("item_id IS NOT NULL").groupBy(F.col("text").cast("string").alias("text")).agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
-    rows = saved(texts.select("item_id", "text").mapInArrow(run, "code long, size int, item_id long, at int, slots array<long>"))
+    rows = saved(texts.select("item_id", "text").mapInArrow(run, "code long, size int, item_id long, at int, slots array<long>, exact boolean"))
+    typed = covered_words(F.sort_array(F.collect_set(F.when(~F.col("exact"), F.col("at")))), F.max("size"))
     ahead = covered_words(F.sort_array(F.collect_set("at")), F.max("size"))
-    covers = rows.groupBy("item_id").agg(F.least(ahead, F.lit(COVERED)).alias("covers"))
-    return saved(rows.join(covers, "item_id").select("code", "size", "item_id", "at", "slots", "covers"))
+    covers = rows.groupBy("item_id").agg(F.least(ahead, F.lit(COVERED)).alias("covers"), F.when(typed > 0, F.least(typed, F.lit(COVERED))).alias("typed"))
+    return saved(rows.join(covers, "item_id").select("code", "size", "item_id", "at", "slots", "exact", "covers", "typed"))
 
 
 def covered_words(places: Column, size: Column) -> Column:
@@ -193,16 +224,16 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for batch in by_text_size(batches):
             made = Template(texts_of(batch))
             for size in sizes:
-                row, at, code = made.windows(size)
+                row, at, code, exact = made.windows(size)
                 place = (code & np.uint64(BITS - 1)).astype(np.int64)
                 there = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                row, at, code = row[there], at[there], code[there]
+                row, at, code, exact = row[there], at[there], code[there], exact[there]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("text_key").take(pa.array(row)),
                         pa.array(code.view(np.int64)),
                         pa.array(at.astype(np.int32)),
-                        made.slots(row, at, size),
+                        made.slots(row, at, size, exact),
                     ],
                     ["text_key", "code", "doc_at", "doc_slots"],
                 )
@@ -211,7 +242,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = texts.mapInArrow(run, "text_key binary, code long, doc_at int, doc_slots array<long>").dropDuplicates(["text_key", "code", "doc_at"])
     # distinct places of windows, in how many parts their items are dealt out, and the words that one of these covers at least
     parts = F.ceil(F.count("*") / SHARED).cast("int").alias("parts")
-    places = saved(windows.groupBy("code", "at").agg(F.max("size").alias("size"), F.min("covers").alias("least"), parts))
+    places = saved(windows.groupBy("code", "at").agg(F.max("size").alias("size"), F.min(F.least("covers", "typed")).alias("least"), parts))
     diagonal = (F.col("doc_at") - F.col("at")).alias("diagonal")
     placed = saved(saved(found).join(places, "code").select("text_key", "code", "at", "doc_slots", diagonal, "size", "least", "parts"))
     # covers no less than any single item's windows on this diagonal do
@@ -220,16 +251,22 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     dealt = placed.join(alive, ["text_key", "diagonal"]).select("text_key", "diagonal", "code", "at", "doc_slots", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     own = windows.join(places.select("code", "at", "parts"), ["code", "at"]).withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int")).drop("parts")
     met = dealt.join(own, ["code", "at", "part"]).filter(F.size("slots") == F.size("doc_slots"))
-    pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("slots").alias("b"), F.col("doc_slots").alias("d")))))
+    zipped, typed = F.arrays_zip(F.col("slots").alias("b"), F.col("doc_slots").alias("d")), ~F.col("exact")
+    pairs_of = lambda x: F.array_distinct(F.flatten(F.collect_set(x)))
+    places_of = lambda x: covered_words(F.sort_array(F.collect_set(x)), F.max("size"))
     chains = met.groupBy("text_key", "item_id", "diagonal").agg(
-        covered_words(F.sort_array(F.collect_set("at")), F.max("size")).alias("covered"),
+        places_of(F.col("at")).alias("covered"),
+        places_of(F.when(typed, F.col("at"))).alias("by_typed"),
         F.max("covers").alias("covers"),
-        pairs.alias("pairs"),
+        F.max("typed").alias("typed"),
+        pairs_of(zipped).alias("pairs"),
+        pairs_of(F.when(typed, zipped)).alias("typed_pairs"),
     )
-    values = F.array_distinct(F.transform("pairs", lambda p: p["b"]))
-    consistent = F.size(values) == F.size("pairs")
+    consistent = lambda pairs: F.size(F.array_distinct(F.transform(pairs, lambda p: p["b"]))) == F.size(pairs)
+    whole = (F.col("covered") >= F.col("covers")) & consistent("pairs")
+    by_typed = (F.col("by_typed") >= F.col("typed")) & consistent("typed_pairs")
     return (
-        chains.filter((F.col("covered") >= F.col("covers")) & consistent)
+        chains.filter(whole | by_typed)
         .groupBy("text_key", "item_id")
         .agg(F.max("covered").alias("covered"), F.max(F.forall("pairs", lambda p: p["b"] == p["d"])).alias("verbatim"))
     )

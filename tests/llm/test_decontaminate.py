@@ -70,6 +70,21 @@ def test_families_of_any_size(spark):
         assert found == {1: everyone, 2: everyone}
 
 
+def test_verbatim_copies_of_figures_names_and_unspaced_scripts(spark):
+    items = [
+        (1, "Compute 12 + 34 - 5 * 6 / 7 = 8 and 9"), (2, "we met Alice, Bob, Carol, Dave, Erin, Frank, Grace, Heidi and Ivan"), (3, "3 4 km 7 9"),
+        (4, "\u6c34\u7684\u6cb8\u70b9\u662f\u591a\u5c11\u5ea6\uff1f"), (5, "\u65e5\u672c\u306e\u9996\u90fd\u306f\u3069\u3053\u3067\u3059\u304b\u3002"),
+        (6, "1990 12 4.5 1,000 77 1991 13 4.7 1,020 78 1992 15 4.9 1,040 80 1993 19 5.1 1,050 81"),
+    ]
+    docs = [(i, f"{prose(i, 20)} so {t} so {prose(-i, 20)}") for i, t in items]
+    docs += [
+        (7, "so \u8bf7\u95ee\u6c34\u7684\u6cb8\u70b9\u662f\u591a\u5c11\u5ea6\u3002"), (8, "\u300c\u65e5\u672c\u306e\u9996\u90fd\u306f\u3069\u3053\u3067\u3059\u304b\u300d"),
+        (11, "Compute 12 + 34 - 5 * 6 / 7 = 8 and 10"), (12, "so 3 4 km 7 8 so"), (14, "\u6c34\u7684\u6cb8\u70b9\u662f"),
+    ]
+    found = d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r["items"], r.verbatim) for r in found} == {**{i: ([i], True) for i in range(1, 7)}, 7: ([4], True), 8: ([5], True)}
+
+
 def test_no_rows(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert d.contaminated(no_documents(spark), bench).collect() == []
