@@ -2,8 +2,10 @@
 
 Words become typed placeholders where a question can be re-parameterised: numbers, units, names (words
 with a capital initial within a sentence). Windows of consecutive template words are hashed and joined between documents and benchmark items.
-Windows of placeholders for the most part say too little; they are hashed with what stands in them (exact windows), so that they meet
-verbatim copies. Scripts without spaces between words are cut into characters.
+Whether a capital makes a name depends on what stands before it, which a copy may change: such words of an item, a capital at
+its start always, are read both ways, each reading a window of its own. Windows of placeholders for the most part say too
+little; they are hashed with what stands in them (exact windows), so that they meet verbatim copies. Scripts without spaces
+between words are cut into characters.
 Matching windows on one diagonal (document position minus item position) are chained; a chain that covers enough of an
 item is a hit if its slots are consistent: one value of the item always stands for one value of the document. Equal
 slots are a verbatim copy, consistently changed ones a re-parameterised one.
@@ -46,8 +48,15 @@ UNITS = (
     "kelvin watt watts volt volts joule joules newton newtons hz khz mhz kb mb gb tb mph kmh"
 ).split()
 
+#: Words that a capital does not make a name, in lower case.
+PLAIN = (
+    "the a in on at to of for from by with as if when while where what which who whom whose why how is are was were do does did "
+    "can could should would has have had and or but not no it its this that these those there then than they we you he she i "
+    "his her their our your my each every all some any both one after before because since so"
+).split()
+
 _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (0x6E756D, 0x756E6974, 0x6E616D65))
-_unit_hashes: list[np.ndarray] = []
+_fixed: list[np.ndarray] = []
 
 #: Characters of scripts without spaces between words: Thai, Lao, Tibetan, Burmese, Khmer, kana, bopomofo, Chinese.
 _UNSPACED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3021-\u3029\u3031-\u3035\u3040-\u30ff\u3100-\u312f\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff"
@@ -66,7 +75,8 @@ def _spaced(text: str) -> str:
 
 class Template:
     """Template words of many texts: `word` (hash or placeholder), `slot` (whether a placeholder), `value` (hash of what
-    stood there) and `first` (where each text's begin, one entry more)."""
+    stood there), `first` (where each text's begin, one entry more) and `unclear` (whether it has a name's capital, and what
+    stands before it leaves open if it is a name)."""
 
     def __init__(self, texts: list[str]):
         words = Words([_spaced(t) for t in texts], fold=True)
@@ -75,10 +85,9 @@ class Template:
         digit = (raw >= 0x30) & (raw <= 0x39)
         digits = np.concatenate([[0], np.cumsum(digit, dtype=np.int64)])
         number = digits[end] - digits[start] == end - start
-        if not _unit_hashes:
-            _unit_hashes.append(np.sort(np.array([hash_of(u) for u in UNITS], np.uint64)))
-        units = _unit_hashes[0]
-        unit = units[np.minimum(np.searchsorted(units, words.hash), len(units) - 1)] == words.hash
+        if not _fixed:
+            _fixed.extend(np.sort(np.array([hash_of(w) for w in each], np.uint64)) for each in (UNITS, PLAIN))
+        unit, plain = (f[np.minimum(np.searchsorted(f, words.hash), len(f) - 1)] == words.hash for f in _fixed)
         lead, last = raw[start], len(raw) - 1
         next_at = np.minimum(start + 1 + (lead == 0xC3), last)  # its second character
 
@@ -91,7 +100,10 @@ class Template:
         before = raw[seen[start - 1]]
         opens = np.isin(before, np.frombuffer(b".!?:;\n", np.uint8))
         # a word in capitals, or a capital before a digit, is no name but a word like any other
-        name = capital(start) & ~capital(next_at) & ~digit[next_at] & ~opens & (next_at < end) & ~number
+        shaped = capital(start) & ~capital(next_at) & ~digit[next_at] & (next_at < end) & ~number & ~plain
+        name = shaped & ~opens
+        running = digit | ((raw | 0x20) >= 0x61) & ((raw | 0x20) <= 0x7A) | (raw >= 0x80) | (raw == 0x2C)
+        self.unclear = shaped & ~unit & ~running[seen[start - 1]]
         # a number goes on after a point or comma: 3.14 and 1,000 are one number
         joint = np.zeros(len(start), bool)
         if len(start) > 1:
@@ -109,23 +121,25 @@ class Template:
             keep = ~joint
             kept = np.concatenate([[0], np.cumsum(keep)])
             self.first = kept[words.first]
-            self.word, self.slot, value = self.word[keep], self.slot[keep], value[keep]
+            self.word, self.slot, self.unclear, value = self.word[keep], self.slot[keep], self.unclear[keep], value[keep]
         else:
             self.first = words.first
         self.value = value
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, position in it, hash, whether exact) of the windows of `size` words.
+    def windows(self, size: int, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, position in it, hash, whether exact, words read the other way as bits) of the windows of `size` words.
 
-        A window with too few words that are no placeholders is exact: its hash is of the words that stand there.
+        A window with too few words that are no placeholders is exact: its hash is of the words that stand there. With
+        `every`, all readings of the unclear words are told, else those as they stand and the first word as a name.
         """
         count = np.diff(self.first)
         row = np.repeat(np.arange(len(count)), count)
         n = len(self.word) - size + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64)
+        least = min(LITERAL, size - 1)
         literal = np.concatenate([[0], np.cumsum(~self.slot)])
-        exact = literal[size:] - literal[:n] < min(LITERAL, size - 1)
+        exact = literal[size:] - literal[:n] < least
         code, values = np.full(n, size, np.uint64), np.full(int(exact.sum()), size + WINDOW, np.uint64)
         place = np.flatnonzero(exact)
         for k in range(size):
@@ -133,13 +147,37 @@ class Template:
             _stir(values, self.value[place + k])
         code[exact] = values
         at = np.flatnonzero(row[:n] == row[size - 1 :])
-        return row[at], at - self.first[row[at]], mix(code[at]), exact[at]
-
-    def slots(self, row: np.ndarray, position: np.ndarray, size: int, exact: np.ndarray) -> pa.ListArray:
+        told = [(at, code[at], exact[at], np.zeros(len(at), np.int64))]
+        if not every:
+            told.append(self._read(at[self.unclear[at] & ~self.slot[at]], np.int64(1), size, least))
+        elif self.unclear.any():
+            bits = sum(self.unclear[at + k].astype(np.int64) << k for k in range(size))
+            for flips in range(1, 1 << size):
+                told.append(self._read(at[bits & flips == flips], np.int64(flips), size, least))
+        at, code, exact, flips = (np.concatenate(x) for x in zip(*told, strict=True))
+        if every:  # readings that are exact have one hash
+            _, once = np.unique(np.stack([at.astype(np.uint64), code]), axis=1, return_index=True)
+            at, code, exact, flips = at[once], code[once], exact[once], flips[once]
+        return row[at], at - self.first[row[at]], mix(code), exact, flips
+
+    def _read(self, at: np.ndarray, flips: np.int64, size: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(at, hash, whether exact, flips) of the windows that begin `at`, with the words at the bits `flips` read the other way."""
+        code, values, literals = np.full(len(at), size, np.uint64), np.full(len(at), size + WINDOW, np.uint64), np.zeros(len(at), np.int64)
+        for k in range(size):
+            slot, word = self.slot[at + k], self.word[at + k]
+            if flips >> k & 1:
+                slot, word = ~slot, np.where(slot, self.value[at + k], _NAME)
+            literals += ~slot
+            _stir(code, word)
+            _stir(values, self.value[at + k])
+        exact = literals < least
+        return at, np.where(exact, values, code), exact, np.full(len(at), flips)
+
+    def slots(self, row: np.ndarray, position: np.ndarray, size: int, exact: np.ndarray, flips: np.ndarray) -> pa.ListArray:
         """Values of the placeholders of each of these windows, of an exact one of all words, in order."""
         begin = self.first[row] + position
         place = begin[:, None] + np.arange(size)
-        is_slot = self.slot[place] | exact[:, None] if len(begin) else np.zeros((0, size), bool)
+        is_slot = self.slot[place] ^ (flips[:, None] >> np.arange(size) & 1 == 1) | exact[:, None] if len(begin) else np.zeros((0, size), bool)
         ends = np.concatenate([[0], np.cumsum(is_slot.sum(1))])
         values = self.value[place][is_slot] if len(begin) else np.zeros(0, np.uint64)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64)))
@@ -169,16 +207,16 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
             made = Template(texts_of(batch))
             count = np.diff(made.first)
             for size in range(SHORTEST, WINDOW + 1):
-                row, at, code, exact = made.windows(size)
+                row, at, code, exact, flips = made.windows(size, every=True)
                 mine = count[row] == size if size < WINDOW else count[row] >= size
-                row, at, code, exact = row[mine], at[mine], code[mine], exact[mine]
+                row, at, code, exact, flips = row[mine], at[mine], code[mine], exact[mine], flips[mine]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(code.view(np.int64)),
                         pa.array(np.full(len(row), size, np.int32)),
                         batch.column("item_id").take(pa.array(row)),
                         pa.array(at.astype(np.int32)),
-                        made.slots(row, at, size, exact),
+                        made.slots(row, at, size, exact, flips),
                         pa.array(exact),
                     ],
                     ["code", "size", "item_id", "at", "slots", "exact"],
@@ -224,16 +262,16 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for batch in by_text_size(batches):
             made = Template(texts_of(batch))
             for size in sizes:
-                row, at, code, exact = made.windows(size)
+                row, at, code, exact, flips = made.windows(size)
                 place = (code & np.uint64(BITS - 1)).astype(np.int64)
                 there = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                row, at, code, exact = row[there], at[there], code[there], exact[there]
+                row, at, code, exact, flips = row[there], at[there], code[there], exact[there], flips[there]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("text_key").take(pa.array(row)),
                         pa.array(code.view(np.int64)),
                         pa.array(at.astype(np.int32)),
-                        made.slots(row, at, size, exact),
+                        made.slots(row, at, size, exact, flips),
                     ],
                     ["text_key", "code", "doc_at", "doc_slots"],
                 )

@@ -85,6 +85,23 @@ def test_verbatim_copies_of_figures_names_and_unspaced_scripts(spark):
     assert {r.doc_id: (r["items"], r.verbatim) for r in found} == {**{i: ([i], True) for i in range(1, 7)}, 7: ([4], True), 8: ([5], True)}
 
 
+def test_capitals_after_any_mark(spark):
+    items = [(1, "What is the capital of France?"), (2, "Compute the sum of all primes below ten"), (3, "Alice owns five apples and seven green pears"), (4, "Sort each list of words.\nThen print every second word of it.")]
+    marks = ["- ", "* ", "1) ", "**", "\u2014 ", "\u201c", "so ", "x, ", "end. ", "q: ", "(", "\n", "\u2022 ", "| "]
+    docs, want = [], {}
+    for i, (item, text) in enumerate(items):
+        for k, mark in enumerate(marks):
+            docs.append((100 * i + k, f"it said {mark}{text} and so on"))
+            want[100 * i + k] = ([item], True)
+            if item == 3:
+                docs.append((900 + k, f"it said {mark}{text.replace('Alice', 'Bob')} and so on"))
+                want[900 + k] = ([item], False)
+    docs += [(1000, f"it said {items[3][1].replace(chr(10), ' ')} so"), (1001, "it said. What is the price of France? so"), (1002, "Where is the best capital of France? so")]
+    want[1000] = ([4], True)
+    found = d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r["items"], r.verbatim) for r in found} == want
+
+
 def test_no_rows(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert d.contaminated(no_documents(spark), bench).collect() == []
