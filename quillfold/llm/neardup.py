@@ -8,8 +8,9 @@ weight are looked at, so long texts cost one hash per element; the few texts wit
 
 Texts that agree in a whole band of coordinates are candidates. Equal texts are one node throughout. In a bucket of m
 nodes the first is compared with the others, m - 1 pairs; nodes that stay in different classes meet in further rounds
-(`_rounds`), so a link between any two classes of a bucket is found whatever the first node is. Candidates are checked by
-their exact Jaccard similarity; classes are the connected components of the links.
+(`_rounds`), so a link between any two classes of a bucket is found whatever the first node is; of a large bucket, if the
+two share another bucket. There are bands enough for two. Candidates are checked by their exact Jaccard similarity; classes
+are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from .batches import Words, by_text_size, mix, shingles, texts_of
 from .store import saved
 
 WORDS, SIMILARITY = 5, 0.8
-#: 56 bands of 8: two texts of similarity 0.8 share no band with a chance of 3 in 100,000, of 0.85 of 2 in 100 million.
-BANDS, BAND = 56, 8
+#: 72 bands of 8: two texts of similarity 0.8 share fewer than two bands with a chance of 2.8 in 100,000 (none: 1.8 in a million).
+BANDS, BAND = 72, 8
 COORDINATES = BANDS * BAND
 #: Texts whose darts are thrown at a time.
 TEXTS = 200

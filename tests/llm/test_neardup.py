@@ -105,3 +105,10 @@ def test_components_of_a_chain(spark):
 def test_no_rows(spark):
     assert neardup.near_duplicates(no_documents(spark)).collect() == []
     assert neardup.keep_first(no_documents(spark)).collect() == []
+
+
+def test_bands_are_enough_for_two():
+    """Large buckets are divided by their common ones: texts meet there if they share two bands."""
+    one = neardup.SIMILARITY**neardup.BAND
+    fewer = (1 - one) ** neardup.BANDS + neardup.BANDS * one * (1 - one) ** (neardup.BANDS - 1)
+    assert fewer < 3e-5
