@@ -33,6 +33,8 @@ COORDINATES = BANDS * BAND
 TEXTS = 200
 #: First nodes of a bucket that meet all others in a later round; nodes from which on a bucket is divided by other bands.
 PIVOTS, LARGE = 16, 32
+#: Nodes of a bucket that one task joins with its pivots: a bucket of more nodes is dealt out in parts of about so many.
+PART = 4096
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = float(1 << 32)
@@ -226,24 +228,35 @@ def _rounds(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     large = saved(rest.filter(F.col("m") > LARGE).select("key", "node", "n", "label"))
     other = large.select("node", F.col("key").alias("other"))
     finer = large.join(other, "node").filter(F.col("key") < F.col("other")).select(F.xxhash64("key", "other").alias("key"), "node", "n", "label")
-    rest = rest.filter(F.col("m") <= LARGE).unionByName(_mixed(finer)).select("key", "node", "n", "label")
+    rest = rest.filter(F.col("m") <= LARGE).unionByName(_mixed(finer)).select("key", "node", "n", "label", "m")
     while True:
         # nodes of a bucket's smaller classes come first: once they have met all others, the largest class alone is left
-        members_of = F.count("*").over(Window.partitionBy("key", "label"))
-        place = F.row_number().over(Window.partitionBy("key").orderBy("members", "label", "node"))
-        ranked = saved(rest.repartition("key").withColumn("members", members_of).withColumn("place", place).drop("members"))
-        pivots = ranked.filter(F.col("place") <= PIVOTS).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("place").alias("at"))
+        rest = saved(rest)
+        pivots = saved(_pivots(rest))
+        parts = F.ceil(F.col("m") / PART).cast("int")
+        met = pivots.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
         pairs = (
-            ranked.join(pivots, "key")
-            .filter((F.col("at") < F.col("place")) & (F.col("la") != F.col("label")) & fits(F.col("n"), F.col("na")))
+            rest.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+            .join(met, ["key", "part"])
+            .filter((F.col("la") != F.col("label")) & fits(F.col("n"), F.col("na")))
             .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
             .distinct()
         )
         links = links.union(_links(pairs, sets, similarity))
-        rest = saved(_mixed(ranked.filter(F.col("place") > PIVOTS).select("key", "node", "n", "label")))
+        rest = saved(_mixed(rest.join(pivots.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n", "label")))
         if rest.isEmpty():
             return components(links)
-        rest = rest.select("key", "node", "n", "label")
+
+
+def _pivots(rest: DataFrame) -> DataFrame:
+    """The first `PIVOTS` rows of each bucket, by size of their class in it, label and node.
+
+    Classes are counted in a map-side aggregate; the first nodes are of the first classes. Both ranks are filtered at
+    once, so each task keeps that many rows of a bucket before the exchange, and no whole bucket is sorted in a task.
+    """
+    first = lambda df, *order: df.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter(F.col("place") <= PIVOTS).drop("place")
+    smallest = first(rest.groupBy("key", "label").agg(F.count("*").alias("members")), "members", "label")
+    return first(rest.join(smallest, ["key", "label"]), "members", "label", "node")
 
 
 def _mixed(rest: DataFrame) -> DataFrame:

@@ -112,3 +112,36 @@ def test_bands_are_enough_for_two():
     one = neardup.SIMILARITY**neardup.BAND
     fewer = (1 - one) ** neardup.BANDS + neardup.BANDS * one * (1 - one) ** (neardup.BANDS - 1)
     assert fewer < 3e-5
+
+
+def test_first_nodes_without_sorting_buckets(spark):
+    """The same nodes as by sorting whole buckets, but only the first rows of a task go on to a sort."""
+    draw = random.Random(5)
+    rest = [(k, node, 9, 0 if draw.random() < 0.5 else node % 7 if k else node) for k in range(3) for node in range(1, 400)]
+    frame = spark.createDataFrame(rest, "key long, node long, n int, label long")
+    members = {}
+    for key, _, _, label in rest:
+        members[key, label] = members.get((key, label), 0) + 1
+    want = [r for k in range(3) for r in sorted((r for r in rest if r[0] == k), key=lambda r: (members[k, r[3]], r[3], r[1]))[: neardup.PIVOTS]]
+    found = neardup._pivots(frame)
+    plan = found._jdf.queryExecution().executedPlan().toString()  # each rank is cut before its exchange and after it
+    assert plan.count("WindowGroupLimit") == 4 and plan.count("Partial") == 2
+    assert sorted((r.key, r.node, r.n, r.label) for r in found.collect()) == sorted(want)
+
+
+def test_buckets_in_parts(spark, monkeypatch):
+    """Buckets dealt out in parts give the same classes."""
+    monkeypatch.setattr(neardup, "LARGE", 6)
+    base = prose(1, 120).split()
+    docs = []
+    for i in range(60):
+        words, draw = list(base), random.Random(i // 2)
+        for at in draw.sample(range(120), 6):
+            words[at] = f"x{i // 2}y{at}"
+        docs.append((i, " ".join([*words, f"z{i}"])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = sorted((r.doc_id, r.class_id) for r in neardup.near_duplicates(frame).collect())
+    monkeypatch.setattr(neardup, "PART", 3)
+    assert sorted((r.doc_id, r.class_id) for r in neardup.near_duplicates(frame).collect()) == whole
+    want = plain_classes(docs)
+    assert all((want[a] == want[b]) == (ca == cb) for a, ca in whole for b, cb in whole)
