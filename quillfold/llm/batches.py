@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a task holds as arrays at a time; a longer text comes alone.
-TEXT_BYTES = 4_000_000
+TEXT_BYTES = 1_000_000
 
 
 def by_text_size(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
@@ -34,16 +34,23 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 #: Word characters are 0-9, a-z (A-Z are lower-cased first) and every byte of a character beyond ASCII.
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
+#: All but blank, tab, line breaks and the like.
+SOLID = np.ones(256, bool)
+SOLID[[0x20, *range(0x09, 0x0E)]] = False
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def _power(which: str, size: int) -> np.ndarray:
+    """Powers of the base or of its inverse. Only a table for ordinary slices is kept."""
     if len(_powers[which]) < size:
         base = int(_BASE) if which == "up" else pow(int(_BASE), -1, 2**64)
         table = np.full(max(size, TEXT_BYTES + 4096), base, np.uint64)
         table[0] = 1
-        _powers[which] = np.multiply.accumulate(table)
+        table = np.multiply.accumulate(table, out=table)
+        if size > TEXT_BYTES + 4096:
+            return table
+        _powers[which] = table
     return _powers[which][:size]
 
 
@@ -60,22 +67,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a list of texts: lower-cased runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`.
 
-    With `fold`, letters beyond ASCII are lower-cased too (but for texts where that would move later bytes).
+    With `fold`, letters beyond ASCII are lower-cased too (but for texts where that would move later bytes). `inside` tells
+    other word bytes (a line break is none); without `lower`, texts stay as they are.
 
     Per word: 64-bit hash, start and end byte in `raw` (the texts as given, joined). Per text: range of its words in
     `first` (one entry more than texts).
     """
 
-    def __init__(self, texts: list[str], fold: bool = False):
+    def __init__(self, texts: list[str], fold: bool = False, inside: np.ndarray = _WORD, lower: bool = True):
         encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
         self.raw = b"\n" + b"\n".join(encoded) + b"\n"
-        low = self.raw.lower()
+        low = self.raw.lower() if lower else self.raw
         if fold and len(low) > sum(map(len, texts)) + len(texts) + 1:  # not ASCII alone
             folded = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
             low = b"\n".join([b"", *(b if len(b) == len(a) else a.lower() for a, b in zip(encoded, folded, strict=True)), b""])
         lowered = np.frombuffer(low, np.uint8)
-        inside = _WORD[lowered]
-        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        solid = inside[lowered]
+        edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
         self.start, self.end = edges[0::2], edges[1::2]
         values = lowered.astype(np.uint64) + np.uint64(1)
         values *= _power("up", len(values))
@@ -102,6 +110,14 @@ def hash_of(word: str) -> int:
     return int(Words([word]).hash[0])
 
 
+def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of `size` consecutive hashes, from each place that has so many."""
+    number = max(len(hashes) - size + 1, 0)
+    totals = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(hashes + np.uint64(size)) * _power("up", len(hashes)), out=totals[1:])
+    return mix((totals[size : size + number] - totals[:number]) * _power("down", number))
+
+
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of `size` consecutive words of a text, and the first shingle of each text (one entry more).
 

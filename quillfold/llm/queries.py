@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, decontaminate, hosts, licenses, neardup, packing, quality, secrets, topk, toxicity, trie
+from . import binary, decontaminate, hosts, licenses, neardup, packing, passages, quality, secrets, topk, toxicity, trie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(trie.forked(trie.sequences(table(spark, sf_dir, "conversations"))))
 
 
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_top_products": op2_top_products,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_verdicts": op9_url_verdicts,
     "op10_quality": op10_quality,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_repeated_passages": op13_repeated_passages,
 }
 
 
