@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, decontaminate, hosts, licenses, neardup, packing, passages, quality, secrets, topk, toxicity, trie
+from . import align, binary, decontaminate, hosts, licenses, neardup, packing, passages, quality, secrets, topk, toxicity, trie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(trie.forked(trie.sequences(table(spark, sf_dir, "conversations"))))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_url_verdicts": op9_url_verdicts,
     "op10_quality": op10_quality,
+    "op11_alignment": op11_alignment,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_repeated_passages": op13_repeated_passages,
 }

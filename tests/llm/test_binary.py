@@ -24,7 +24,6 @@ def test_round_trip(spark, monkeypatch):
     parts = binary.write_tokens(frame, folder, BYTE)
     found = sorted(binary.read_tokens(parts, folder, BYTE).collect())
     code = Tokenizer.from_file(BYTE)
-    code.encode_special_tokens = True
     start, want = 0, []
     for i, text in sorted(docs):
         ids = np.array([*code.encode(text or "", add_special_tokens=False).ids, 0], "<u4")

@@ -73,7 +73,6 @@ def test_pieces_of_documents(spark, monkeypatch):
     docs += [(200 + i, t) for i, (_, t, *_) in enumerate(ODD)]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     code = Tokenizer.from_file(WORD)
-    code.encode_special_tokens = True
     ids = {i: [*code.encode(t or "", add_special_tokens=False).ids, 1] for i, t in docs}
     assert check(packing.pack(frame, WORD).collect(), ids, 2048) < 0.02
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import numpy as np
@@ -58,3 +59,21 @@ def test_ids_are_the_library_s(name):
         ends = np.cumsum(sizes)
         got = [ids[b - n : b].tolist() for b, n in zip(ends, sizes, strict=True)]
         assert got == [x.ids for x in code.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_strings_and_white_space(name):
+    """An untouched tokenizer gives special strings their own ids; white space at the end of a piece depends on what follows."""
+    paths = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    plain, draw = Tokenizer.from_file(paths.path(name)), random.Random(3)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "hello", "World", " ", "\n", "\n\n", "  ", ".", "<|", "\0", "é", "\t"]
+    texts = ["hello <|endoftext|> world <|endoftext|>", "foo\n\n", "bar  "] + ["".join(draw.choice(parts) for _ in range(draw.randrange(12))) for _ in range(400)]
+    for special in (False, True):
+        plain.encode_special_tokens = special
+        code = Encoder(paths.path(name), plain=special)
+        for _ in range(2):
+            ids, sizes = code.encode(texts)
+            got = [ids[b - n : b].tolist() for b, n in zip(np.cumsum(sizes), sizes, strict=True)]
+            assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
