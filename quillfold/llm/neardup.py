@@ -29,8 +29,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: 72 bands of 8: two texts of similarity 0.8 share fewer than two bands with a chance of 2.8 in 100,000 (none: 1.8 in a million).
 BANDS, BAND = 72, 8
 COORDINATES = BANDS * BAND
-#: Texts whose darts are thrown at a time.
-TEXTS = 200
+#: Strips and darts that are held at a time; a text of more comes alone.
+DARTS = 400_000
 #: First nodes of a bucket that meet all others in a later round; nodes from which on a bucket is divided by other bands.
 PIVOTS, LARGE = 16, 32
 #: Nodes of a bucket that one task joins with its pivots: a bucket of more nodes is dealt out in parts of about so many.
@@ -89,8 +89,10 @@ def dart_signatures(element: np.ndarray, weight: np.ndarray, first: np.ndarray,
     texts = len(first) - 1
     out = np.zeros((texts, k), np.uint64)
     strips = np.ceil(weight).astype(np.int64)
-    for begin in range(0, texts, TEXTS):
-        till = min(texts, begin + TEXTS)
+    load = np.concatenate([[0], np.cumsum(strips)])[first] + np.arange(texts + 1) * int(k * np.log(k) + 2 * k)
+    till = 0
+    while till < texts:
+        begin, till = till, max(till + 1, int(np.searchsorted(load, load[till] + DARTS, "right")) - 1)
         a, b = first[begin], first[till]
         number = strips[a:b]
         owner = np.repeat(np.repeat(np.arange(till - begin), np.diff(first[begin : till + 1])), number)
