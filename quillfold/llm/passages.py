@@ -91,7 +91,8 @@ def _suspects(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, text, anchors, times) of the texts with an anchor that occurs twice in all texts, in a table: those anchors and
     how often each occurs. The text comes from the rows with its smallest id."""
     seen = texts.select("node", F.explode("anchors").alias("anchor"))
-    times = seen.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1")
+    # a table of its own, so that the join below has two exchanges and a hot anchor can be split
+    times = saved(seen.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1"))
     held = seen.join(times, "anchor").groupBy("node").agg(F.collect_list(F.struct("anchor", "m")).alias("held"))
     wanted = texts.select("node", F.col("text_key").alias("key"), "rep").join(held, "node")
     met = _rows(docs).join(wanted, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("rep")))
