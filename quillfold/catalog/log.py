@@ -184,8 +184,8 @@ def q_adjudicate(spark, sf_dir):
         F.expr("concat('app', c_custkey)").alias("application_id"),
         F.expr("CASE c_custkey % 3 WHEN 0 THEN 'Must be a resident of Ohio to apply here.' WHEN 1 THEN 'Open to undergraduates studying biology.' ELSE 'Something else entirely here.' END").alias("text"),
     )
-    judged = adjudicate(apps, texts, eligibility.Profile(state_names=("texas",)))
-    return judged.groupBy("outcome").agg(F.count("*").alias("n"))
+    judged = adjudicate(apps, texts, eligibility.Profile(state_names=("texas",), allowed_fields=("biology",)))
+    return judged.select("application_id", "outcome", "rule", "new_state", F.col("checkpoint_id").isNotNull().alias("raises"))
 
 
 def _written_log(spark, sf_dir):
@@ -317,7 +317,7 @@ ORACLES = {
     "open_queue": f"WITH {_OPEN} SELECT checkpoint_id, blocking, created_at, '{{\"name\":\"n' || uid || '\"}}' AS context FROM oc",
     "deadline_digest": f"WITH {_FOLD}, dg AS (SELECT application_id, date_diff('day', DATE '2024-04-01', deadline_iso)::INTEGER AS days_remaining, workflow_state FROM ap WHERE deadline_iso IS NOT NULL AND workflow_state NOT IN ('WON', 'LOST', 'DISQUALIFIED')) SELECT application_id, days_remaining, CASE WHEN days_remaining < 0 THEN 'overdue' WHEN days_remaining <= 7 THEN 'this_week' WHEN days_remaining <= 30 THEN 'this_month' ELSE 'later' END AS due, workflow_state FROM dg WHERE days_remaining <= 60",
     "log_outcomes": f"WITH {_FOLD}, {_RESOLVED.replace(CTE + ', ', '')}, f AS (SELECT coalesce(source, 'unknown') AS source, coalesce(effort, 'unknown') AS effort, res FROM rv LEFT JOIN ap ON ap.application_id = rv.app WHERE cpt = 'AWARD_NOTICE_REVIEW' AND res IN ('verified_win', 'not_a_win')) SELECT source, effort, count(*) FILTER (res = 'verified_win') AS wins, count(*) AS total, round(count(*) FILTER (res = 'verified_win')::DOUBLE / count(*), 6) AS rate FROM f GROUP BY 1, 2",
-    "adjudicate": f"WITH {_FOLD} SELECT CASE WHEN decision <> 'unscreened' THEN 'skipped' ELSE CASE c_custkey % 3 WHEN 0 THEN 'disqualified' WHEN 1 THEN 'passed' ELSE 'ambiguous' END END AS outcome, count(*) AS n FROM ap LEFT JOIN customer ON application_id = 'app' || c_custkey GROUP BY 1",
+    "adjudicate": f"WITH {_FOLD} SELECT application_id, CASE WHEN decision <> 'unscreened' THEN 'skipped' WHEN c_custkey % 3 = 0 THEN 'disqualified' WHEN c_custkey % 3 = 1 THEN 'passed' ELSE 'ambiguous' END AS outcome, CASE WHEN decision = 'unscreened' AND c_custkey % 3 = 0 THEN 'wrong-state' END AS rule, CASE WHEN decision = 'unscreened' THEN CASE c_custkey % 3 WHEN 0 THEN 'DISQUALIFIED' WHEN 1 THEN 'ELIGIBILITY_CHECKED' END END AS new_state, decision = 'unscreened' AND coalesce(c_custkey % 3, 2) = 2 AS raises FROM ap LEFT JOIN customer ON application_id = 'app' || c_custkey",
     "read_log": f"WITH {CTE} SELECT type, count(*) AS n, max(seq) AS last_seq FROM lg GROUP BY 1",
     "raise_stream": f"WITH {_RESOLVED} SELECT cp AS checkpoint_id, seq FROM ev WHERE type = 'checkpoint_raised' AND pt IS DISTINCT FROM 'checkpoint_raised'",
     "accepted_raises": f"WITH {_RESOLVED} SELECT cp AS checkpoint_id, seq FROM ev WHERE type = 'checkpoint_raised' AND pt IS DISTINCT FROM 'checkpoint_raised'",

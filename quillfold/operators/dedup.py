@@ -2,19 +2,24 @@
 
 A row is a duplicate only of an earlier *kept* row. The sequential rule is reproduced in parallel:
 
-1. Rows with the same shingle set collapse to their first row. Later copies share its fate, so a
-   mass of identical copies costs one map-side aggregate and never forms pairs.
-2. Prefix filter: with shingles in a global rare-first order, two sets with J >= t must share a
-   shingle among their first n - ceil(t*n) + 1. Common boilerplate sorts last, out of the prefix.
-3. Rounds. In each prefix bucket only the few earliest undecided rows act as pivots, and every
-   undecided row is compared with those pivots only. So a bucket of m rows makes at most k*m
-   candidates, never m*m. A row whose earlier bucket mates are all pivots, and which matches none
-   of them, is kept; rows matching a kept pivot are dropped. The first undecided row is always
-   decided, and k doubles per round, so the loop ends with the sequential answer.
+1. Texts are read once: the sorted shingle hashes of each row are written as a table, and no text is shuffled after that.
+   Rows with the same set collapse to their first row. Later copies share its fate, so a mass of identical copies costs
+   one map-side aggregate and never forms pairs.
+2. Prefix filter: with shingles in a global rare-first order, two sets with J >= t must share a shingle among their first
+   n - ceil(t*n) + 1. Common boilerplate sorts last, out of the prefix. The index is keyed by (shingle, size band): similar
+   sets differ in size by 1/t at most, so rows of quite another size never meet. The positional filter drops a meeting
+   whose places in the two prefixes leave too few shingles for the overlap that t asks for.
+3. Rounds. In each bucket only the few earliest undecided rows act as pivots, and every undecided row is compared with
+   those pivots only. So a bucket of m rows makes at most k*m candidates, never m*m. A row whose earlier bucket mates are
+   all pivots, and which matches none of them, is kept; rows matching a kept pivot are dropped. The first undecided row is
+   always decided, and k grows per round, so the loop ends with the sequential answer. Verdicts on pairs are a table: a
+   pair is verified once.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -25,6 +30,7 @@ from ..session import HOT_ROWS, cut_lineage, salted_join
 SHINGLE = 5
 THRESHOLD = (9, 10)
 PIVOTS = 4
+GROWTH = 4
 
 
 def shingle_sets(texts: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -40,7 +46,8 @@ def representatives(signed: DataFrame) -> DataFrame:
 
 
 def prefix_index(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """One row per (representative, prefix shingle) that some other representative also contains."""
+    """One row per (representative, prefix shingle that some other representative also contains, size band): ``rep, _ord,
+    n, pos`` (place of the shingle in the row's rare-first order), ``tok, df, band``."""
     tokens = reps.select(F.col("_key").alias("rep"), "_ord", "n", F.explode("h").alias("tok"))
     df = tokens.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
     # shingles seen once sort first and cannot match, so only their number matters
@@ -50,43 +57,52 @@ def prefix_index(reps: DataFrame, num: int, den: int) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("shared"),
     )
     prefix_len = F.col("n") - F.floor((F.lit(num) * F.col("n") + (den - 1)) / den).cast("int") + 1
-    take = prefix_len - (F.col("n") - F.size("shared"))
-    return (
-        shared.withColumn("_take", take)
+    alone = F.col("n") - F.size("shared")
+    rows = (
+        shared.withColumn("_alone", alone)
+        .withColumn("_take", prefix_len - alone)
         .filter("_take > 0")
-        .select("rep", "_ord", "n", F.explode(F.slice("shared", F.lit(1), F.col("_take"))).alias("s"))
-        .select("rep", "_ord", "n", F.col("s.tok").alias("tok"), F.col("s.df").alias("df"))
+        .select("rep", "_ord", "n", "_alone", F.posexplode(F.slice("shared", F.lit(1), F.col("_take"))).alias("at", "s"))
+        .select("rep", "_ord", "n", (F.col("_alone") + F.col("at")).alias("pos"), F.col("s.tok").alias("tok"), F.col("s.df").alias("df"))
     )
+    # sets whose sizes differ by 1/t at most lie in the same or in neighbouring bands, so each row stands in two; the margin
+    # keeps rounding of the logarithm from parting a pair
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) + 1e-9)) if num < den else F.col("n").cast("long")
+    bands = F.array(band, band + 1) if num < den else F.array(band)
+    return rows.withColumn("band", F.explode(bands))
 
 
 def _candidates(index: DataFrame, pivots: DataFrame, num: int, den: int, hot_rows: int) -> DataFrame:
-    """(pivot, later row) pairs from shared buckets, with the length filter; hot buckets are salted."""
+    """(pivot, later row) pairs from shared buckets that size and places do not rule out; hot buckets are salted."""
     salts = F.ceil(F.col("df") / F.lit(hot_rows)).cast("int")
     left = index.select(
-        "tok", "rep", "_ord", "n", F.pmod(F.xxhash64("rep"), salts).cast("int").alias("_salt")
+        "tok", "band", "rep", "_ord", "n", "pos", F.pmod(F.xxhash64("rep"), salts).cast("int").alias("_salt")
     )
     right = pivots.select(
         "tok",
+        "band",
         F.col("rep").alias("pivot"),
         F.col("_ord").alias("p_ord"),
         F.col("n").alias("p_n"),
+        F.col("pos").alias("p_pos"),
         F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"),
     )
     close = (F.col("n") * den >= F.col("p_n") * num) & (F.col("p_n") * den >= F.col("n") * num)
+    # at the first common shingle of a pair, what is left of the shorter rest bounds the overlap
+    most = F.least(F.col("n") - F.col("pos"), F.col("p_n") - F.col("p_pos"))
+    enough = most * (num + den) >= (F.col("n") + F.col("p_n")) * num
     earlier = F.struct("p_ord", "pivot") < F.struct("_ord", "rep")
-    return left.join(right, ["tok", "_salt"]).filter(close & earlier).select("pivot", "rep").distinct()
+    return left.join(right, ["tok", "band", "_salt"]).filter(close & enough & earlier).select("pivot", "p_ord", "rep").distinct()
 
 
-def _verify(pairs: DataFrame, sets_of, num: int, den: int, hot_rows: int) -> DataFrame:
-    """Keep the pairs whose exact similarity reaches the threshold; only their texts are read again."""
-    named = pairs.select(F.col("pivot").alias("_key")).union(pairs.select("rep")).distinct()
-    sets = cut_lineage(sets_of(named))
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, hot_rows: int) -> DataFrame:
+    """The pairs with ``similar``: whether the exact similarity reaches the threshold. Hot pivots are split."""
     a = sets.select(F.col("_key").alias("rep"), F.col("h").alias("h_r"))
     b = sets.select(F.col("_key").alias("pivot"), F.col("h").alias("h_p"))
-    both = salted_join(pairs.join(a, "rep"), b, "pivot", F.col("rep"), hot_rows)
+    with_pivot = salted_join(pairs, b, "pivot", F.col("rep"), hot_rows)
     inter = F.size(F.array_intersect("h_r", "h_p"))
     union = F.size("h_r") + F.size("h_p") - inter
-    return both.filter(inter * den >= union * num).select("pivot", "rep")
+    return with_pivot.join(a, "rep").select("pivot", "p_ord", "rep", (inter * den >= union * num).alias("similar"))
 
 
 def near_duplicates(
@@ -100,46 +116,44 @@ def near_duplicates(
     pivots: int = PIVOTS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``key, is_duplicate`` (and ``duplicate_of``: the first kept row it matches) for every row."""
+    """``key, is_duplicate`` (and ``duplicate_of``: the first kept row, by ``order``, that it matches) for every row."""
     num, den = threshold
     texts = df.select(F.col(key).alias("_key"), F.col(order).alias("_ord"), F.col(text).alias("_text"))
-    # shingling is cheaper than storing the sets: only signatures are kept, sets are made where needed
-    signed = cut_lineage(
-        shingle_sets(texts, n).select(
-            "_key", "_ord", F.struct("n", F.xxhash64("h").alias("a"), F.xxhash64(F.lit(7), "h").alias("b")).alias("sig")
-        )
+    sets = cut_lineage(
+        shingle_sets(texts, n).withColumn("sig", F.struct("n", F.xxhash64("h").alias("a"), F.xxhash64(F.lit(7), "h").alias("b")))
     )
-    member_of = cut_lineage(representatives(signed))
+    member_of = cut_lineage(representatives(sets.select("_key", "_ord", "sig")))
     copies = member_of.filter("rep <> _key").select("_key")
-    index = cut_lineage(prefix_index(shingle_sets(texts.join(copies, "_key", "left_anti"), n), num, den))
-
-    def sets_of(keys: DataFrame) -> DataFrame:
-        return shingle_sets(texts.join(keys, "_key", "left_semi"), n)
+    index = cut_lineage(prefix_index(sets.join(copies, "_key", "left_anti"), num, den))
 
-    undecided = index
-    dropped: DataFrame | None = None
+    undecided, known, dropped = index, None, None
     k = pivots
-    while undecided.limit(1).count():
-        by_order = W.partitionBy("tok").orderBy("_ord", "rep")
+    while not undecided.isEmpty():
+        by_order = W.partitionBy("tok", "band").orderBy("_ord", "rep")
         # rank <= k keeps a per-task top k before the shuffle, so hot buckets stay small
         lead = cut_lineage(undecided.withColumn("_rk", F.row_number().over(by_order)).filter(F.col("_rk") <= k))
-        met = cut_lineage(_candidates(undecided, lead, num, den, hot_rows))
-        pairs = cut_lineage(_verify(met, sets_of, num, den, hot_rows))
-        horizon = lead.filter(F.col("_rk") == k).select("tok", F.struct("_ord", "rep").alias("last"))
+        met = _candidates(undecided, lead, num, den, hot_rows)
+        if known is not None:
+            met = met.join(known.select("pivot", "rep"), ["pivot", "rep"], "left_anti")
+        told = cut_lineage(_verified(cut_lineage(met), sets, num, den, hot_rows))
+        known = told if known is None else known.unionByName(told)
+        horizon = lead.filter(F.col("_rk") == k).select("tok", "band", F.struct("_ord", "rep").alias("last"))
         unclear = (
-            undecided.join(horizon, "tok").filter(F.struct("_ord", "rep") > F.col("last")).select("rep").distinct()
+            undecided.join(horizon, ["tok", "band"]).filter(F.struct("_ord", "rep") > F.col("last")).select("rep").distinct()
         )
         rows = undecided.select("rep").distinct()
-        kept = rows.join(unclear, "rep", "left_anti").join(pairs.select("rep"), "rep", "left_anti")
-        lost = cut_lineage(
-            pairs.join(kept.withColumnRenamed("rep", "pivot"), "pivot")
+        # earlier rounds left no similar pair with a kept or dropped row in it
+        similar = known.filter("similar").join(rows, "rep", "left_semi").join(rows.withColumnRenamed("rep", "pivot"), "pivot", "left_semi")
+        kept = rows.join(unclear, "rep", "left_anti").join(similar.select("rep"), "rep", "left_anti")
+        lost = (
+            similar.join(kept.withColumnRenamed("rep", "pivot"), "pivot")
             .groupBy("rep")
-            .agg(F.min("pivot").alias("match"))
+            .agg(F.min_by("pivot", F.struct("p_ord", "pivot")).alias("match"))
         )
-        dropped = lost if dropped is None else dropped.unionByName(lost)
-        done = kept.unionByName(lost.select("rep"))
-        undecided = cut_lineage(undecided.join(done, "rep", "left_anti"))
-        k *= 2
+        done = cut_lineage(kept.withColumn("match", F.lit(None).cast(lost.schema["match"].dataType)).unionByName(lost))
+        dropped = done if dropped is None else dropped.unionByName(done)
+        undecided = cut_lineage(undecided.join(done.select("rep"), "rep", "left_anti"))
+        k *= GROWTH
 
     fate = member_of.join(dropped, "rep", "left") if dropped is not None else member_of.withColumn("match", F.lit(None))
     copies = fate.select(

@@ -9,7 +9,7 @@ from quillfold import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ("clean_text", "tag_register", "incremental_split", "sentence_stats", "majority_vote", "retrieve_facts", "screen_eligibility", "emit_top", "outlinks", "fold_applications", "resolve_checkpoints")
+SAMPLE = ("clean_text", "tag_register", "incremental_split", "sentence_stats", "majority_vote", "retrieve_facts", "screen_eligibility", "emit_top", "outlinks", "fold_applications", "adjudicate", "resolve_checkpoints")
 
 
 def test_every_oracle_has_a_query():
