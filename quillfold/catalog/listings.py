@@ -263,6 +263,29 @@ def q_update_score_cache(spark, sf_dir):
     return out.select("key", "match", "effort", F.array_join("flags", ",").alias("flags"), F.col("at").alias("scored_at"))
 
 
+_SCORED_AT = "TIMESTAMP '2026-06-01 00:00:00' - make_interval(0, 0, 0, CAST(p_partkey * 7 % 120 AS INT))"
+
+
+def q_stream_score_cache(spark, sf_dir):
+    """Scores of several runs as a stream, one file of mixed times per micro-batch."""
+    from ..streaming import log_stream
+
+    li = read_table(spark, sf_dir, "part").select(
+        F.expr(_CACHE).alias("profile_hash"),
+        F.expr(SHARED_NAME).alias("name"),
+        F.expr(COLUMNS["match"]).alias("match"),
+        F.expr(COLUMNS["effort"]).alias("effort"),
+        F.expr(f"CASE WHEN {COLUMNS['flag']} IS NULL THEN array() ELSE array({COLUMNS['flag']}) END").alias("flags"),
+        F.expr(_SCORED_AT).alias("at"),
+        F.col("p_partkey").alias("ord"),
+    )
+    path = scratch_dir(spark, "scores")
+    li.repartition(4, F.xxhash64("ord")).write.parquet(path)
+    stream = spark.readStream.schema(log_stream.SCORE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    cache = log_stream.stream_score_cache(stream, "p1", NOW())
+    return cache.select("key", "match", "effort", F.array_join("flags", ",").alias("flags"), F.col("at").alias("scored_at"))
+
+
 def q_apply_scores(spark, sf_dir):
     scores = read_table(spark, sf_dir, "part").filter("p_partkey % 5 <> 0").select(
         F.col("p_partkey").alias("listing_id"),
@@ -679,6 +702,7 @@ QUERIES = {
     "priority_dedupe": q_priority_dedupe,
     "apply_score_cache": q_apply_score_cache,
     "update_score_cache": q_update_score_cache,
+    "stream_score_cache": q_stream_score_cache,
     "apply_scores": q_apply_scores,
     "enrich_details": q_enrich_details,
     "detail_backlog": q_detail_backlog,

@@ -242,6 +242,11 @@ SELECT o_orderkey, reason IS NULL AS ok, reason FROM r""",
         f"{CTE}, {CACHE}, nw AS (SELECT * FROM (SELECT {norm('shared_name')} AS key, match, effort, coalesce(flag, '') AS flags, row_number() OVER (PARTITION BY {norm('shared_name')} ORDER BY listing_id DESC) AS k FROM li WHERE listing_id % 2 = 0 AND match IS NOT NULL AND effort IS NOT NULL AND coalesce(flag, '') <> 'score_failed') WHERE k = 1)",
         "SELECT key, match, effort, flags, TIMESTAMP '2026-06-01 00:00:00' AS scored_at FROM nw UNION ALL SELECT key, match, effort, flags, cached_at FROM fr WHERE key NOT IN (SELECT key FROM nw)",
     ),
+    "stream_score_cache": w(
+        CTE,
+        f"SELECT key, match, effort, flags, scored_at FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY scored_at DESC, listing_id DESC) AS k FROM (SELECT {norm('shared_name')} AS key, match, effort, coalesce(flag, '') AS flags, listing_id, TIMESTAMP '2026-06-01 00:00:00' - to_days((listing_id * 7 % 120)::INTEGER) AS scored_at FROM li "
+        "WHERE listing_id % 4 <> 0 AND match IS NOT NULL AND effort IS NOT NULL AND coalesce(flag, '') <> 'score_failed')) WHERE k = 1 AND scored_at > TIMESTAMP '2026-06-01 00:00:00' - INTERVAL 90 DAY",
+    ),
     "apply_scores": "SELECT p_partkey AS listing_id, CASE WHEN p_partkey % 5 <> 0 THEN greatest(0, least(100, p_size * 4 - 50)) END::INTEGER AS match, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 3 = 0 THEN 'high' ELSE 'med' END AS effort, CASE WHEN p_partkey % 5 = 0 THEN 'score_failed' WHEN p_partkey % 2 = 0 THEN 'ok' ELSE '' END AS flags FROM part",
     "enrich_details": w(
         f"{CTE}, {RANKED}, {DETAILS}, en AS (SELECT listing_id, CASE WHEN amt IS NOT NULL AND amt <> amount_text THEN {amount_of('amt')} ELSE amount END AS amount, coalesce(amt, amount_text) AS amount_text, description || CASE WHEN txt IS NULL THEN '' ELSE ' ' || txt END AS dd, match, decision FROM rk LEFT JOIN de USING (slug) WHERE part = 'ranked')",

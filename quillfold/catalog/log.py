@@ -214,9 +214,20 @@ def q_stream_operation_states(spark, sf_dir):
     return log_stream.stream_operation_states(_stream(spark, sf_dir)).select("operation_id", "kind", "application_id", "status", "started_at", "completed_at")
 
 
+def _shuffled(spark, sf_dir):
+    """The log in files that hold events of all times, one file per micro-batch."""
+    path = scratch_dir(spark, "log")
+    log_stream.write_log(_log(spark, sf_dir).repartition(4, F.xxhash64("seq")), path)
+    return log_stream.stream_log(spark, path, files_per_trigger=1)
+
+
 def q_raise_stream(spark, sf_dir):
-    """One micro-batch, since files of this log are not in sequence order."""
-    return log_stream.collect_stream(log_stream.raise_stream(log_stream.stream_log(spark, _written_log(spark, sf_dir))), "raises")
+    return log_stream.stream_accepted_raises(_shuffled(spark, sf_dir))
+
+
+def q_stream_resolved(spark, sf_dir):
+    r = log_stream.stream_resolved(_shuffled(spark, sf_dir))
+    return r.select("checkpoint_id", "seq", "checkpoint_type", "resolution", "resolved_by", "created_at")
 
 
 def q_accepted_raises(spark, sf_dir):
@@ -246,6 +257,7 @@ QUERIES = {
     "stream_open_checkpoints": q_stream_open_checkpoints,
     "stream_operation_states": q_stream_operation_states,
     "raise_stream": q_raise_stream,
+    "stream_resolved": q_stream_resolved,
     "accepted_raises": q_accepted_raises,
 }
 
@@ -304,6 +316,7 @@ ORACLES = {
     "open_checkpoints": f"WITH {_OPEN} SELECT checkpoint_id, checkpoint_type, application_id, blocking, raised_seq, created_at FROM oc",
     "stream_open_checkpoints": f"WITH {_OPEN} SELECT checkpoint_id, checkpoint_type, application_id, blocking, raised_seq, created_at FROM oc",
     "resolved_checkpoints": f"WITH {_RESOLVED} SELECT cp AS checkpoint_id, seq, cpt AS checkpoint_type, res AS resolution, 'u' || user_id AS resolved_by, pts AS created_at FROM rv",
+    "stream_resolved": f"WITH {_RESOLVED} SELECT cp AS checkpoint_id, seq, cpt AS checkpoint_type, res AS resolution, 'u' || user_id AS resolved_by, pts AS created_at FROM rv",
     "operation_states": f"WITH {_OPS} SELECT operation_id, kind, application_id, status, started_at, completed_at FROM ot",
     "stream_operation_states": f"WITH {_OPS} SELECT operation_id, kind, application_id, status, started_at, completed_at FROM ot",
     "disposition": f"WITH {_OPS}, wq AS (SELECT 'op' || user_id || '-' || i AS operation_id FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN (SELECT unnest(range(0, 5)) AS i)) SELECT operation_id, CASE WHEN status IS NULL OR status = 'failed' THEN 'proceed' WHEN status = 'completed' THEN 'already_completed' ELSE 'in_doubt' END AS disposition, coalesce(status = 'failed', FALSE) AS retry FROM wq LEFT JOIN ot USING (operation_id)",

@@ -619,12 +619,28 @@ _RETR = f"""{_FACTS}, q0 AS (SELECT item_id AS query_id, list_distinct(regexp_ex
 q1 AS (SELECT DISTINCT query_id, token FROM (SELECT query_id, unnest(q) AS token FROM q0 UNION ALL
    SELECT query_id, unnest(CASE {_GROUP_SQL} END) FROM q0 CROSS JOIN (SELECT unnest(range(0, {len(retrieval.SYNONYMS)})) AS k))),
 us AS (SELECT CASE quality WHEN 1 THEN 'angle_a' ELSE 'angle_b' END AS angle, count(*) % 4 AS uses FROM labels GROUP BY 1),
-sc AS (SELECT query_id, fact_id, sum(w) AS s FROM fx JOIN q1 USING (token) JOIN id USING (token) GROUP BY 1, 2),
+sc AS (SELECT query_id, fact_id, sum(round(w * 1e9)::BIGINT) / 1e9 AS s FROM fx JOIN q1 USING (token) JOIN id USING (token) GROUP BY 1, 2),
 se AS (SELECT query_id, fa.fact_id, spine, coalesce(s, 0) / sqrt(greatest(len(t), 1)) * CASE WHEN fa.angle IS NOT NULL THEN pow(0.7, coalesce(uses, 0)) ELSE 1.0 END AS score
    FROM (SELECT query_id FROM q0) CROSS JOIN fa LEFT JOIN sc USING (query_id, fact_id) LEFT JOIN us ON us.angle = fa.angle),
 pk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS pick FROM se WHERE score > 0 OR spine)"""
 
 
+# The greedy walk: one step per row of a query's ranking, with what it has picked so far.
+_EXEMPLARS = """WITH RECURSIVE po AS (SELECT doc_id, lang AS register, len(regexp_extract_all(text, '\\S+'))::BIGINT AS wc, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z''-]{2,}')) AS t,
+  regexp_extract_all(lower(text), '[a-z0-9'']+') AS a FROM documents),
+sh AS (SELECT doc_id, list_distinct(list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' '))) AS s FROM po),
+qu AS (SELECT item_id AS query_id, ['en', 'de', 'fr', 'es'][item_id % 4 + 1] AS register, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z''-]{2,}')) AS q FROM benchmark),
+sc AS (SELECT query_id, doc_id, register, wc, len(list_intersect(t, q)) / sqrt(greatest(len(t), 1)) AS score FROM qu JOIN po USING (register)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sc),
+wk(query_id, r, ids, words, doc_id) AS (SELECT query_id, 0::BIGINT, []::BIGINT[], 0::BIGINT, NULL::BIGINT FROM qu UNION ALL
+ SELECT query_id, r, CASE WHEN ok THEN list_append(ids, doc) ELSE ids END, CASE WHEN ok THEN words + wc ELSE words END, CASE WHEN ok THEN doc END FROM (
+  SELECT wk.query_id, rk.r, wk.ids, wk.words, rk.wc, rk.doc_id AS doc, (len(wk.ids) = 0 OR wk.words + rk.wc <= 900) AND NOT EXISTS (
+    SELECT 1 FROM (SELECT unnest(wk.ids) AS p) x JOIN sh s1 ON s1.doc_id = x.p JOIN sh s2 ON s2.doc_id = rk.doc_id
+    WHERE len(s1.s) > 0 AND len(s2.s) > 0 AND len(list_intersect(s1.s, s2.s))::DOUBLE / (len(s1.s) + len(s2.s) - len(list_intersect(s1.s, s2.s))) > 0.3) AS ok
+  FROM wk JOIN rk ON rk.query_id = wk.query_id AND rk.r = wk.r + 1 WHERE len(wk.ids) < 3))
+SELECT query_id, doc_id, register, wc AS word_count, round(score, 4) AS score, len(ids)::INTEGER AS pick FROM wk JOIN rk USING (query_id, doc_id) WHERE wk.doc_id IS NOT NULL"""
+
+
 # All features of the contracts: those of one text, lexical diversity and the misspelling rate.
 _FULL = (
     f"{_FEAT}, {_MTLD.replace(_TK + ', ', '')}, {_SPELL.replace(_TK + ', ', '')}, su AS (SELECT word FROM un WHERE length(word) >= 6), {_edits_sql('su')}, "
@@ -718,5 +734,6 @@ ORACLES = {
     ),
     "idf": _with(_FACTS, "SELECT token, df, round(w, 9) AS weight FROM id"),
     "angle_usage": f"WITH e AS (SELECT {_ANGLED} AS data FROM events), a AS (SELECT coalesce(json_extract_string(data, '$.angle_used'), json_extract_string(data, '$.angleUsed')) AS angle FROM e) SELECT angle, count(*) AS uses FROM a WHERE angle <> '' GROUP BY 1",
+    "exemplars_mmr": _EXEMPLARS,
     "retrieve_facts": _with(_RETR, "SELECT query_id, fact_id, round(score, 4) AS score, pick::INTEGER AS pick FROM pk WHERE pick <= 4"),
 }

@@ -1,11 +1,13 @@
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillfold.operators import eventlog
 from quillfold.plans import log_rebuild
-from quillfold.streaming import log_stream
+from quillfold.streaming import keyed_state, log_stream
 
 SCHEMA = log_stream.LOG_SCHEMA
 EVENTS = [
@@ -88,11 +90,80 @@ def test_streams_equal_batch(spark, log, tmp_path):
     assert same(eventlog.fold_applications(log), log_stream.stream_fold_applications(stream()))
     assert same(eventlog.open_checkpoints(log), log_stream.stream_open_checkpoints(stream()))
     assert same(eventlog.operation_states(log), log_stream.stream_operation_states(stream()))
-    raised = log_stream.collect_stream(log_stream.raise_stream(stream()), "raises")
+    raised = log_stream.stream_accepted_raises(stream())
     assert sorted(r["seq"] for r in raised.collect()) == [3, 7]
     assert sorted(r["seq"] for r in log_stream.accepted_raises(log).collect()) == [3, 7]
 
 
+def checkpoint_log(spark, seed, events):
+    """Random raises and resolutions of a few checkpoints, a second apart."""
+    rnd = random.Random(seed)
+    rows = []
+    for seq in range(1, events + 1):
+        data = {"id": f"c{rnd.randrange(5)}", "type": "CAPTCHA_REQUIRED"}
+        if rnd.random() < 0.4:
+            data = {"id": data["id"], "resolution": rnd.choice(["done", "skipped"]), "resolvedBy": "u"}
+        rows.append((seq, seq, "checkpoint_raised" if "type" in data else "checkpoint_resolved", f"app{seq % 3}", "agent", json.dumps(data)))
+    log = spark.createDataFrame(rows, "seq long, s long, type string, application_id string, actor string, data string")
+    at = F.expr("timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, 0, 0, s)")
+    return log.select("seq", at.alias("at"), "type", "application_id", "actor", "data")
+
+
+def in_files(log, path, files):
+    """One file per list of sequence numbers, in that order of time."""
+    for k, seqs in enumerate(files):
+        log_stream.write_log(log.filter(F.col("seq").isin(list(seqs))).coalesce(1), path)
+        time.sleep(0.05)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_raises_and_resolutions_in_any_order(spark, tmp_path, monkeypatch, seed):
+    """One file per micro-batch, events of all times in each, some told twice; folders merged on the way."""
+    monkeypatch.setattr(log_stream, "MERGE_EVERY", 3)
+    log = checkpoint_log(spark, seed, 60)
+    seqs = list(range(1, 61))
+    random.Random(seed).shuffle(seqs)
+    path = str(tmp_path / "log")
+    in_files(log, path, [seqs[i : i + 10] for i in range(0, 60, 10)] + [seqs[5:9]])
+    stream = lambda: log_stream.stream_log(spark, path, files_per_trigger=1)
+    rows = lambda df: sorted(map(str, df.collect()))
+    batch = log_stream.accepted_raises(log)
+    assert rows(log_stream.stream_accepted_raises(stream()).select(*batch.columns)) == rows(batch)
+    batch = eventlog.resolved_checkpoints(log)
+    assert rows(log_stream.stream_resolved(stream()).select(*batch.columns)) == rows(batch)
+
+
+def test_state_behind_the_watermark_is_settled(spark, tmp_path):
+    """Files a little out of order and lateness enough: the same result, though settled events have left the state."""
+    log = checkpoint_log(spark, 3, 60)
+    path = str(tmp_path / "log")
+    blocks = [list(range(i, i + 6)) for i in range(1, 61, 6)]
+    for i in range(0, 10, 2):
+        blocks[i], blocks[i + 1] = blocks[i + 1], blocks[i]
+    in_files(log, path, blocks)
+    got = log_stream.stream_accepted_raises(log_stream.stream_log(spark, path, files_per_trigger=1), lateness="20 seconds")
+    assert sorted(r["seq"] for r in got.collect()) == sorted(r["seq"] for r in log_stream.accepted_raises(log).collect())
+
+
+def test_scores_upserted_and_expired(spark, tmp_path):
+    rows = [("p", "A Fund", 10, "low", [], "2026-01-01", 1), ("p", "a fund", 20, "med", ["x"], "2026-01-05", 2), ("p", "B", 30, "low", [], "2026-03-30", 3),
+            ("p", "C", 40, "huge", [], "2026-03-30", 4), ("p", "D", 50, "low", ["score_failed"], "2026-03-30", 5), ("q", "E", 60, "low", [], "2026-03-30", 6),
+            ("p", "F", None, "low", [], "2026-03-30", 7), ("p", "b", 31, "low", None, "2026-03-29", 8), ("p", "G", 70, "high", [], "2026-04-20", 9)]
+    frame = spark.createDataFrame(rows, "profile_hash string, name string, match int, effort string, flags array<string>, at string, ord long").withColumn("at", F.col("at").cast("timestamp"))
+    path = str(tmp_path / "scores")
+    for order in ([1], [8, 5], [2, 6], [3, 4], [7, 9], [1, 8]):  # the last file is a replay
+        frame.filter(F.col("ord").isin(order)).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    stream = lambda: spark.readStream.schema(log_stream.SCORE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    at = lambda day: F.lit(day).cast("timestamp")
+    got = lambda day, **k: sorted((r.key, r.match, r.effort, list(r["flags"])) for r in log_stream.stream_score_cache(stream(), "p", at(day), **k).collect())
+    assert got("2026-04-01") == [("afund", 20, "med", ["x"]), ("b", 30, "low", []), ("g", 70, "high", [])]
+    assert got("2026-04-20") == [("b", 30, "low", []), ("g", 70, "high", [])]
+    usable = stream().withColumn("value", F.lit("v")).withColumn("key", F.col("name"))
+    told = log_stream._changelog(spark, keyed_state.upserted(usable.select("key", "at", "ord", "value"), 90, "0 seconds"), "key", "told")
+    assert {r.key for r in told.filter("expired").collect()} >= {"A Fund", "a fund"}  # 110 days behind the newest
+
+
 def test_two_level_lag(spark):
     from quillfold.operators.ranking import previous_in_group
 

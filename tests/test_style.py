@@ -1,8 +1,12 @@
+import math
 import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillfold.operators import augment, delta, panel, retrieval, spelling, stylometry
+from quillfold.operators.overlap import top_overlap
 
 
 def test_spelling_rules(spark):
@@ -138,7 +142,8 @@ def brute_mmr(queries, pool, n, budget, threshold):
     return out
 
 
-def test_mmr_equals_the_greedy_walk(spark):
+@pytest.mark.parametrize("budget", [1, 30, 1 << 16])
+def test_mmr_equals_the_greedy_walk(spark, budget):
     rnd = random.Random(9)
     vocabulary = [a + b + "x" for a in "bcdfg" for b in "aeiou"]
     pool = []
@@ -148,15 +153,40 @@ def test_mmr_equals_the_greedy_walk(spark):
             words = pool[-1][3].split()
             words[rnd.randrange(len(words))] = rnd.choice(vocabulary)
         pool.append((i, "r" if i % 5 else "s", len(words), " ".join(words)))
-    queries = [(q, "r" if q % 3 else "s", " ".join(rnd.choice(vocabulary) for _ in range(5))) for q in range(6)]
+    pool += [(90, "r", 0, None), (91, "r", 0, "")]
+    queries = [(q, "r" if q % 3 else "s", " ".join(rnd.choice(vocabulary) for _ in range(5))) for q in range(6)] + [(7, "r", "nothing alike"), (8, "none", "bax"), (9, "r", None)]
     got = retrieval.exemplars_mmr(
         spark.createDataFrame(queries, "query_id long, register string, seed string"),
         spark.createDataFrame(pool, "doc_id long, register string, word_count long, text string"),
         max_words=70,
         shortlist=2,
+        budget=budget,
     ).collect()
     mine = {q[0]: {r["doc_id"] for r in got if r["query_id"] == q[0]} for q in queries}
-    assert mine == brute_mmr(queries, pool, 3, 70, 0.3)
+    assert mine == brute_mmr([(q, r, s or "") for q, r, s in queries], [(i, r, w, t or "") for i, r, w, t in pool], 3, 70, 0.3)
+
+
+@pytest.mark.parametrize("budget", [1, 25, 400, 1 << 16])
+def test_bounded_search_equals_all_pairs(spark, budget):
+    """Rare and common tokens, one in every item, one in no item; two groups; ties."""
+    rnd = random.Random(budget)
+    items = []
+    for i in range(120):
+        tokens = {0} | {int(rnd.paretovariate(0.7)) % 200 + 1 for _ in range(rnd.randint(0, 30))}
+        items.append((i, i % 2, sorted(tokens), math.sqrt(len(tokens)), rnd.choice([1.0, 0.7])))
+    queries = [(q, q % 2, sorted({0, 999} | {rnd.randrange(1, 60) for _ in range(rnd.randint(1, 12))})) for q in range(12)]
+    frames = spark.createDataFrame(queries, "query_id long, grp long, tokens array<long>"), spark.createDataFrame(items, "item long, grp long, tokens array<long>, root double, boost double")
+    got = {(r.query_id, r["rank"]): (r.item, round(r.score, 9)) for r in top_overlap(*frames, 5, lambda df: F.log(F.lit(61.0) / (df + 0.5)), budget).collect()}
+    want = {}
+    df = {g: Counter(t for i in items if i[1] == g for t in i[2]) for g in (0, 1)}
+    for q, g, asked in queries:
+        scored = []
+        for i, h, tokens, root, boost in items:
+            shared = set(asked) & set(tokens)
+            if h == g and shared:
+                scored.append((-sum(round(math.log(61.0 / (df[g][t] + 0.5)) * 1e9) for t in shared) / 1e9 / root * boost, i))
+        want |= {(q, k + 1): (i, round(-s, 9)) for k, (s, i) in enumerate(sorted(scored)[:5])}
+    assert got == want
 
 
 def test_noise_is_seeded_and_bounded(spark):
