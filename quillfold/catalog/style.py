@@ -626,19 +626,19 @@ pk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, f
 
 
 # The greedy walk: one step per row of a query's ranking, with what it has picked so far.
-_EXEMPLARS = """WITH RECURSIVE po AS (SELECT doc_id, lang AS register, len(regexp_extract_all(text, '\\S+'))::BIGINT AS wc, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z''-]{2,}')) AS t,
+_EXEMPLARS = """WITH RECURSIVE po AS MATERIALIZED (SELECT doc_id, lang AS register, len(regexp_extract_all(text, '\\S+'))::BIGINT AS wc, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z''-]{2,}')) AS t,
   regexp_extract_all(lower(text), '[a-z0-9'']+') AS a FROM documents),
-sh AS (SELECT doc_id, list_distinct(list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' '))) AS s FROM po),
-qu AS (SELECT item_id AS query_id, ['en', 'de', 'fr', 'es'][item_id % 4 + 1] AS register, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z''-]{2,}')) AS q FROM benchmark),
-sc AS (SELECT query_id, doc_id, register, wc, len(list_intersect(t, q)) / sqrt(greatest(len(t), 1)) AS score FROM qu JOIN po USING (register)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sc),
-wk(query_id, r, ids, words, doc_id) AS (SELECT query_id, 0::BIGINT, []::BIGINT[], 0::BIGINT, NULL::BIGINT FROM qu UNION ALL
- SELECT query_id, r, CASE WHEN ok THEN list_append(ids, doc) ELSE ids END, CASE WHEN ok THEN words + wc ELSE words END, CASE WHEN ok THEN doc END FROM (
-  SELECT wk.query_id, rk.r, wk.ids, wk.words, rk.wc, rk.doc_id AS doc, (len(wk.ids) = 0 OR wk.words + rk.wc <= 900) AND NOT EXISTS (
-    SELECT 1 FROM (SELECT unnest(wk.ids) AS p) x JOIN sh s1 ON s1.doc_id = x.p JOIN sh s2 ON s2.doc_id = rk.doc_id
-    WHERE len(s1.s) > 0 AND len(s2.s) > 0 AND len(list_intersect(s1.s, s2.s))::DOUBLE / (len(s1.s) + len(s2.s) - len(list_intersect(s1.s, s2.s))) > 0.3) AS ok
-  FROM wk JOIN rk ON rk.query_id = wk.query_id AND rk.r = wk.r + 1 WHERE len(wk.ids) < 3))
-SELECT query_id, doc_id, register, wc AS word_count, round(score, 4) AS score, len(ids)::INTEGER AS pick FROM wk JOIN rk USING (query_id, doc_id) WHERE wk.doc_id IS NOT NULL"""
+qu AS MATERIALIZED (SELECT item_id AS query_id, ['en', 'de', 'fr', 'es'][item_id % 4 + 1] AS register, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z''-]{2,}')) AS q FROM benchmark),
+ov AS (SELECT query_id, doc_id, count(*) AS o FROM (SELECT query_id, register, unnest(q) AS w FROM qu) JOIN (SELECT doc_id, register, unnest(t) AS w FROM po) USING (register, w) GROUP BY 1, 2),
+sc AS (SELECT query_id, po.doc_id, wc, coalesce(o, 0) / sqrt(greatest(len(t), 1)) AS score FROM qu JOIN po USING (register) LEFT JOIN ov USING (query_id, doc_id)),
+rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sc),
+sh AS MATERIALIZED (SELECT doc_id, list_distinct(list_transform(range(1, len(a) - 3), lambda i: hash(array_to_string(a[i:i + 4], ' ')))) AS s FROM po),
+wk(query_id, r, n, words, picked, doc_id) AS (SELECT query_id, 0::BIGINT, 0, 0::BIGINT, []::UBIGINT[][], NULL::BIGINT FROM qu UNION ALL
+ SELECT query_id, r, CASE WHEN ok THEN n + 1 ELSE n END, CASE WHEN ok THEN words + wc ELSE words END, CASE WHEN ok THEN list_append(picked, s) ELSE picked END, CASE WHEN ok THEN doc END FROM (
+  SELECT wk.query_id, rk.r, wk.n, wk.words, wk.picked, rk.wc, rk.doc_id AS doc, sh.s, (wk.n = 0 OR wk.words + rk.wc <= 900) AND len(list_filter(wk.picked,
+    lambda p: len(p) > 0 AND len(sh.s) > 0 AND len(list_intersect(p, sh.s))::DOUBLE / (len(p) + len(sh.s) - len(list_intersect(p, sh.s))) > 0.3)) = 0 AS ok
+  FROM wk JOIN rk ON rk.query_id = wk.query_id AND rk.r = wk.r + 1 JOIN sh ON sh.doc_id = rk.doc_id WHERE wk.n < 3))
+SELECT query_id, doc_id, po.register, po.wc AS word_count, round(score, 4) AS score, n AS pick FROM wk JOIN rk USING (query_id, doc_id) JOIN po USING (doc_id) WHERE doc_id IS NOT NULL"""
 
 
 # All features of the contracts: those of one text, lexical diversity and the misspelling rate.
