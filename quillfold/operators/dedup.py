@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import tok_alnum, window_hashes
+from ..functions.runs import shingle_hashes
 from ..session import HOT_ROWS, cut_lineage, salted_join
 
 SHINGLE = 5
@@ -35,8 +35,8 @@ GROWTH = 4
 
 def shingle_sets(texts: DataFrame, n: int = SHINGLE) -> DataFrame:
     """``_key, _ord, h, n``: sorted distinct 64-bit shingle hashes; rows without shingles are left out."""
-    hashes = F.sort_array(F.array_distinct(window_hashes(tok_alnum(F.col("_text")), n)))
-    return texts.select("_key", "_ord", hashes.alias("h")).withColumn("n", F.size("h")).filter("n > 0")
+    hashed = shingle_hashes(texts, F.col("_text"), n).drop("_text")
+    return hashed.withColumn("n", F.size("h")).filter("n > 0")
 
 
 def representatives(signed: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def near_duplicates(
 ) -> DataFrame:
     """``key, is_duplicate`` (and ``duplicate_of``: the first kept row, by ``order``, that it matches) for every row."""
     num, den = threshold
-    texts = df.select(F.col(key).alias("_key"), F.col(order).alias("_ord"), F.col(text).alias("_text"))
+    texts = df.select(F.col(key).alias("_key"), F.col(order).alias("_ord"), F.col(text).cast("string").alias("_text"))
     sets = cut_lineage(
         shingle_sets(texts, n).withColumn("sig", F.struct("n", F.xxhash64("h").alias("a"), F.xxhash64(F.lit(7), "h").alias("b")))
     )
@@ -138,13 +138,14 @@ def near_duplicates(
         told = cut_lineage(_verified(cut_lineage(met), sets, num, den, hot_rows))
         known = told if known is None else known.unionByName(told)
         horizon = lead.filter(F.col("_rk") == k).select("tok", "band", F.struct("_ord", "rep").alias("last"))
-        unclear = (
-            undecided.join(horizon, ["tok", "band"]).filter(F.struct("_ord", "rep") > F.col("last")).select("rep").distinct()
-        )
-        rows = undecided.select("rep").distinct()
-        # earlier rounds left no similar pair with a kept or dropped row in it
-        similar = known.filter("similar").join(rows, "rep", "left_semi").join(rows.withColumnRenamed("rep", "pivot"), "pivot", "left_semi")
-        kept = rows.join(unclear, "rep", "left_anti").join(similar.select("rep"), "rep", "left_anti")
+        # a row behind the last pivot of one of its buckets has mates there that it has not met
+        behind = F.coalesce(F.struct("_ord", "rep") > F.col("last"), F.lit(False))
+        rows = undecided.join(horizon, ["tok", "band"], "left").groupBy("rep").agg(F.max(behind).alias("unclear"))
+        similar = known.filter("similar")
+        if dropped is not None:  # of earlier rounds only pairs of undecided rows matter
+            left = undecided.select("rep").distinct()
+            similar = similar.join(left, "rep", "left_semi").join(left.withColumnRenamed("rep", "pivot"), "pivot", "left_semi")
+        kept = rows.filter("NOT unclear").select("rep").join(similar.select("rep"), "rep", "left_anti")
         lost = (
             similar.join(kept.withColumnRenamed("rep", "pivot"), "pivot")
             .groupBy("rep")

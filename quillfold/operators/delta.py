@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
 from ..functions.fixed import FUNCTION_WORDS
-from ..functions.text import draw
-from .ranking import rank_by_draw
+from ..session import beside, cut_lineage
 from .stylometry import dense
 
 WIDTH = len(FUNCTION_WORDS)
@@ -22,6 +24,8 @@ BAND_ITERATIONS = 500
 IMPOSTER_TRIALS = 150
 FEATURE_SHARE = 0.5
 MIN_FEATURES = 5
+#: Draws of one group and iteration that documents leave their tasks for, and bits that one counting pass decides.
+CANDIDATES, SLICE_BITS = 64, 10
 
 
 def reference_profile(samples: DataFrame, *groups: str) -> DataFrame:
@@ -75,56 +79,143 @@ def register_separation(samples: DataFrame, group: str, first: str, second: str,
     return joined.groupBy(*by).agg(F.avg(F.abs(F.col("a") - F.col("b")) / F.col("sd")).alias("separation"))
 
 
+def _draws(seed: int, keys: list[str], iterations: int) -> np.ndarray:
+    """The draws of all keys and iterations, as ``functions.text.draw`` makes them: 32 bits each."""
+    heads = [hashlib.md5(f"{seed}|band|{it}|".encode()) for it in range(1, iterations + 1)]
+    out = np.empty((len(keys), iterations), np.uint32)
+    for row, key in enumerate(keys):
+        tail = key.encode()
+        for col, head in enumerate(heads):
+            h = head.copy()
+            h.update(tail)
+            out[row, col] = int.from_bytes(h.digest()[:4], "big")
+    return out
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[tuple[object, pa.RecordBatch]]:
+    """Pieces of batches that hold one group each, of at most so many rows. Columns: g, key, name, freqs."""
+    for batch in batches:
+        names = batch.column("g").to_pylist()
+        for g in dict.fromkeys(names):
+            at = [k for k, x in enumerate(names) if x == g]
+            for k in range(0, len(at), rows):
+                yield g, batch.take(pa.array(at[k : k + rows]))
+
+
+def _halves(docs: DataFrame, sizes: dict, iterations: int, seed: int) -> dict:
+    """``{group: (draw, key) of each iteration}``: the last document of the first half, by (draw, key).
+
+    Selection by counting: each task counts its draws per group, iteration and slice (the next ten bits); the sums tell the
+    slice that holds the wanted rank. Only when few draws are left in that slice do documents leave the tasks, so what is
+    exchanged depends on iterations and groups, not on documents.
+    """
+    kind = docs.schema["key"].dataType.simpleString()
+    group_kind = docs.schema["g"].dataType.simpleString()
+    half = {g: n // 2 for g, n in sizes.items()}
+    lead = {g: np.zeros(iterations, np.uint64) for g in sizes}  # bits known so far
+    before = {g: np.zeros(iterations, np.int64) for g in sizes}  # draws of smaller slices
+    bits, left = 0, dict(sizes)
+    while bits < 30 and max(left.values()) > CANDIDATES:
+        width = min(SLICE_BITS, 32 - bits)
+
+        def count(batches):
+            sums = {}
+            for g, part in _by_group(batches):
+                d = _draws(seed, part.column("name").to_pylist(), iterations).astype(np.uint64)
+                inside = (d >> np.uint64(32 - bits)) == lead[g] if bits else np.ones(d.shape, bool)
+                place = ((d >> np.uint64(32 - bits - width)) & np.uint64((1 << width) - 1)).astype(np.int64)
+                place += np.arange(iterations) << width
+                found = np.bincount(place[inside], minlength=iterations << width)
+                sums[g] = sums.get(g, 0) + found
+            for g, found in sums.items():
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(iterations + 1) << width, pa.int32()), pa.array(found))
+                yield pa.RecordBatch.from_arrays([pa.array([g] * iterations, g_type), pa.array(np.arange(iterations)), lists], ["g", "it", "counts"])
+
+        def pick(table):
+            total = np.sum([np.asarray(x) for x in table.column("counts").to_pylist()], axis=0)
+            g, it = table.column("g")[0].as_py(), table.column("it")[0].as_py()
+            sums = before[g][it] + np.cumsum(total)
+            at = int(np.searchsorted(sums, half[g]))
+            return pa.table({"g": pa.array([g], g_type), "it": [it], "slice": [at], "before": [int(sums[at] - total[at])], "n": [int(total[at])]})
+
+        g_type = to_arrow_type(docs.schema["g"].dataType)
+        counted = docs.select("g", "name").mapInArrow(count, f"g {group_kind}, it long, counts array<long>")
+        rows = counted.groupBy("g", "it").applyInArrow(pick, f"g {group_kind}, it long, slice long, before long, n long").collect()
+        left = {}
+        lead, before = {g: x.copy() for g, x in lead.items()}, {g: x.copy() for g, x in before.items()}
+        for r in rows:  # one row per group and iteration
+            lead[r.g][r.it] = (int(lead[r.g][r.it]) << width) | r.slice
+            before[r.g][r.it] = r.before
+            left[r.g] = max(left.get(r.g, 0), r.n)
+        bits += width
+
+    def candidates(batches):
+        for g, part in _by_group(batches):
+            d = _draws(seed, part.column("name").to_pylist(), iterations)
+            inside = (d.astype(np.uint64) >> np.uint64(32 - bits)) == lead[g] if bits else np.ones(d.shape, bool)
+            row, it = np.nonzero(inside)
+            wanted = half[g] - before[g][it]
+            columns = [pa.array([g] * len(row), part.column("g").type), pa.array(it), part.column("key").take(pa.array(row)), pa.array(d[row, it].astype(np.int64)), pa.array(wanted)]
+            yield pa.RecordBatch.from_arrays(columns, ["g", "it", "key", "d", "wanted"])
+
+    few = docs.select("g", "key", "name").mapInArrow(candidates, f"g {group_kind}, it long, key {kind}, d long, wanted long")
+    place = F.row_number().over(W.partitionBy("g", "it").orderBy("d", "key"))
+    last = few.withColumn("_at", place).filter(F.col("_at") == F.col("wanted")).select("g", "it", "d", "key").collect()
+    out = {g: (np.zeros(iterations, np.uint32), [None] * iterations) for g in sizes}
+    for r in last:
+        out[r.g][0][r.it] = r.d
+        out[r.g][1][r.it] = r.key
+    return out
+
+
 def within_band(samples: DataFrame, group: str, key: str, iterations: int = BAND_ITERATIONS, seed: int = 1, profile: DataFrame | None = None) -> DataFrame:
     """``group, documents, iterations, median, low, high, underpowered`` of split-half Deltas.
 
-    Each iteration splits the group's documents in two random halves by a keyed draw and compares
-    the half means. The ranks are narrow rows; the vectors only meet the assignments in Arrow
-    batches, where all half sums of a batch are one matrix product.
+    Each iteration splits the group's documents in two random halves by a keyed draw and compares the half means. Where the
+    halves part is found by counting (`_halves`); then one more pass adds up the first halves, all iterations of a batch as
+    one matrix product, and the second ones are what is left of the group. Draws are made where they are needed and never
+    stored: neither exchange has a row per document and iteration. Pass a table: it is read three times. On the driver:
+    one row per group and iteration.
     """
     sizes = samples.groupBy(group).agg(F.count("*").alias("documents"))
-    enough = sizes.filter(F.col("documents") >= MIN_BAND_DOCS).select(group)
-    docs = samples.select(group, key, "freqs").join(enough, group)
-    runs = docs.select(group, key, F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("it"))
-    ranked = rank_by_draw(
-        runs.withColumn("_d", draw(seed, "band", F.col("it"), F.col(key))), [group, "it"], "_d", key, buckets=64
-    )
-    in_first = F.col("rank") <= F.floor(F.col("group_size") / 2)
-    # per document, the iterations that put it in the first half
-    sides = ranked.groupBy(group, key).agg(F.collect_list(F.when(in_first, F.col("it"))).alias("first"))
+    enough = {r[0]: r[1] for r in sizes.filter((F.col("documents") >= MIN_BAND_DOCS) & F.col(group).isNotNull()).collect()}
+    docs = samples.select(F.col(group).alias("g"), F.col(key).alias("key"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("name"), "freqs")
+    docs = docs.filter(F.col("g").isin(list(enough)))
     kind = samples.schema[group].dataType.simpleString()
+    ends = _halves(docs, enough, iterations, seed) if enough else {}
 
     def half_sums(batches):
-        for pdf in batches:
-            for name, part in pdf.groupby(group):
-                f = np.vstack(part["freqs"].to_numpy())
-                member = np.zeros((len(part), iterations))
-                for row, its in enumerate(part["first"]):
-                    member[row, np.asarray(its, dtype=int) - 1] = 1.0
-                sums, rest = member.T @ f, (1 - member).T @ f
-                yield pd.DataFrame(
-                    {
-                        group: name,
-                        "it": np.arange(1, iterations + 1),
-                        "a": list(sums),
-                        "b": list(rest),
-                        "na": member.sum(axis=0).astype(int),
-                        "nb": (1 - member).sum(axis=0).astype(int),
-                    }
-                )
-
-    # one row per (batch, iteration) leaves each task, whatever the number of documents
-    partial = docs.join(sides, [group, key]).select(group, "freqs", "first").mapInPandas(
-        half_sums, f"{group} {kind}, it int, a array<double>, b array<double>, na long, nb long"
-    )
-    total = lambda c, n: F.array(*[F.sum(F.get(c, F.lit(i))) / F.sum(n) for i in range(WIDTH)])
-    halves = partial.groupBy(group, "it").agg(total("a", "na").alias("a"), total("b", "nb").alias("b"))
-    prof = reference_profile(docs, group) if profile is None else profile
-    keys = [group] if profile is None else []
-    sds = _sd_array(prof, *keys)
-    scored = halves.join(sds, group) if keys else halves.withColumn("_one", F.lit(1)).join(F.broadcast(sds.withColumn("_one", F.lit(1))), "_one")
-    deltas = scored.select(group, delta_expr(F.col("a"), F.col("b"), F.col("sds")).alias("d")).filter("d IS NOT NULL")
-    bands = deltas.groupBy(group).agg(
+        sums = {}
+        for g, part in _by_group(batches):
+            d = _draws(seed, part.column("name").to_pylist(), iterations)
+            draws, keys = ends[g]
+            member = d < draws
+            for row, it in zip(*np.nonzero(d == draws), strict=True):
+                member[row, it] = part.column("key")[int(row)].as_py() <= keys[it]
+            f = np.vstack(part.column("freqs").to_pylist())
+            sums[g] = sums.get(g, 0) + member.T.astype(float) @ f
+        for g, found in sums.items():
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, WIDTH), pa.int32()), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([g] * iterations, g_type), pa.array(np.arange(iterations)), lists], ["g", "it", "a"])
+
+    def added(table):
+        whole = np.sum(np.vstack(table.column("a").to_pylist()), axis=0)
+        n = enough[table.column("g")[0].as_py()] // 2
+        return pa.table({"g": table.column("g")[:1], "it": table.column("it")[:1], "a": pa.array([(whole / n).tolist()]), "s": pa.array([whole.tolist()])})
+
+    g_type = to_arrow_type(samples.schema[group].dataType)
+    # one row per (task, group, iteration) is exchanged, whatever the number of documents
+    partial = docs.mapInArrow(half_sums, f"g {kind}, it long, a array<double>")
+    halves = partial.groupBy("g", "it").applyInArrow(added, f"g {kind}, it long, a array<double>, s array<double>")
+    own = reference_profile(docs, "g")
+    means = F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda x: x["mean"])
+    whole = own.groupBy("g").agg(means.alias("means")).join(sizes.withColumnRenamed(group, "g"), "g")
+    rest = F.zip_with("means", "s", lambda m, x: (m * F.col("documents") - x) / (F.col("documents") - F.floor(F.col("documents") / 2)))
+    split = halves.join(whole, "g").select("g", "a", rest.alias("b"))
+    sds = _sd_array(own, "g") if profile is None else _sd_array(profile)
+    scored = split.join(sds, "g") if profile is None else beside(split, sds)
+    deltas = scored.select("g", delta_expr(F.col("a"), F.col("b"), F.col("sds")).alias("d")).filter("d IS NOT NULL")
+    bands = deltas.groupBy(F.col("g").alias(group)).agg(
         F.count("*").alias("iterations"),
         F.expr("percentile(d, 0.5)").alias("median"),
         F.expr("percentile(d, 0.025)").alias("low"),
@@ -201,14 +292,14 @@ def general_imposters(
 
 
 def aggregate_chunks(
-    docs: DataFrame, group: str, order: str, words: str = "words", min_words: int = MIN_CHUNK_WORDS, block: int = 1_000_000
+    docs: DataFrame, group: str, order: str, words: str = "words", min_words: int = MIN_CHUNK_WORDS, block: int = 1_000_000, fan: int = 32
 ) -> DataFrame:
     """Number the chunks of consecutive documents that reach ``min_words``: adds ``chunk`` (from 0).
 
     The running count restarts whenever a chunk fills, which no window frame expresses, and one
     group may be far too long for one task. But the carried count is always below ``min_words``, so
     a block of documents is a small table: carried-in count -> (carried-out count, chunks closed).
-    Blocks build their tables in parallel, a short scan per group links them, and a last pass
+    Blocks build their tables in parallel, a scan in levels of ``fan`` tables links them, and a last pass
     numbers the documents. The remainder joins the last full chunk.
     """
     cut = docs.withColumn("_block", F.floor(F.col(order) / block).cast("long"))
@@ -230,15 +321,31 @@ def aggregate_chunks(
         table, f"{group} {name}, _block long, carry array<long>, closed array<long>"
     )
 
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One table for consecutive blocks: what the next one makes of each carry that comes out."""
+        carry, closed = np.arange(min_words), np.zeros(min_words, dtype=np.int64)
+        for carries, closes in pdf.sort_values("_block")[["carry", "closed"]].itertuples(index=False):
+            closed, carry = closed + np.asarray(closes)[carry], np.asarray(carries)[carry]
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "_block": [pdf["_up"].iloc[0]], "carry": [carry.tolist()], "closed": [closed.tolist()]})
+
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        carry, first, rows = 0, 0, []
+        """Carry and chunk number at which each of some consecutive blocks begins, from where their group begins."""
+        carry, first, rows = int(pdf["start"].iloc[0]), int(pdf["first"].iloc[0]), []
         for b, carries, closes in pdf.sort_values("_block")[["_block", "carry", "closed"]].itertuples(index=False):
-            rows.append((pdf[group].iloc[0], b, carry, first))
+            rows.append((b, carry, first))
             carry, first = int(carries[carry]), first + int(closes[carry])
-        return pd.DataFrame(rows, columns=[group, "_block", "start", "first"]).assign(total=first)
-
-    # one row per million documents of the group
-    linked = tables.groupBy(group).applyInPandas(link, f"{group} {name}, _block long, start long, first long, total long")
+        return pd.DataFrame(rows, columns=["_block", "start", "first"]).assign(**{group: pdf[group].iloc[0], "total": int(pdf["total"].iloc[0])})
+
+    # a parallel scan: tables are composed upwards in levels of `fan` and the starts are told downwards, so no task holds more
+    above = F.floor(F.col("_block") / fan)
+    columns = f"{group} {name}, _block long, carry array<long>, closed array<long>"
+    levels = [cut_lineage(tables)]
+    while not levels[-1].groupBy(group).count().filter("count > 1").isEmpty():
+        levels.append(cut_lineage(levels[-1].withColumn("_up", above).groupBy(group, "_up").applyInPandas(compose, columns)))
+    linked = levels.pop().select(group, "_block", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("first"), F.get("closed", F.lit(0)).alias("total"))
+    for level in reversed(levels):
+        met = level.withColumn("_up", above).join(linked.withColumnRenamed("_block", "_up"), [group, "_up"])
+        linked = cut_lineage(met.groupBy(group, "_up").applyInPandas(link, f"_block long, start long, first long, {group} {name}, total long"))
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)

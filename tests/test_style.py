@@ -1,7 +1,9 @@
+import hashlib
 import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,8 +71,8 @@ def test_chunks_equal_the_sequential_walk(spark):
     sizes = [rnd.choice([0, 3, 40, 70, 130]) for _ in range(97)]
     rows = [("a", i, w) for i, w in enumerate(sizes)] + [("b", 0, 5), ("b", 1, 6)]
     df = spark.createDataFrame(rows, "g string, ord long, words int")
-    for block in (4, 25, 1000):
-        got = delta.aggregate_chunks(df, "g", "ord", min_words=100, block=block).collect()
+    for block, fan in ((4, 3), (25, 32), (1000, 2)):  # several levels of tables, one, none
+        got = delta.aggregate_chunks(df, "g", "ord", min_words=100, block=block, fan=fan).collect()
         by = {}
         for r in got:
             by.setdefault((r["g"], r["chunk"]), []).append(r["ord"])
@@ -101,6 +103,29 @@ def test_band(spark):
     assert got == [True, False, None]
 
 
+@pytest.mark.parametrize("few, bits", [(64, 10), (1, 3), (0, 10)])
+def test_band_equals_the_plain_split(spark, monkeypatch, few, bits):
+    """Halves found by counting are the halves of a sorted list, whatever the slices."""
+    monkeypatch.setattr(delta, "CANDIDATES", few)
+    monkeypatch.setattr(delta, "SLICE_BITS", bits)
+    rnd = random.Random(5)
+    rows = [("xy"[i % 2], i, [rnd.random() if p % 3 else 0.25 for p in range(150)]) for i in range(41)]
+    df = spark.createDataFrame(rows, "g string, k int, freqs array<double>").repartition(3)
+    got = {r["g"]: r for r in delta.within_band(df, "g", "k", iterations=25, seed=3).collect()}
+    for g in "xy":
+        docs = {k: np.array(f) for x, k, f in rows if x == g}
+        sd = np.std(list(docs.values()), axis=0, ddof=1)
+        draw = lambda it, k: int(hashlib.md5(f"3|band|{it}|{k}".encode()).hexdigest()[:8], 16)
+        found = []
+        for it in range(1, 26):
+            order = sorted(docs, key=lambda k: (draw(it, k), k))
+            half = len(order) // 2
+            a, b = (np.mean([docs[k] for k in part], axis=0) for part in (order[:half], order[half:]))
+            found.append(np.mean(np.abs(a - b)[sd > 1e-12] / sd[sd > 1e-12]))
+        assert abs(got[g]["median"] - np.median(found)) < 1e-9 and abs(got[g]["low"] - np.percentile(found, 2.5)) < 1e-9
+        assert got[g]["iterations"] == 25 and got[g]["documents"] == len(docs)
+
+
 def test_few_clusters_widen_the_interval(spark):
     few = [("r", f"d{i % 2}", i % 2 == 0) for i in range(40)]
     many = [("r", f"d{i % 20}", (i * 7) % 3 == 0) for i in range(40)]
