@@ -200,6 +200,37 @@ def q_high_school_scope(spark, sf_dir):
     return p.select("listing_id", eligibility.scopes_to_high_school(n).alias("high_school"), eligibility.names_college_level(n).alias("college"))
 
 
+# Listing texts put together from the part's own columns, and applicants from the suppliers.
+_ASKS = """concat('Applicants ', CASE p_size % 4 WHEN 0 THEN 'must be residents of ' WHEN 1 THEN 'living in ' WHEN 2 THEN 'across the United States, also from ' ELSE 'with roots in ' END,
+ CASE p_partkey % 5 WHEN 0 THEN 'Texas' WHEN 1 THEN 'Ohio' WHEN 2 THEN 'New York' WHEN 3 THEN 'West Virginia' ELSE 'Iowa' END, ', ',
+ CASE p_size % 3 WHEN 0 THEN 'majoring in ' WHEN 1 THEN 'fond of ' ELSE 'studying ' END, p_name, CASE p_partkey % 7 WHEN 0 THEN ' and health-science' WHEN 1 THEN ' or health/science' WHEN 2 THEN ', attending Lakeside College' WHEN 3 THEN ', female applicants' WHEN 4 THEN ', first-generation' ELSE '' END, '.')"""
+_HOME = "CASE s_suppkey % 4 WHEN 0 THEN 'texas' WHEN 1 THEN 'ohio' WHEN 2 THEN 'iowa' ELSE 'utah' END"
+
+
+def _people(spark, sf_dir):
+    return read_table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("profile_id"),
+        F.array(F.expr(_HOME)).alias("state_names"),
+        F.when(F.col("s_suppkey") % 3 == 0, F.array(F.lit("lakeside college"), F.lit("lakeside"))).otherwise(F.array(F.lit("northern institute"))).alias("institutions"),
+        F.array(F.lit("health-science"), F.lit("gear")).alias("allowed_fields"),
+        F.array(F.lit("blue"), F.lit("bolt")).alias("disallowed_fields"),
+        F.expr("CASE s_suppkey % 3 WHEN 0 THEN 'female' WHEN 1 THEN 'male' END").alias("gender"),
+        (F.col("s_suppkey") % 2 == 0).alias("first_generation"),
+    )
+
+
+def q_screen_profiles(spark, sf_dir):
+    """Every pair of a supplier, taken as applicant, and a part that share a code."""
+    li = read_table(spark, sf_dir, "part").selectExpr("p_partkey AS listing_id", f"{_ASKS} AS requirements_text")
+    return eligibility.screen_profiles(_people(spark, sf_dir), li)[0].select("profile_id", "listing_id", "decision", "rule")
+
+
+def q_screen_profiles_others(spark, sf_dir):
+    """What each part says to applicants that share no code with it."""
+    li = read_table(spark, sf_dir, "part").selectExpr("p_partkey AS listing_id", f"{_ASKS} AS requirements_text")
+    return eligibility.screen_profiles(_people(spark, sf_dir), li)[1].select("listing_id", "gender", "first_generation", "decision", "rule")
+
+
 def q_build_profile(spark, sf_dir):
     c = read_table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("profile_id"),
@@ -696,6 +727,8 @@ QUERIES = {
     "no_essay": q_no_essay,
     "screen_eligibility": q_screen_eligibility,
     "dq_reasons": q_dq_reasons,
+    "screen_profiles": q_screen_profiles,
+    "screen_profiles_others": q_screen_profiles_others,
     "scoped_states": q_scoped_states,
     "high_school_scope": q_high_school_scope,
     "build_profile": q_build_profile,

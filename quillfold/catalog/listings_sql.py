@@ -11,6 +11,8 @@ from .listings import (
     _DEADLINE_TEXT,
     _FORM,
     _LEVEL_TEXT,
+    _ASKS,
+    _HOME,
     _SCOPE_TEXT,
     q_freshness_sources,
 )
@@ -179,6 +181,21 @@ CLASSIFY = f"""{FORM_PAGES}, cp AS (SELECT page_id, CASE WHEN own <> '' THEN 'di
   CASE WHEN page_id % 6 = 2 THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/files/apply.pdf' END AS pdf_url,
   CASE page_id % 6 WHEN 0 THEN 'first,email,Phone' WHEN 1 THEN 'essay' ELSE '' END AS fields, CASE WHEN page_id % 6 IN (0, 1, 3) THEN 1 ELSE 0 END AS n_forms, CASE WHEN page_id % 6 = 1 THEN 500 END AS word_limit FROM fp)"""
 
+def _decided(home: str, own: str, allowed: str, bad: str, gender: str, first: str) -> str:
+    """Decision and rule by the order of the rules, for texts without identity, level and status clauses."""
+    return f"""CASE WHEN st <> '' AND NOT {home} THEN 'disqualified|wrong-state' WHEN school AND NOT {own} THEN 'disqualified|wrong-institution' WHEN female AND {gender} IS NULL THEN 'ambiguous|'
+ WHEN first_gen AND NOT {first} THEN 'disqualified|demographic-identity' WHEN female AND {gender} <> 'female' THEN 'disqualified|demographic-identity'
+ WHEN field AND NOT {allowed} AND {bad} THEN 'disqualified|wrong-field' WHEN field AND NOT {allowed} THEN 'ambiguous|'
+ WHEN st <> '' OR {own} OR (field AND {allowed}) THEN 'pass|' ELSE 'ambiguous|' END"""
+
+
+_ASKED = f"""tx AS (SELECT p_partkey AS listing_id, lower({_ASKS}) AS t FROM part),
+fc AS (SELECT *, CASE WHEN contains(t, 'united states') THEN '' ELSE regexp_extract(t, '(?:residents of|living in) (texas|ohio|new york|west virginia|iowa)', 1) END AS st, contains(t, 'attending lakeside college') AS school,
+  contains(t, 'female applicants') AS female, contains(t, 'first-generation') AS first_gen, regexp_matches(t, 'majoring in|studying') AS field FROM tx)"""
+_PEOPLE = f"pe AS (SELECT s_suppkey AS profile_id, {_HOME} AS home, s_suppkey % 3 = 0 AS lakeside, CASE s_suppkey % 3 WHEN 0 THEN 'female' WHEN 1 THEN 'male' END AS gender, s_suppkey % 2 = 0 AS fg FROM supplier)"
+_MET = """mt AS (SELECT *, st = home AS h, CASE WHEN lakeside THEN contains(t, 'lakeside') ELSE contains(t, 'northern institute') END AS o,
+  regexp_matches(t, '\\bhealth[-/ ]science\\b|\\bgear\\b') AS al, regexp_matches(t, '\\bblue\\b|\\bbolt\\b') AS bd FROM pe CROSS JOIN fc)"""
+
 ORACLES = {
     "parse_amount": w(CTE, f"SELECT listing_id, {amount_of('amount_text')} AS amount FROM li"),
     "norm_key": w(CTE, f"SELECT listing_id, {norm('name')} AS key FROM li"),
@@ -228,6 +245,8 @@ SELECT o_orderkey, reason IS NULL AS ok, reason FROM r""",
     "no_essay": w(CTE, f"SELECT listing_id, {NO_ESSAY.replace('{0}', 'description')} AS no_essay FROM li"),
     "screen_eligibility": f"SELECT p_partkey AS listing_id, {EXPECT['decision']} AS decision, {EXPECT['rule']} AS rule FROM part",
     "dq_reasons": f"SELECT {EXPECT['rule']} AS reason, count(*) AS n FROM part WHERE {EXPECT['decision']} = 'disqualified' GROUP BY 1 ORDER BY n DESC, reason LIMIT 6",
+    "screen_profiles": f"WITH {_ASKED}, {_PEOPLE}, {_MET} SELECT profile_id, listing_id, split_part(v, '|', 1) AS decision, nullif(split_part(v, '|', 2), '') AS rule FROM (SELECT profile_id, listing_id, {_decided('h', 'o', 'al', 'bd', 'gender', 'fg')} AS v FROM mt WHERE h OR o OR al OR bd)",
+    "screen_profiles_others": f"WITH {_ASKED} SELECT listing_id, gender, first_generation, split_part(v, '|', 1) AS decision, nullif(split_part(v, '|', 2), '') AS rule FROM (SELECT listing_id, gender, first_generation, {_decided('FALSE', 'FALSE', 'FALSE', 'FALSE', 'gender', 'first_generation')} AS v FROM fc CROSS JOIN (SELECT unnest([NULL, 'female', 'other']) AS gender) CROSS JOIN (SELECT unnest([TRUE, FALSE]) AS first_generation))",
     "scoped_states": f"SELECT p_partkey AS listing_id, CASE p_partkey % 6 WHEN 0 THEN 'west virginia' WHEN 1 THEN '' WHEN 2 THEN 'texas' WHEN 3 THEN 'california' WHEN 4 THEN 'texas' ELSE '' END AS states FROM part WHERE {_SCOPE_TEXT} IS NOT NULL",
     "high_school_scope": f"SELECT p_partkey AS listing_id, p_partkey % 5 < 3 AS high_school, p_partkey % 5 IN (2, 3) AS college FROM part WHERE {_LEVEL_TEXT} IS NOT NULL",
     "priority_dedupe": w(
