@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,11 +10,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a task holds as arrays at a time; a longer text comes alone.
-TEXT_BYTES = 1_000_000
+TEXT_BYTES = 400_000
 
 
 def by_text_size(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of at most `limit` bytes of text, or one row. Nothing is dropped or reordered."""
+    """Slices of at most `limit` bytes of text, or one row. Nothing is dropped or reordered. Memory that a batch leaves free
+    goes back to the system, since a worker lives on beside the JVM for later stages."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         begin, held = 0, 0
@@ -24,6 +26,24 @@ def by_text_size(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             held += size
         if begin < batch.num_rows:
             yield batch.slice(begin)
+        _release()
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def _malloc_trim():
+    """glibc keeps freed memory; other C libraries have no such call."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+_trim = _malloc_trim()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

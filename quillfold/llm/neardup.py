@@ -30,11 +30,13 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND = 72, 8
 COORDINATES = BANDS * BAND
 #: Strips and darts that are held at a time; a text of more comes alone.
-DARTS = 400_000
+DARTS = 200_000
 #: First nodes of a bucket that meet all others in a later round; nodes from which on a bucket is divided by other bands.
 PIVOTS, LARGE = 16, 32
 #: Nodes of a bucket that one task joins with its pivots: a bucket of more nodes is dealt out in parts of about so many.
 PART = 4096
+#: Whole texts that go to a Python worker at a time.
+TEXT_ROWS = 1000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = float(1 << 32)
@@ -152,7 +154,7 @@ def _signed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["text_key", "doc_id", "n", "bands"])
 
     rows = docs.select(text_key(F.col("text")).alias("text_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return saved(rows.mapInArrow(run, "text_key binary, doc_id long, n int, bands array<long>"))
+    return saved(rows.mapInArrow(run, "text_key binary, doc_id long, n int, bands array<long>"), TEXT_ROWS)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -167,7 +169,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     rows = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     met = rows.join(wanted, (F.col("key") == F.col("text_key")) & F.col("id").eqNullSafe(F.col("rep")))
-    return saved(met.select("node", "text").mapInArrow(run, "node long, shingles array<long>"))
+    return saved(met.select("node", "text").mapInArrow(run, "node long, shingles array<long>"), TEXT_ROWS)
 
 
 def _links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -25,11 +25,25 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a table in the shared folder: lineage ends there and nothing is computed twice."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def saved(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """The same rows, read back from a table in the shared folder: lineage ends there and nothing is computed twice.
+
+    batch_rows: rows that go to Python at a time in this job. A batch of whole texts stands in memory several times, in the
+    JVM and in the worker, and by default it has 10,000 of them.
+    """
+    spark = df.sparkSession
+    path, before = shared_folder(spark), spark.conf.get(_BATCH_ROWS, None)
+    if batch_rows:
+        spark.conf.set(_BATCH_ROWS, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set(_BATCH_ROWS, before) if before else spark.conf.unset(_BATCH_ROWS)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Folder:
