@@ -625,6 +625,24 @@ se AS (SELECT query_id, fa.fact_id, spine, coalesce(s, 0) / sqrt(greatest(len(t)
 pk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS pick FROM se WHERE score > 0 OR spine)"""
 
 
+_ERRORS = (
+    f"{_SPELL}, su AS (SELECT word FROM un WHERE length(word) >= 6), {_edits_sql('su')}, ok AS (SELECT ec.word, correct FROM ec LEFT JOIN fq ON fq.word = ec.word WHERE k = 1 AND coalesce(fq.n, 0) <= correct_n), "
+    "et AS MATERIALIZED (SELECT correct, word AS variant, sum(n)::BIGINT AS n, string_agg(DISTINCT register, ',' ORDER BY register) AS registers FROM ca JOIN ok USING (word) GROUP BY 1, 2)"
+)
+# Attempts one after another, each on the text that the one before has left.
+_NOISE = f"""WITH RECURSIVE {_ERRORS},
+cum AS MATERIALIZED (SELECT correct, variant, sum(n) OVER (ORDER BY n DESC, correct, variant) AS high, n FROM et),
+bud AS MATERIALIZED (SELECT doc_id, text, floor(8.0::DOUBLE / 1000 * len(regexp_extract_all(text, '\\S+')) + 0.5)::INTEGER AS budget FROM documents),
+dra AS (SELECT doc_id, k, floor({duck_draw("'13|' || doc_id || '|' || k")} * (SELECT max(high) FROM cum)) AS at FROM (SELECT doc_id, unnest(range(0, 12 * budget)) AS k FROM bud)),
+pic AS MATERIALIZED (SELECT doc_id, k, correct, variant FROM dra ASOF JOIN cum ON dra.at < cum.high),
+wal(doc_id, k, budget, used, text) AS (SELECT doc_id, 0::BIGINT, budget, []::VARCHAR[], text FROM bud UNION ALL
+ SELECT doc_id, k + 1, budget, CASE WHEN m <> '' THEN list_append(used, correct) ELSE used END,
+  CASE WHEN m <> '' THEN regexp_replace(text, '(^|[^A-Za-z0-9_])' || m || '($|[^A-Za-z0-9_])', '\\1' || CASE WHEN left(m, 1) = upper(left(m, 1)) THEN upper(left(variant, 1)) || substr(variant, 2) ELSE variant END || '\\2') ELSE text END
+ FROM (SELECT wal.*, correct, variant, CASE WHEN list_contains(used, correct) THEN '' ELSE regexp_extract(text, '(?i:(?:^|[^A-Za-z0-9_])(' || correct || ')(?:$|[^A-Za-z0-9_]))', 1) END AS m
+  FROM wal JOIN pic ON pic.doc_id = wal.doc_id AND pic.k = wal.k WHERE len(used) < budget))
+SELECT b.doc_id, md5(w.text) AS digest, w.text <> b.text AS changed FROM (SELECT doc_id, arg_max(text, k) AS text FROM wal GROUP BY 1) w JOIN bud b USING (doc_id)"""
+
+
 # The greedy walk: one step per row of a query's ranking, with what it has picked so far.
 _EXEMPLARS = """WITH RECURSIVE po AS MATERIALIZED (SELECT doc_id, lang AS register, len(regexp_extract_all(text, '\\S+'))::BIGINT AS wc, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z''-]{2,}')) AS t,
   regexp_extract_all(lower(text), '[a-z0-9'']+') AS a FROM documents),
@@ -680,10 +698,8 @@ ORACLES = {
         + ", round(coalesce(ms, 0)::DOUBLE / greatest(word_count, 1) * 1000, 6) AS misspelling_rate, round(coalesce(oo, 0)::DOUBLE / greatest(word_count, 1) * 1000, 6) AS out_of_vocabulary_rate FROM ft JOIN mt USING (doc_id) LEFT JOIN sp USING (doc_id)",
     ),
     "correction_for": _with(f"{_SPELL}, su AS (SELECT word FROM fq WHERE n <= 3 AND regexp_matches(word, '^[a-z]{{6,}}$')), {_edits_sql('su')}", "SELECT word, correct, correct_n FROM ec WHERE k = 1"),
-    "error_table": _with(
-        f"{_SPELL}, su AS (SELECT word FROM un WHERE length(word) >= 6), {_edits_sql('su')}, ok AS (SELECT ec.word, correct FROM ec LEFT JOIN fq ON fq.word = ec.word WHERE k = 1 AND coalesce(fq.n, 0) <= correct_n)",
-        "SELECT correct, word AS variant, sum(n)::BIGINT AS n, string_agg(DISTINCT register, ',' ORDER BY register) AS registers FROM ca JOIN ok USING (word) GROUP BY 1, 2",
-    ),
+    "error_table": _with(_ERRORS, "SELECT * FROM et"),
+    "inject_errors": _NOISE,
     "register_stats": _with(_STATS, f"SELECT register, documents, words, underpowered, feature, n, {_r('mean sd min max')} FROM rs"),
     "register_vectors": _with(_VEC, "SELECT register, pos::INTEGER AS pos, round(avg(f), 9) AS f FROM ve GROUP BY 1, 2"),
     "register_contracts": _with(_STATS, f"SELECT against AS register, feature, {_r('mean sd low high')} FROM ct"),

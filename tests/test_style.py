@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -221,3 +222,47 @@ def test_noise_is_seeded_and_bounded(spark):
     assert first == again and first.count("ecuase") == 1 and first.startswith("Becuase") and first.count("reserach") == 1
     assert augment.inject_errors(docs, errors, "id", None).first()["noisy"] == docs.first()["text"]
     assert augment.inject_errors(docs, errors.limit(0), "id", 10.0).first()["noisy"] == docs.first()["text"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_noise_equals_repeated_searches(spark, seed):
+    """Words that are variants of others, capitals, apostrophes, weights far apart; a draw looked up in a sorted list."""
+    rnd = random.Random(seed)
+    words = ["from", "form", "the", "teh", "Because", "don't", "dont", "it", "it's", "über", "a_b", "7th"]
+    docs = [(i, " ".join(rnd.choice(words) + rnd.choice(["", ".", ","]) for _ in range(rnd.randrange(120)))) for i in range(30)] + [(99, None), (98, "")]
+    table = [("from", "form", 900), ("form", "from", 30), ("the", "teh", 5), ("because", "becuase", 1), ("don't", "dont", 40), ("it", "ti", 0), ("nowhere", "x", 7), ("dont", "don't", None)]
+    errors = spark.createDataFrame(table, "correct string, variant string, n long")
+    got = {r.id: r.noisy for r in augment.inject_errors(spark.createDataFrame(docs, "id int, text string"), errors, "id", 60.0, seed).collect()}
+    ordered = sorted(((c, v, max(1, n or 1)) for c, v, n in table), key=lambda r: (-r[2], r[0], r[1]))
+    total = sum(r[2] for r in ordered)
+    for key, text in docs:
+        now, used = text or "", set()
+        budget = math.floor(60.0 / 1000 * len((text or "").split()) + 0.5)
+        for k in range(12 * budget):
+            at = math.floor(int(hashlib.md5(f"{seed}|{key}|{k}".encode()).hexdigest()[:8], 16) / 4294967296.0 * total)
+            for c, v, n in ordered:
+                if at < n:
+                    break
+                at -= n
+            if len(used) >= budget or c in used:
+                continue
+            hit = re.search(rf"(?<![A-Za-z0-9_]){re.escape(c)}(?![A-Za-z0-9_])", now, re.I | re.A)
+            if hit:
+                new = v[0].upper() + v[1:] if hit.group()[0] == hit.group()[0].upper() else v
+                now, used = now[: hit.start()] + new + now[hit.end() :], used | {c}
+        assert got[key] == (now if text else text)
+
+
+def test_weighted_draws_cover_the_table(spark):
+    rnd = random.Random(4)
+    table = [(f"c{i:03d}", "v", rnd.choice([1, 1, 2, 500])) for i in range(200)]
+    errors = spark.createDataFrame(table, "correct string, variant string, n long")
+    rows = augment.cumulative_weights(errors).orderBy("low").collect()
+    want, at = [], 0
+    for c, v, n in sorted(table, key=lambda r: (-r[2], r[0])):
+        want.append((c, v, at, at + n))
+        at += n
+    assert [(r.correct, r.variant, r.low, r.high) for r in rows] == want and {r.total for r in rows} == {at}
+    rolls = spark.createDataFrame([(i, i / 997) for i in range(997)], "i int, roll double")
+    got = augment.weighted_draws(rolls, errors).collect()
+    assert {(r.i, r.correct) for r in got} == {(i, next(c for c, _, a, b in want if a <= math.floor(i / 997 * at) < b)) for i in range(997)} and len(got) == 997
