@@ -21,13 +21,18 @@ def _features(spark, sf_dir, spelled: bool = False):
     docs = documents(spark, sf_dir)
     rates = None
     if spelled:
-        checked = spelling.spell_check(docs, _dictionary(docs), "doc_id")
+        tokens = _tokens(docs)
+        checked = spelling.spell_check(docs, cut_lineage(_dictionary(docs, tokens)), "doc_id", tokens=tokens)
         rates = spelling.spelling_rates(checked, "doc_id")
     return stylometry.style_features(docs, "doc_id", spelling=rates).join(docs.select("doc_id", F.col("lang").alias("register"), "source"), "doc_id")
 
 
-def _dictionary(docs):
-    return spelling.document_frequency_dictionary(docs, "doc_id", DICT_DOCS)
+def _tokens(docs):
+    return cut_lineage(spelling.token_table(docs, "doc_id"))
+
+
+def _dictionary(docs, tokens=None):
+    return spelling.document_frequency_dictionary(docs, "doc_id", DICT_DOCS, tokens=tokens)
 
 
 def _rounded(df, digits=6, keep=()):
@@ -91,26 +96,31 @@ def q_word_frequencies(spark, sf_dir):
 
 def q_doc_frequency_vocab(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return spelling.build_vocabulary(docs, _dictionary(docs), "doc_id")
+    tokens = _tokens(docs)
+    return spelling.build_vocabulary(docs, _dictionary(docs, tokens), "doc_id", tokens=tokens)
 
 
 def q_spell_check(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    dictionary = cut_lineage(_dictionary(docs))
-    vocabulary = spelling.build_vocabulary(docs, dictionary, "doc_id", min_docs=10)
-    return spelling.spell_check(docs, dictionary, "doc_id", vocabulary=vocabulary)
+    tokens = _tokens(docs)
+    dictionary = cut_lineage(_dictionary(docs, tokens))
+    vocabulary = spelling.build_vocabulary(docs, dictionary, "doc_id", min_docs=10, tokens=tokens)
+    return spelling.spell_check(docs, dictionary, "doc_id", vocabulary=vocabulary, tokens=tokens)
 
 
 def q_correction_for(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    freq = cut_lineage(spelling.word_frequencies(docs))
-    rare = freq.filter("n <= 3").select("word").filter(F.col("word").rlike("^[a-z]{6,}$"))
-    return spelling.correction_for(rare, _dictionary(docs), freq)
+    tokens = _tokens(docs)
+    dictionary = cut_lineage(_dictionary(docs, tokens))
+    freq = cut_lineage(spelling.word_frequencies(docs, tokens=tokens))
+    suspects = freq.select("word").join(dictionary, "word", "left_anti").filter(F.length("word") >= spelling.MIN_MISSPELLING)
+    return spelling.correction_for(suspects, dictionary, freq)
 
 
 def q_error_table(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    t = spelling.build_error_table(docs, cut_lineage(_dictionary(docs)), "doc_id", "lang")
+    tokens = _tokens(docs)
+    t = spelling.build_error_table(docs, cut_lineage(_dictionary(docs, tokens)), "doc_id", "lang", tokens=tokens)
     return t.select("correct", "variant", "n", F.array_join("registers", ",").alias("registers"))
 
 
@@ -568,7 +578,7 @@ ed AS (SELECT word, substr(word, 1, i - 1) || substr(word, i + 1) AS e FROM ep W
  UNION SELECT word, substr(word, 1, i - 1) || substr(word, i + 1, 1) || substr(word, i, 1) || substr(word, i + 2) FROM ep WHERE i < length(word)
  UNION SELECT word, substr(word, 1, i - 1) || c || substr(word, i + 1) FROM el WHERE i <= length(word)
  UNION SELECT word, substr(word, 1, i - 1) || c || substr(word, i) FROM el),
-em AS (SELECT DISTINCT ed.word, e AS correct FROM ed JOIN di ON di.word = e WHERE length(e) >= 3 AND e <> ed.word),
+em AS (SELECT DISTINCT ed.word, e AS correct FROM ed JOIN di ON di.word = e WHERE length(e) >= 3 AND e <> ed.word AND NOT contains(e, '''')),
 ec AS (SELECT em.word, correct, coalesce(n, 0) AS correct_n, row_number() OVER (PARTITION BY em.word ORDER BY coalesce(n, 0) DESC, length(correct) DESC, correct) AS k FROM em LEFT JOIN fq ON fq.word = correct)"""
 
 
@@ -697,7 +707,7 @@ ORACLES = {
         + _r("mean_sentence_words sd_sentence_words p10_sentence_words p90_sentence_words comma_rate semicolon_rate em_dash_rate period_rate colon_rate commas_per_sentence mtld en_dash_rate doubled_period_rate bold_mid_paragraph_rate lowercase_start_rate contraction_rate")
         + ", round(coalesce(ms, 0)::DOUBLE / greatest(word_count, 1) * 1000, 6) AS misspelling_rate, round(coalesce(oo, 0)::DOUBLE / greatest(word_count, 1) * 1000, 6) AS out_of_vocabulary_rate FROM ft JOIN mt USING (doc_id) LEFT JOIN sp USING (doc_id)",
     ),
-    "correction_for": _with(f"{_SPELL}, su AS (SELECT word FROM fq WHERE n <= 3 AND regexp_matches(word, '^[a-z]{{6,}}$')), {_edits_sql('su')}", "SELECT word, correct, correct_n FROM ec WHERE k = 1"),
+    "correction_for": _with(f"{_SPELL}, su AS (SELECT word FROM fq WHERE length(word) >= 6 AND word NOT IN (SELECT word FROM di)), {_edits_sql('su')}", "SELECT word, correct, correct_n FROM ec WHERE k = 1"),
     "error_table": _with(_ERRORS, "SELECT * FROM et"),
     "inject_errors": _NOISE,
     "register_stats": _with(_STATS, f"SELECT register, documents, words, underpowered, feature, n, {_r('mean sd min max')} FROM rs"),

@@ -1,15 +1,23 @@
 """Spelling: proper nouns, morphology, corpus vocabulary, misspellings and corrections.
 
 Every verdict about a word is computed once per distinct word and joined back to (document, word)
-counts; only the proper-noun rule is per document.
+counts; only the proper-noun rule is per document. Texts are read once, in a narrow pass that counts each document's words
+(:func:`token_table`); pass its result, as a table, to the other functions as ``tokens``.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.runs import slices
 from ..functions.text import tok_alpha
+from ..session import cut_lineage
 
 # Fixed values
 SUFFIXES = ("s", "es", "ed", "ing", "er", "est", "ly", "ment", "ness", "d", "n")
@@ -46,24 +54,44 @@ def morph_variants(word: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*options)))
 
 
-def token_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key, raw, word, n``: style tokens per document; ``word`` is cut at the first apostrophe."""
-    return (
-        df.select(key, F.explode(tok_alpha(F.col(text))).alias("raw"))
-        .groupBy(key, "raw")
-        .agg(F.count("*").alias("n"))
-        .withColumn("word", F.substring_index("raw", "'", 1))
-    )
-
-
-def document_frequency_dictionary(df: DataFrame, key: str, min_docs: int, text: str = "text") -> DataFrame:
+def token_table(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key, raw, word, n, proper``: the style tokens of each document with their counts; ``word`` is cut at the first
+    apostrophe; ``proper``: always capitalised there. A document's words are counted where its text is read, so nothing is
+    shuffled."""
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_low", F.lower("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, cased = re.compile("[a-z']+"), re.compile("[A-Za-z][A-Za-z']*")
+        for batch in slices(batches, "_text"):
+            sizes, words, counts, proper = [], [], [], []
+            for raw, low in zip(batch.column("_text").to_pylist(), batch.column("_low").to_pylist(), strict=True):
+                found = Counter(tokens.findall(low))
+                seen = Counter(cased.findall(raw))
+                plain = {w.lower() for w in seen if w[0] >= "a"}
+                always = {w.lower() for w in seen if w[0] < "a"} - plain
+                sizes.append(len(found))
+                words += found
+                counts += found.values()
+                proper += [w in always for w in found]
+            at = pa.array([k for k, n in enumerate(sizes) for _ in range(n)], pa.int64())
+            columns = [batch.column("_key").take(at), pa.array(words, pa.string()), pa.array(counts, pa.int64()), pa.array(proper, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, [key, "raw", "n", "proper"])
+
+    counted = rows.mapInArrow(run, f"`{key}` {kind}, raw string, n long, proper boolean")
+    return counted.select(key, "raw", F.substring_index("raw", "'", 1).alias("word"), "n", "proper")
+
+
+def document_frequency_dictionary(df: DataFrame, key: str, min_docs: int, text: str = "text", tokens: DataFrame | None = None) -> DataFrame:
     """A dictionary mined from the corpus: tokens found in at least ``min_docs`` documents."""
-    tokens = df.select(F.explode(F.array_distinct(tok_alpha(F.col(text)))).alias("word"))
-    return tokens.groupBy("word").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs).select("word")
+    tokens = token_table(df, key, text) if tokens is None else tokens
+    return tokens.groupBy(F.col("raw").alias("word")).agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs).select("word")
 
 
-def word_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.select(F.explode(tok_alpha(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def word_frequencies(df: DataFrame, text: str = "text", tokens: DataFrame | None = None) -> DataFrame:
+    if tokens is None:
+        return df.select(F.explode(tok_alpha(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return tokens.groupBy(F.col("raw").alias("word")).agg(F.sum("n").alias("n"))
 
 
 def _unknown(words: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -73,14 +101,14 @@ def _unknown(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return words.join(known, "word", "left_anti")
 
 
-def candidate_tokens(df: DataFrame, key: str, allow: DataFrame | None = None, text: str = "text") -> DataFrame:
+def candidate_tokens(df: DataFrame, key: str, allow: DataFrame | None = None, text: str = "text", tokens: DataFrame | None = None) -> DataFrame:
     """Token counts without proper nouns, short words and allowed words."""
-    proper = proper_nouns(df, key, text).withColumnRenamed("word", "raw")
-    tokens = token_counts(df, key, text).filter(F.length("word") >= MIN_WORD).join(proper, [key, "raw"], "left_anti")
+    tokens = token_table(df, key, text) if tokens is None else tokens
+    kept = tokens.filter((F.length("word") >= MIN_WORD) & ~F.col("proper")).drop("proper")
     if allow is not None:
         listed = allow.select("word")
-        tokens = tokens.join(listed, "word", "left_anti").join(listed.withColumnRenamed("word", "raw"), "raw", "left_anti")
-    return tokens
+        kept = kept.join(listed, "word", "left_anti").join(listed.withColumnRenamed("word", "raw"), "raw", "left_anti")
+    return kept
 
 
 def build_vocabulary(
@@ -90,9 +118,10 @@ def build_vocabulary(
     allow: DataFrame | None = None,
     min_docs: int = MIN_VOCABULARY_DOCS,
     text: str = "text",
+    tokens: DataFrame | None = None,
 ) -> DataFrame:
     """Out-of-dictionary words used in at least ``min_docs`` documents: the author's own vocabulary."""
-    used = candidate_tokens(df, key, allow, text).select(key, "word").distinct()
+    used = candidate_tokens(df, key, allow, text, tokens).select(key, "word").distinct()
     per_word = used.groupBy("word").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
     return _unknown(per_word.select("word"), dictionary).join(per_word, "word")
 
@@ -132,9 +161,11 @@ def spell_check(
     allow: DataFrame | None = None,
     vocabulary: DataFrame | None = None,
     text: str = "text",
+    tokens: DataFrame | None = None,
 ) -> DataFrame:
     """``key, word, n, verdict`` with verdict ``misspelling`` or ``out_of_vocabulary``."""
-    tokens = candidate_tokens(df, key, allow, text).groupBy(key, "word").agg(F.sum("n").alias("n"))
+    tokens = cut_lineage(token_table(df, key, text)) if tokens is None else tokens
+    tokens = candidate_tokens(df, key, allow, text, tokens).groupBy(key, "word").agg(F.sum("n").alias("n"))
     unknown = _unknown(tokens.select("word").distinct(), dictionary)
     suspects = unknown.filter(F.length("word") >= MIN_MISSPELLING)
     if vocabulary is not None:
@@ -172,15 +203,17 @@ def build_error_table(
     allow: DataFrame | None = None,
     vocabulary: DataFrame | None = None,
     text: str = "text",
+    tokens: DataFrame | None = None,
 ) -> DataFrame:
     """``correct, variant, n, registers``: what gets mistyped and how often.
 
     A variant commoner than its correction is no error.
     """
-    tokens = candidate_tokens(df, key, allow, text).filter(F.length("word") >= MIN_MISSPELLING)
+    table = cut_lineage(token_table(df, key, text)) if tokens is None else tokens
+    tokens = candidate_tokens(df, key, allow, text, table).filter(F.length("word") >= MIN_MISSPELLING)
     if vocabulary is not None:
         tokens = tokens.join(vocabulary.select("word"), "word", "left_anti")
-    freq = word_frequencies(df, text)
+    freq = word_frequencies(df, text, table)
     unknown = _unknown(tokens.select("word").distinct(), dictionary)
     fixes = (
         correction_for(unknown, dictionary, freq)
