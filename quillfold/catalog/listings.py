@@ -389,9 +389,13 @@ def q_round_robin_cap(spark, sf_dir):
     return listings.round_robin_cap(_li(spark, sf_dir), 120).select("listing_id", "source", "turn")
 
 
-def q_select_top(spark, sf_dir):
+def _selected(spark, sf_dir, n):
     r = listings.rank_listings(_li(spark, sf_dir)).withColumn("pool_source", F.col("source") == "src3").withColumn("name", F.col("shared_name"))
-    return listings.select_top(r, 20).select("listing_id", "name", "expected_value")
+    return listings.select_top(r, n)
+
+
+def q_select_top(spark, sf_dir):
+    return _selected(spark, sf_dir, 20).select("listing_id", "name", "expected_value")
 
 
 def q_drop_reasons(spark, sf_dir):
@@ -400,12 +404,12 @@ def q_drop_reasons(spark, sf_dir):
 
 
 def q_queue_order(spark, sf_dir):
-    q = listings.queue_order(listings.rank_listings(_li(spark, sf_dir)).filter("match > 90"), TODAY())
+    q = listings.queue_order(_selected(spark, sf_dir, 100), TODAY())
     return q.select("listing_id", "bucket", "expected_value")
 
 
 def q_emit_selection(spark, sf_dir):
-    e = listings.emit_selection(listings.rank_listings(_li(spark, sf_dir)).filter("match > 80"), TODAY())
+    e = listings.emit_selection(_selected(spark, sf_dir, 100), TODAY())
     return e.select("listing_id", "angle", "bucket", "amount_estimated", "expected_value", "selected_at")
 
 

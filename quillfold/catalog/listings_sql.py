@@ -196,6 +196,11 @@ _PEOPLE = f"pe AS (SELECT s_suppkey AS profile_id, {_HOME} AS home, s_suppkey %
 _MET = """mt AS (SELECT *, st = home AS h, CASE WHEN lakeside THEN contains(t, 'lakeside') ELSE contains(t, 'northern institute') END AS o,
   regexp_matches(t, '\\bhealth[-/ ]science\\b|\\bgear\\b') AS al, regexp_matches(t, '\\bblue\\b|\\bbolt\\b') AS bd FROM pe CROSS JOIN fc)"""
 
+_TOP = (
+    f"ok AS (SELECT *, {norm('shared_name')} AS n FROM rk WHERE coalesce(match, 0) > 40 AND coalesce(flag, '') NOT IN ('score_failed', 'suspicious') AND NOT (source = 'src3' AND coalesce(amount, 0) >= 50000)), "
+    "bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY expected_value DESC, listing_id) AS k FROM ok) WHERE k = 1), tp AS (SELECT * FROM bs ORDER BY expected_value DESC, listing_id LIMIT 100)"
+)
+
 ORACLES = {
     "parse_amount": w(CTE, f"SELECT listing_id, {amount_of('amount_text')} AS amount FROM li"),
     "norm_key": w(CTE, f"SELECT listing_id, {norm('name')} AS key FROM li"),
@@ -285,19 +290,15 @@ SELECT o_orderkey, reason IS NULL AS ok, reason FROM r""",
         "SELECT listing_id, source, turn::INTEGER AS turn FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY coalesce(amount, 1500.0) DESC, listing_id) AS turn FROM li) ORDER BY turn, source LIMIT 120",
     ),
     # within this list only names of one group of three agree, so greedy selection keeps each group's best
-    "select_top": w(
-        f"{CTE}, {RANKED}, ok AS (SELECT listing_id, shared_name, expected_value, {norm('shared_name')} AS n FROM rk WHERE coalesce(match, 0) > 40 AND coalesce(flag, '') NOT IN ('score_failed', 'suspicious') AND NOT (source = 'src3' AND coalesce(amount, 0) >= 50000)), "
-        "bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY expected_value DESC, listing_id) AS k FROM ok) WHERE k = 1)",
-        "SELECT listing_id, shared_name AS name, expected_value FROM bs ORDER BY expected_value DESC, listing_id LIMIT 20",
-    ),
+    "select_top": w(f"{CTE}, {RANKED}, {_TOP}", "SELECT listing_id, shared_name AS name, expected_value FROM bs ORDER BY expected_value DESC, listing_id LIMIT 20"),
     "drop_reasons": w(
         CTE,
         "SELECT CASE WHEN coalesce(match, 0) <= 40 THEN 'low-match' WHEN flag = 'score_failed' THEN 'score-failed' WHEN flag = 'suspicious' THEN 'suspicious' WHEN source = 'src3' AND coalesce(amount, 0) >= 50000 THEN 'pool-amount' ELSE 'kept' END AS reason, count(*) AS n FROM li GROUP BY 1",
     ),
-    "queue_order": w(f"{CTE}, {RANKED}", f"SELECT listing_id, {bucket('deadline')} AS bucket, expected_value FROM rk WHERE match > 90"),
+    "queue_order": w(f"{CTE}, {RANKED}, {_TOP}", f"SELECT listing_id, {bucket('deadline')} AS bucket, expected_value FROM tp"),
     "emit_selection": w(
-        f"{CTE}, {RANKED}",
-        f"SELECT listing_id, 'need' AS angle, {bucket('deadline')} AS bucket, amount_estimated, expected_value, {TODAY} AS selected_at FROM rk WHERE match > 80",
+        f"{CTE}, {RANKED}, {_TOP}",
+        f"SELECT listing_id, CASE WHEN regexp_matches(lower(shared_name), 'grant') THEN 'need' END AS angle, {bucket('deadline')} AS bucket, amount_estimated, expected_value, {TODAY} AS selected_at FROM tp",
     ),
     "classify_angle": f"""SELECT p_partkey AS listing_id, CASE p_partkey % 9 WHEN 0 THEN 'stem' WHEN 1 THEN 'leadership' WHEN 2 THEN 'achievement' WHEN 4 THEN 'service' WHEN 6 THEN 'need' WHEN 7 THEN 'need'
   ELSE CASE WHEN regexp_matches(lower({case_of(0)}), 'financial need|need.based|low.income|first.gen') THEN 'need' ELSE 'stem' END END AS angle FROM part""",

@@ -17,6 +17,7 @@ from ..functions.scalars import (
     slug,
 )
 from ..session import cut_lineage
+from .containment import contained
 from .machine import canonical_state_of
 
 # Fixed values
@@ -335,12 +336,17 @@ def emit_selection(selected: DataFrame, today: Column) -> DataFrame:
 
 
 def not_in_seeded(listings: DataFrame, seeded: DataFrame, name: str = "name") -> DataFrame:
-    """Drop listings whose name fuzzily equals a hand-made one (containment either way)."""
+    """Drop listings whose name fuzzily equals a hand-made one (containment either way).
+
+    Distinct names meet through pieces of a few letters (:func:`containment.contained`); the listings follow by name.
+    """
     keyed = listings.withColumn("_n", norm_key(F.col(name)))
-    s = seeded.select(norm_key(F.col("name")).alias("_s")).filter("_s <> ''").distinct()
-    # containment has no join key; the hand-made list is small and checked
-    same = F.contains(F.col("_s"), F.substring("_n", 1, NAME_PREFIX)) | F.contains(F.col("_n"), F.col("_s"))
-    return keyed.join(s, same, "left_anti").drop("_n")
+    names = keyed.select("_n").filter("_n IS NOT NULL").distinct().withColumn("_head", F.substring("_n", 1, NAME_PREFIX))
+    made = seeded.select(norm_key(F.col("name")).alias("_s")).filter("_s <> ''").distinct()
+    longer = contained(names.select(F.col("_n").alias("hay")), made.select(F.col("_s").alias("needle"))).select(F.col("hay").alias("_n"))
+    heads = contained(made.select(F.col("_s").alias("hay")), names.select(F.col("_head").alias("needle"))).select(F.col("needle").alias("_head")).distinct()
+    known = longer.union(names.join(heads, "_head").select("_n")).distinct()
+    return keyed.join(known, "_n", "left_anti").drop("_n")
 
 
 def emit_top(ranked: DataFrame, seeded: DataFrame, today: Column, top: int = EMIT_MAX, key: str = "listing_id") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.cleaning import normalize_doc
 from ..functions.text import plain_spaces, words
+from ..operators.containment import beginning_with
 
 # Prefixes that mark a turn as tool or harness output.
 NOISE = r"^\s*(?:\z|<|/|!|\[Request interrupted|\[Tool )"
@@ -140,21 +141,17 @@ def split_sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def unclaimed_headings(sections: DataFrame, rules: DataFrame) -> DataFrame:
     """Sections whose heading matches no rule (``pattern, field``; matched at the start, any case)."""
-
-    claims = F.lower(F.col("heading")).startswith(F.lower(F.col("pattern")))
-    return sections.join(rules.select("pattern"), claims, "left_anti")
+    headings = sections.select("heading").distinct()
+    claimed = beginning_with(headings, "heading", rules.select("pattern")).select("heading").distinct()
+    return sections.join(claimed, "heading", "left_anti").select(*sections.columns)
 
 
 def assemble_fields(sections: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     """Body text per document and field; a section goes to the first rule that claims it."""
-
-    claims = F.lower(F.col("heading")).startswith(F.lower(F.col("pattern")))
-    first = (
-        sections.join(rules, claims)
-        .groupBy(key, "section", "body")
-        .agg(F.min_by("field", "ord").alias("field"))
-    )
-    return first.groupBy(key, "field").agg(
+    headings = sections.select("heading").distinct()
+    first = beginning_with(headings, "heading", rules).groupBy("heading").agg(F.min_by("field", "ord").alias("field"))
+    claimed = sections.join(first, "heading").select(key, "section", "body", "field")
+    return claimed.groupBy(key, "field").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("section", "body"))), lambda s: s["body"]), "\n\n"
         ).alias("body")

@@ -149,3 +149,36 @@ def test_long_words_and_entities_are_whole(spark, one):
 
     assert one(scalars.slug_to_name, "a-" + "x" * 1500) == ["a X" + "x" * 1499]
     assert one(H.numeric_entities, "&#00000233; &#65;") == ["é A"]
+
+
+def test_containment_equals_all_pairs(spark):
+    import random
+
+    from quillfold.operators.containment import beginning_with, contained
+
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abc") for _ in range(n))
+    hay = ["", "a", "abc"] + [word(rnd.randrange(30)) for _ in range(80)]
+    needles = ["", "b", "cc", "zzzz"] + [word(rnd.randrange(1, 9)) for _ in range(60)]
+    frames = spark.createDataFrame([(x,) for x in hay], "hay string"), spark.createDataFrame([(x,) for x in needles], "needle string")
+    want = {(h, n) for h in hay for n in needles if n in h}
+    plan = contained(*frames)
+    assert {tuple(r) for r in plan.collect()} == want and "NestedLoop" not in plan._jdf.queryExecution().toString()
+    assert contained(frames[0], frames[1].limit(0)).collect() == [] and contained(frames[0].limit(0), frames[1]).collect() == []
+    rules = spark.createDataFrame([("Ab", 1), ("abc", 2), ("", 3), ("Zz", 4)], "pattern string, ord int")
+    got = beginning_with(frames[0], "hay", rules)
+    assert {(r.hay, r.ord) for r in got.collect()} == {(h, o) for h in hay for p, o in [("ab", 1), ("abc", 2), ("", 3), ("zz", 4)] if h.startswith(p)}
+
+
+def test_names_made_by_hand(spark):
+    names = ["The Big Grant Fund", "big grant", "Other Award", "", None, "Small", "A very long name of an award that goes on", "Big"]
+    listed = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "listing_id int, name string")
+    made = spark.createDataFrame([("Big Grant",), ("A very long name of an award that ends",), ("",)], "name string")
+    left = {r.listing_id for r in listings.not_in_seeded(listed, made).collect()}
+    key = lambda s: None if s is None else norm(s)
+    import re
+
+    norm = lambda s: re.sub(r"[^a-z0-9]+", "", s.lower())
+    made_keys = [norm("Big Grant"), norm("A very long name of an award that ends")]
+    assert 2 in left and 5 in left and 0 not in left and 1 not in left and 6 not in left
+    assert left >= {i for i, n in enumerate(names) if n and not any(m in key(n) or key(n)[: listings.NAME_PREFIX] in m for m in made_keys)}
