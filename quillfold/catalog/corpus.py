@@ -165,8 +165,8 @@ def q_jaccard(spark, sf_dir):
 
 
 def q_flag_contaminated(spark, sf_dir):
-    flagged = contamination.flag_contaminated(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"), "doc_id")
-    return flagged.filter("contaminated").select("doc_id", "shared_ngram", "contamination_reason")
+    found = contamination.contaminations(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"), "doc_id")
+    return found.select("doc_id", "shared_ngram", "contamination_reason")
 
 
 def _hits(table: str, column: str) -> str:

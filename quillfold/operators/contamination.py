@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.runs import shingle_hashes
 from ..functions.text import tok_alnum, windows
+from ..session import cut_lineage
 
 NGRAM = 8
 
@@ -15,10 +17,14 @@ class ContaminatedRecords(ValueError):
 
 
 def protected_ngrams(protected: DataFrame, text: str = "text", n: int = NGRAM) -> DataFrame:
-    return protected.select(F.explode(windows(tok_alnum(F.col(text)), n)).alias("ngram")).distinct()
+    """``h, ngram``: every run of ``n`` tokens of the protected texts, once, with its 64-bit hash."""
+    texts = protected.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    hashed = shingle_hashes(texts, F.col("_text"), n, distinct=False)
+    pairs = hashed.select(F.explode(F.arrays_zip("h", windows(tok_alnum(F.col("_text")), n).alias("ngram"))).alias("x"))
+    return pairs.groupBy(F.col("x.h").alias("h")).agg(F.min("x.ngram").alias("ngram"))
 
 
-def flag_contaminated(
+def contaminations(
     records: DataFrame,
     protected: DataFrame,
     key: str,
@@ -28,32 +34,31 @@ def flag_contaminated(
     blocked_paths: tuple[str, ...] = (),
     n: int = NGRAM,
 ) -> DataFrame:
-    """Add ``contaminated``, ``contamination_reason`` and ``shared_ngram`` (first by position).
+    """``key, contamination_reason, shared_ngram`` (first by position) of the records that are contaminated, one row each.
 
-    Record n-grams stream past the protected set without a shuffle while that set is small; the
-    only exchange is on the few hits.
+    Records meet the protected runs by 64-bit hashes; strings come from the protected side, and no record's text is in a
+    join. The protected runs are a table, so adaptive execution sends them to the records if they are few and splits a run
+    that very many records hold if they are not.
     """
     by_path = F.lit(None).cast("string")
     if source_id:
         for path in reversed(blocked_paths):
             by_path = F.when(F.col(source_id).contains(path), F.lit(f"source under {path}")).otherwise(by_path)
-    grams = (
-        records.filter(by_path.isNull())
-        .select(key, F.posexplode(windows(tok_alnum(F.col(text)), n)).alias("_pos", "ngram"))
-    )
-    hits = (
-        grams.join(protected_ngrams(protected, protected_text, n), "ngram")
-        .groupBy(key)
-        .agg(F.min_by("ngram", "_pos").alias("shared_ngram"))
-    )
-    reason = F.coalesce(
-        by_path, F.when(F.col("shared_ngram").isNotNull(), F.lit(f"shares an {n}-gram with a protected text"))
-    )
-    return (
-        records.join(hits, key, "left")
-        .withColumn("contamination_reason", reason)
-        .withColumn("contaminated", reason.isNotNull())
-    )
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    hashed = shingle_hashes(records.filter(by_path.isNull()).select(F.col(key).alias("_key"), body.alias("_text")), F.col("_text"), n, distinct=False)
+    grams = hashed.select("_key", F.posexplode("h").alias("_pos", "h"))
+    hits = grams.join(cut_lineage(protected_ngrams(protected, protected_text, n)), "h").groupBy("_key").agg(F.min_by("ngram", "_pos").alias("shared_ngram"))
+    found = hits.select(F.col("_key").alias(key), F.lit(f"shares an {n}-gram with a protected text").alias("contamination_reason"), "shared_ngram")
+    if not (source_id and blocked_paths):
+        return found
+    paths = records.filter(by_path.isNotNull()).select(key, by_path.alias("contamination_reason"), F.lit(None).cast("string").alias("shared_ngram"))
+    return found.unionByName(paths)
+
+
+def flag_contaminated(records: DataFrame, protected: DataFrame, key: str, **rules) -> DataFrame:
+    """``records`` with ``contaminated``, ``contamination_reason`` and ``shared_ngram``; rules as for :func:`contaminations`."""
+    found = contaminations(records, protected, key, **rules)
+    return records.join(found, key, "left").withColumn("contaminated", F.col("contamination_reason").isNotNull())
 
 
 def assert_not_contaminated(flagged: DataFrame) -> DataFrame:

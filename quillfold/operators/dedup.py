@@ -115,12 +115,18 @@ def near_duplicates(
     with_match: bool = False,
     pivots: int = PIVOTS,
     hot_rows: int = HOT_ROWS,
+    without: DataFrame | None = None,
 ) -> DataFrame:
-    """``key, is_duplicate`` (and ``duplicate_of``: the first kept row, by ``order``, that it matches) for every row."""
+    """``key, is_duplicate`` (and ``duplicate_of``: a kept row that it matches, the first by ``order`` of those it met when it
+    was dropped) for every row. Rows whose key is in ``without`` are no duplicates and make none; they are left out once
+    the texts are hashed, so that no text is in that join."""
     num, den = threshold
     texts = df.select(F.col(key).alias("_key"), F.col(order).alias("_ord"), F.col(text).cast("string").alias("_text"))
+    hashed = shingle_sets(texts, n)
+    if without is not None:
+        hashed = hashed.join(without.select(F.col(key).alias("_key")), "_key", "left_anti")
     sets = cut_lineage(
-        shingle_sets(texts, n).withColumn("sig", F.struct("n", F.xxhash64("h").alias("a"), F.xxhash64(F.lit(7), "h").alias("b")))
+        hashed.withColumn("sig", F.struct("n", F.xxhash64("h").alias("a"), F.xxhash64(F.lit(7), "h").alias("b")))
     )
     member_of = cut_lineage(representatives(sets.select("_key", "_ord", "sig")))
     copies = member_of.filter("rep <> _key").select("_key")

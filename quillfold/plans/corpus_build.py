@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_text
 from ..functions.text import words
-from ..operators.contamination import flag_contaminated
+from ..operators.contamination import contaminations
 from ..operators.dedup import near_duplicates
 from ..operators.register import tag_register
 from ..session import cut_lineage
@@ -36,18 +36,12 @@ def build(
     # read again for tagging, similarity and the final outcome, so it is materialised once
     cleaned = cut_lineage(pastes.select(*cols).unionByName(whole.select(*cols)))
     usable = cleaned.filter(F.col("rejected").isNull())
-    flagged = flag_contaminated(
-        usable.select(*[c for c in cols if c != "rejected"]),
-        protected,
-        key,
-        text="clean",
-        protected_text=protected_text,
-        source_id="source_id",
-        blocked_paths=blocked_paths,
+    found = cut_lineage(
+        contaminations(usable, protected, key, text="clean", protected_text=protected_text, source_id="source_id", blocked_paths=blocked_paths)
     )
-    tagged = cut_lineage(tag_register(flagged, F.col("is_document"), "clean"))
-    clean_rows = tagged.filter(~F.col("contaminated"))
-    dups = near_duplicates(clean_rows, key, "clean", order)
+    tagged = cut_lineage(tag_register(usable.drop("rejected"), F.col("is_document"), "clean"))
+    dups = near_duplicates(tagged, key, "clean", order, without=found)
+    tagged = tagged.join(found, key, "left").withColumn("contaminated", F.col("contamination_reason").isNotNull())
     outcome = (
         F.when(F.col("contaminated"), "quarantined").when(F.col("is_duplicate"), "duplicate").otherwise("kept")
     )
