@@ -64,7 +64,7 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie.trie(trie.forked(trie.sequences(table(spark, sf_dir, "conversations"))))
+    return trie.trie(trie.forked(trie.sequences(table(spark, sf_dir, "conversations")))).drop("turn")
 
 
 def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,9 +115,28 @@ SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = {n}) AS n_{k[0]}" for n, k
 FROM d LEFT JOIN a USING (doc_id) GROUP BY d.doc_id"""
 
 
+def _trie_sql() -> str:
+    """Rebuilt conversations, their prefixes as hashes, and sums over each node's ancestors. crc32 is spelled out."""
+    step = "list_reduce(list_prepend(xor(a, x), range(8)::UBIGINT[]), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::UBIGINT) ELSE y >> 1 END)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), lambda a, x: {step}), 4294967295::UBIGINT)"
+    return f"""WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+z AS (SELECT conv_id, count(*) AS turns FROM o GROUP BY 1), h AS (SELECT conv_id, conv_id - conv_id % 5 AS base, ({crc} % 9)::BIGINT AS h FROM z),
+b AS (SELECT h.*, least(h.h, coalesce(z.turns, 0)) AS begun FROM h LEFT JOIN z ON z.conv_id = h.base),
+r AS (SELECT b.conv_id, o.k AS d, role, text FROM b JOIN o ON o.conv_id = b.base AND o.k <= b.h UNION ALL SELECT b.conv_id, b.begun + o.k - b.h, role, text FROM b JOIN o ON o.conv_id = b.conv_id AND o.k > b.h),
+p AS (SELECT conv_id, d, octet_length(encode(text)) AS bytes, md5(string_agg(md5(octet_length(encode(role)) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY d)) AS node FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM h),
+n AS (SELECT node, min(d) AS depth, min(conv_id) AS conv, count(*) AS convs, min(bytes) AS bytes FROM p GROUP BY 1),
+u AS (SELECT n.*, q.node AS up, m.conv AS up_conv FROM n LEFT JOIN p q ON q.conv_id = n.conv AND q.d = n.depth - 1 LEFT JOIN n m ON m.node = q.node),
+c AS (SELECT up, count(*) AS children FROM u WHERE up IS NOT NULL GROUP BY 1), v AS (SELECT u.*, coalesce(children, 0) AS children FROM u LEFT JOIN c ON c.up = u.node),
+s AS (SELECT q.node, count(*) FILTER (v.children = 0) AS leaves, sum((v.convs - 1) * v.bytes)::BIGINT AS saved FROM v JOIN p q ON q.conv_id = v.conv AND q.d <= v.depth GROUP BY 1),
+l AS (SELECT conv_id, max(d) AS d FROM p GROUP BY 1), e AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ends FROM p JOIN l USING (conv_id, d) GROUP BY 1)
+SELECT v.conv AS conv_id, v.depth, v.up_conv AS parent_conv_id, v.convs AS n_convs, v.children AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM v JOIN s USING (node) LEFT JOIN e USING (node)"""
+
+
 #: The others train, iterate, hash, tokenise or walk an automaton; they are tested against brute-force versions.
 ORACLES: dict[str, str] = {
     "op1_secrets": _secrets_sql(),
+    "op12_prefix_trie": _trie_sql(),
     "op2_top_products": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
