@@ -343,8 +343,8 @@ def _ranked(spark, sf_dir):
 
 def q_enrich_details(spark, sf_dir):
     e = listings.enrich_details(_ranked(spark, sf_dir), _details(spark, sf_dir))
-    again = eligibility.screen_eligibility(listings.rank_listings(e), PROFILE, "detail_text")
-    return again.select("listing_id", "amount", "amount_text", F.md5("description").alias("digest"), "expected_value", F.when(F.col("detail_text").isNotNull(), F.col("decision")).alias("decision"))
+    again = listings.screen_details(e, PROFILE)
+    return again.select("listing_id", "amount", "amount_text", F.md5("description").alias("digest"), "expected_value", "decision", "partition", F.array_join("flags", ",").alias("flags"))
 
 
 def q_detail_backlog(spark, sf_dir):

@@ -273,8 +273,8 @@ SELECT o_orderkey, reason IS NULL AS ok, reason FROM r""",
     ),
     "apply_scores": "SELECT p_partkey AS listing_id, CASE WHEN p_partkey % 5 <> 0 THEN greatest(0, least(100, p_size * 4 - 50)) END::INTEGER AS match, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 3 = 0 THEN 'high' ELSE 'med' END AS effort, CASE WHEN p_partkey % 5 = 0 THEN 'score_failed' WHEN p_partkey % 2 = 0 THEN 'ok' ELSE '' END AS flags FROM part",
     "enrich_details": w(
-        f"{CTE}, {RANKED}, {DETAILS}, en AS (SELECT listing_id, CASE WHEN amt IS NOT NULL AND amt <> amount_text THEN {amount_of('amt')} ELSE amount END AS amount, coalesce(amt, amount_text) AS amount_text, description || CASE WHEN txt IS NULL THEN '' ELSE ' ' || txt END AS dd, match, decision FROM rk LEFT JOIN de USING (slug) WHERE part = 'ranked')",
-        f"SELECT listing_id, amount, amount_text, md5(dd) AS digest, {EV0} AS expected_value, decision FROM en",
+        f"{CTE}, {RANKED}, {DETAILS}, en AS (SELECT listing_id, CASE WHEN amt IS NOT NULL AND amt <> amount_text THEN {amount_of('amt')} ELSE amount END AS amount, coalesce(amt, amount_text) AS amount_text, description || CASE WHEN txt IS NULL THEN '' ELSE ' ' || txt END AS dd, match, flag, decision FROM rk LEFT JOIN de USING (slug) WHERE part = 'ranked')",
+        f"SELECT listing_id, amount, amount_text, md5(dd) AS digest, {EV0} AS expected_value, decision, CASE WHEN decision = 'disqualified' THEN 'ineligible' ELSE 'ranked' END AS partition, concat_ws(',', flag, CASE WHEN decision = 'disqualified' THEN 'ineligible' END) AS flags FROM en",
     ),
     "detail_backlog": w(f"{CTE}, {RANKED}, {DETAILS}", "SELECT slug, listing_id, expected_value FROM (SELECT * FROM rk WHERE part = 'ranked' AND slug NOT IN (SELECT slug FROM de) ORDER BY expected_value DESC, slug, listing_id LIMIT 50)"),
     "outcome_facts": w(REVIEWS, "SELECT source, effort, CASE o_orderstatus WHEN 'F' THEN 'verified_win' ELSE 'not_a_win' END AS resolution, count(*) AS n FROM rv GROUP BY 1, 2, 3"),

@@ -18,6 +18,7 @@ from ..functions.scalars import (
 )
 from ..session import cut_lineage
 from .containment import contained
+from .eligibility import Profile, screen_eligibility
 from .machine import canonical_state_of
 
 # Fixed values
@@ -182,6 +183,22 @@ def enrich_details(ranked: DataFrame, details: DataFrame, key: str = "slug") ->
     )
 
 
+def screen_details(enriched: DataFrame, profile: Profile, text: str = "detail_text") -> DataFrame:
+    """The second screen, on what detail pages ask for: every row with ``partition`` (ranked or ineligible), ``decision`` and
+    ``ineligible_reason``. A disqualified row is flagged and leaves the ranking; the others are valued anew, since a detail
+    page may have changed the amount. Rows without a page stay as they are, undecided."""
+    judged = screen_eligibility(rank_listings(enriched), profile, text)
+    read = F.col(text).isNotNull()
+    late = read & (F.col("decision") == "disqualified")
+    return (
+        judged.withColumn("flags", F.when(late, F.array_append(flags_of(), F.lit("ineligible"))).otherwise(flags_of()))
+        .withColumn("ineligible_reason", F.when(late, F.col("reason")))
+        .withColumn("partition", F.when(late, "ineligible").otherwise("ranked"))
+        .withColumn("decision", F.when(read, F.col("decision")))
+        .drop("rule", "reason")
+    )
+
+
 def detail_backlog(ranked: DataFrame, details: DataFrame, top: int, key: str = "slug") -> DataFrame:
     """The best ranked listings whose detail page is still to be fetched."""
     missing = ranked.filter(F.col(key).isNotNull()).join(details.select(key), key, "left_anti")
