@@ -182,3 +182,48 @@ def test_names_made_by_hand(spark):
     made_keys = [norm("Big Grant"), norm("A very long name of an award that ends")]
     assert 2 in left and 5 in left and 0 not in left and 1 not in left and 6 not in left
     assert left >= {i for i, n in enumerate(names) if n and not any(m in key(n) or key(n)[: listings.NAME_PREFIX] in m for m in made_keys)}
+
+
+def test_many_profiles_equal_one_by_one(spark):
+    """Pairs that share a code, and the verdict that holds for all others, against the screen of a single profile."""
+    texts = [
+        "Must be a resident of Ohio, majoring in health/science.", "Students attending Lakeside College, studying biology or art.", "Female students pursuing a degree in computer-science.",
+        "First-generation students living in Texas or Ohio, studying nursing.", "Open to all, nationwide, studying art-history.", "short", None, "High school seniors only, residents of Texas.",
+        "Enrolled at Northern Institute in the state of Iowa and majoring in Biology", "Community service, need-based", "Students of lakesidecollege who study hard",
+    ]
+    listed = spark.createDataFrame(list(enumerate(texts)), "listing_id int, requirements_text string")
+    people = [
+        (1, ["ohio"], ["lakeside college", "lakesidecollege"], ["health-science", "biology"], ["nursing", "art"], "female", True),
+        (2, ["texas"], ["northern institute"], ["computer science"], ["art", "biology"], None, False),
+        (3, [], [], [], [], "male", False),
+        (4, ["iowa", "utah"], ["an"], ["art/history"], ["health-science"], "female", False),
+    ]
+    profiles = spark.createDataFrame(people, "profile_id int, state_names array<string>, institutions array<string>, allowed_fields array<string>, disallowed_fields array<string>, gender string, first_generation boolean")
+    pairs, others = (x.collect() for x in eligibility.screen_profiles(profiles, listed, most=3))
+    got = {(r.profile_id, r.listing_id): (r.decision, r.rule, r.reason) for r in pairs}
+    rest = {(r.listing_id, r.gender, r.first_generation): (r.decision, r.rule, r.reason) for r in others}
+    shared = 0
+    for pid, states, schools, good, bad, gender, first in people:
+        one = eligibility.Profile(tuple(states), tuple(schools), tuple(good), tuple(bad), first, True, gender)
+        for r in eligibility.screen_eligibility(listed, one).collect():
+            want = (r.decision, r.rule, r.reason)
+            if (pid, r.listing_id) in got:
+                shared += 1
+                assert got[pid, r.listing_id] == want
+            else:
+                assert rest[r.listing_id, gender if gender in (None, "female") else "other", first] == want and r.decision != "pass"
+    assert len(pairs) == shared > 8
+
+
+def test_profiles_of_applicants(spark):
+    rows = [
+        (1, "TX", None, "Lakeside Community College", None, "moving to University of Texas next year", "US citizen", "Female", ["first-generation student"], [" Art "]),
+        (2, "", "Ohio", "University of Ohio-Lima", "Northern Institute", "", "other", "", None, None),
+        (3, None, None, None, None, None, None, None, [], []),
+    ]
+    schema = "profile_id int, residency string, address_state string, current_school string, enrollment_school string, enrollment_note string, citizenship string, gender string, do_not_claim array<string>, allowed_fields array<string>"
+    one, two, three = eligibility.build_profiles(spark.createDataFrame(rows, schema)).orderBy("profile_id").collect()
+    assert one.state_names == ["texas"] and one.gender == "female" and not one.first_generation and one.us_citizen and one.allowed_fields == ["art"]
+    assert {"lakeside community college", "lakeside", "lakeside college", "university of texas"} <= set(one.institutions)
+    assert two.state_names == ["ohio"] and two.first_generation and two.gender is None and {"uo-lima", "uo lima", "northern"} <= set(two.institutions)
+    assert three.state_names == [] and three.institutions == [] and three.disallowed_fields == [] and not three.us_citizen
