@@ -246,64 +246,58 @@ def drop_reason() -> Column:
     )
 
 
-def _contains_either_way(a: str, b: str) -> Column:
-    """One name contains the other's first letters."""
-    pre = lambda c: F.substring(c, 1, NAME_PREFIX)
-    return F.contains(F.col(a), pre(b)) | F.contains(F.col(b), pre(a))
-
-
 def select_top(ranked: DataFrame, top: int, key: str = "listing_id", head: int | None = None) -> DataFrame:
     """Greedy top ``top`` by expected value, skipping near-duplicate names of earlier picks.
 
-    The walk follows the ranking, so it only needs a head of it. If a head of listings yields
-    fewer than ``top`` picks it is taken again four times as long, until the picks suffice or the
-    list ends. Within a head, names meet through shared letter blocks.
+    Equal names are one class, of which only the best listing can be picked. The walk follows the ranking, so it looks at
+    the best classes only: those from a value on that about ``head`` of them reach. If they yield fewer than ``top`` picks
+    the value is lowered to four times as many, until the picks suffice or the list ends. Only the picks are numbered
+    (``ev_rank``).
     """
     ok = ranked.withColumn("drop_reason", drop_reason()).filter("drop_reason IS NULL")
-    head = head or max(4 * top, 64)
+    named = ok.withColumn("norm_name", norm_key(F.col("name")))
+    order = F.struct((-F.coalesce("expected_value", F.lit(float("-inf")))).alias("loss"), F.col(key).alias("id"))
+    classes = cut_lineage(named.groupBy("norm_name").agg(F.min(order).alias("ord")))
+    total, head = classes.count(), head or max(4 * top, 64)
     while True:
-        best = ok.orderBy(F.desc("expected_value"), key).limit(head)
-        order = W.orderBy(F.desc("expected_value"), key)
-        # a bounded head, so one task numbers it
-        rows = cut_lineage(best.withColumn("ev_rank", F.row_number().over(order)).withColumn("norm_name", norm_key(F.col("name"))))
-        picked = _greedy_names(rows, key)
-        chosen = cut_lineage(picked.orderBy("ev_rank").limit(top))
-        if chosen.count() >= top or rows.count() < head:
-            return chosen
+        part = classes
+        if head < total:
+            last = classes.select(F.expr(f"approx_percentile(ord.loss, {head / total}, 10000)")).first()[0]
+            part = cut_lineage(classes.filter(F.col("ord.loss") <= last))
+        picked = _greedy_names(part)
+        chosen = cut_lineage(picked.orderBy("ord").limit(top))
+        if chosen.count() >= top or head >= total:
+            place = F.row_number().over(W.orderBy("ord"))  # of the picks, `top` rows
+            return named.join(chosen.select(F.col("ord.id").alias(key), place.alias("ev_rank")), key)
         head *= 4
 
 
-def _greedy_names(rows: DataFrame, key: str) -> DataFrame:
-    """Rows of a bounded head that no earlier kept row duplicates by name."""
-    # a prefix that occurs in another name brings its own first letters (up to three) along
-    short = F.least(F.length("norm_name"), F.lit(3))
-
-    def windows(size: int):
-        at = F.sequence(F.lit(1), F.greatest(F.length("norm_name") - (size - 1), F.lit(1)))
-        return F.transform(at, lambda i: F.substring("norm_name", i, F.lit(size)))
-
-    pieces = F.array_distinct(F.concat(windows(1), windows(2), windows(3)))
-    start = F.substring("norm_name", F.lit(1), short)
-    a = rows.select(F.col("ev_rank").alias("a_rank"), F.col("norm_name").alias("a_name"), start.alias("b"))
-    b = rows.select(F.col("ev_rank").alias("b_rank"), F.col("norm_name").alias("b_name"), F.explode(pieces).alias("b"))
-    met = a.join(b, "b").filter(F.col("a_rank") != F.col("b_rank"))
-    edges = (
-        met.filter(_contains_either_way("a_name", "b_name"))
-        .select(F.least("a_rank", "b_rank").alias("p"), F.greatest("a_rank", "b_rank").alias("r"))
-        .distinct()
-    )
-    edges = cut_lineage(edges)
-    undecided, kept_all = rows.select("ev_rank"), None
-    while undecided.limit(1).count():
-        waiting = edges.join(undecided.withColumnRenamed("ev_rank", "r"), "r", "left_semi").join(
-            undecided.withColumnRenamed("ev_rank", "p"), "p", "left_semi"
-        )
-        kept = undecided.join(waiting.select(F.col("r").alias("ev_rank")), "ev_rank", "left_anti")
-        lost = edges.join(kept.withColumnRenamed("ev_rank", "p"), "p", "left_semi").select(F.col("r").alias("ev_rank"))
-        kept = cut_lineage(kept)
+def _greedy_names(classes: DataFrame) -> DataFrame:
+    """The classes (norm_name, ord) that no earlier kept class duplicates: neither name holds the other's first letters.
+
+    A class meets others through the beginnings that its name holds, not pair by pair: the earliest class with such a
+    beginning, and the earliest that holds its own, tell whether it is the first of all it could duplicate. Rounds keep the
+    first ones and drop what they rule out.
+    """
+    begun = classes.withColumn("head", F.substring("norm_name", 1, NAME_PREFIX))
+    held = contained(begun.select(F.col("norm_name").alias("hay")), begun.select(F.col("head").alias("needle")))
+    holds = cut_lineage(held.select(F.col("hay").alias("norm_name"), F.col("needle").alias("q")))
+    undecided, kept_all = cut_lineage(begun), None
+    while not undecided.isEmpty():
+        mine = holds.join(undecided, "norm_name")
+        beginning = undecided.groupBy(F.col("head").alias("q")).agg(F.min("ord").alias("begins"))
+        holding = mine.groupBy("q").agg(F.min("ord").alias("holder"))
+        around = mine.join(beginning, "q", "left").groupBy("norm_name", "head", "ord").agg(F.min("begins").alias("begins"))
+        around = around.join(holding.withColumnRenamed("q", "head"), "head")
+        first = F.least(F.coalesce("begins", F.col("ord")), "holder") == F.col("ord")
+        kept = cut_lineage(around.filter(first).select("norm_name", "ord", "head"))
+        ruled = kept.select(F.col("head").alias("q")).distinct()
+        lost = holds.join(ruled, "q", "left_semi").select("norm_name")
+        kept_holds = holds.join(kept.select("norm_name"), "norm_name", "left_semi").select(F.col("q").alias("head")).distinct()
+        left = undecided.join(lost.distinct(), "norm_name", "left_anti").join(kept_holds, "head", "left_anti")
         kept_all = kept if kept_all is None else kept_all.unionByName(kept)
-        undecided = cut_lineage(undecided.join(kept.unionByName(lost), "ev_rank", "left_anti"))
-    return rows.join(kept_all, "ev_rank", "left_semi")
+        undecided = cut_lineage(left.select("norm_name", "ord", "head"))
+    return classes.limit(0) if kept_all is None else kept_all.select("norm_name", "ord")
 
 
 def queue_order(selected: DataFrame, today: Column, key: str = "listing_id") -> DataFrame:
