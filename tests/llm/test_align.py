@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter
+from itertools import accumulate
 
 import pytest
 from llm_helpers import ODD, no_documents, odd_documents, prose
@@ -34,7 +35,7 @@ def plain(rows):
         owner_b = [i for i, x in enumerate(sb) for _ in x]
         links = sorted(set(zip(owner_a, owner_b, strict=True)))
         counts.update((ia[i], ib[j]) for i, j in links)
-        ends_a, ends_b = ({sum(map(len, s[: i + 1])): i + 1 for i in range(len(s))} for s in (sa, sb))
+        ends_a, ends_b = ({end: i + 1 for i, end in enumerate(accumulate(map(len, s)))} for s in (sa, sb))
         cuts = [(0, 0)] + [(ends_a[e], ends_b[e]) for e in sorted(set(ends_a) & set(ends_b))]
         groups = [",".join(map(str, ia[i:x])) + "|" + ",".join(map(str, ib[j:y])) for (i, j), (x, y) in zip(cuts, cuts[1:], strict=False)]
         told.append((key, ia, ib, groups, [(ia[i], ib[j]) for i, j in links]))
