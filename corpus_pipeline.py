@@ -31,10 +31,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; reported spans are replaced, and n_chars follows the text where it held its length."""
-    before = F.length("text")
-    told = secrets.redact(docs.withColumn("__held", F.col("n_chars").eqNullSafe(before.cast("long"))))
-    return told.withColumn("n_chars", F.when(F.col("__held"), before.cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """All documents stay; reported spans are replaced, and n_chars, where there is such a column, follows the text where it
+    held its length."""
+    if "n_chars" not in docs.columns:
+        return secrets.redact(docs)
+    held, length = "__held", F.length("text").cast("long")
+    while held in docs.columns:
+        held += "_"
+    told = secrets.redact(docs.withColumn(held, F.col("n_chars").eqNullSafe(length)))
+    return told.withColumn("n_chars", F.when(F.col(held), length).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

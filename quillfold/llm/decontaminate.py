@@ -326,7 +326,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` whose text holds no benchmark item, unchanged."""
-    found = saved(hits(docs, benchmark).select(F.col("text_key").alias("__key")).distinct())
-    keyed = docs.withColumn("__text_key", text_key(F.col("text")))
-    return keyed.join(found, F.col("__text_key") == F.col("__key"), "left_anti").select(*docs.columns)
+    """The rows of `docs` whose text holds no benchmark item, unchanged, whatever the names of their columns. Null and empty
+    texts stay, repeated rows share their text's fate; without items or rows nothing goes."""
+    found = saved(hits(docs, benchmark).select("text_key").distinct())
+    keyed = docs.select(F.struct("*").alias("__row"), text_key(F.col("text")).alias("text_key"))
+    return keyed.join(found, "text_key", "left_anti").select("__row.*")

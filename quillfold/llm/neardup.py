@@ -296,8 +296,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class of `docs`, with all its columns: the one with the smallest doc_id (ids that are null last)."""
-    kept = classes(docs, similarity).filter("first").select(F.col("text_key").alias("__key"), F.col("doc_id").alias("__id")).distinct()
-    keyed = docs.withColumn("__text_key", text_key(F.col("text"))).withColumn("__doc_id", F.col("doc_id").cast("long"))
-    met = keyed.join(kept, (F.col("__text_key") == F.col("__key")) & F.col("__doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return met.dropDuplicates(["__text_key", "__doc_id"]).select(*docs.columns)
+    """One row of each class of `docs`, with all its columns, whatever their names: the one with the smallest doc_id (ids
+    that are null last). Of repeated rows one stays; null and empty texts are one class; no rows give no rows."""
+    kept = classes(docs, similarity).filter("first").select(F.col("text_key").alias("key"), F.col("doc_id").alias("id")).distinct()
+    keyed = docs.select(F.struct("*").alias("__row"), text_key(F.col("text")).alias("text_key"), F.col("doc_id").cast("long").alias("doc_id"))
+    met = keyed.join(kept, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    return met.dropDuplicates(["text_key", "doc_id"]).select("__row.*")

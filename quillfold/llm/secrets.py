@@ -154,7 +154,8 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with every reported span of `text` replaced by `PLACEHOLDER`, overlapping spans by one. All rows stay.
 
-    Rows without a span are unchanged, nulls too. Other columns are kept.
+    Rows without a span are unchanged, nulls too; repeated rows stay repeated; no rows give no rows. Other columns are
+    kept, whatever their names.
     """
     order = Window.partitionBy("text_key").orderBy("from", "till")
     reached = F.max("till").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -174,6 +175,8 @@ def redact(docs: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.size("__cuts")),
         lambda i: F.substring(F.col("text"), (left(i) + 1).cast("int"), (right(i) - left(i)).cast("int")),
     )
-    keyed = docs.withColumn("__text_key", text_key(F.col("text").cast("string")))
+    # the row is one column here, so that no name of the caller's can clash
+    keyed = docs.select(F.struct("*").alias("__row"), F.col("text"), text_key(F.col("text").cast("string")).alias("__text_key"))
     changed = F.when(F.col("__cuts").isNotNull(), F.array_join(kept, PLACEHOLDER)).otherwise(F.col("text"))
-    return keyed.join(saved(merged), "__text_key", "left").withColumn("text", changed).select(*docs.columns)
+    met = keyed.join(saved(merged), "__text_key", "left")
+    return met.select(*[changed.alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

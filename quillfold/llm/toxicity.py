@@ -125,7 +125,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, samp
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that are not toxic, unchanged. The score is computed beside the row, in one narrow pass."""
+    """The rows of `docs` that are not toxic, unchanged. The score is computed beside the row, in one narrow pass. Null and
+    empty texts score as texts without terms, repeated rows alike; without labels nothing can be learnt and all rows score
+    the same; no rows give no rows."""
     terms, model = train(docs, labels)
     values = {k: v.astype(np.float64) for k, v in model.values.items()}
 

@@ -56,3 +56,19 @@ def test_odd_and_no_rows(spark, tmp_path):
         write(spark, folder, docs)
         found = {r.doc_id for r in corpus_pipeline.run(spark, folder).select("doc_id").distinct().collect()}
         assert found == ({None, 1, 3, 4, 5, 7, 8, 9} if docs else set())
+
+
+def test_names_that_the_stages_use_inside(spark):
+    """Columns of the caller keep their values, and n_chars may be missing."""
+    from quillfold.llm import decontaminate, neardup
+
+    rows = [(1, "token = abcdefghijklmnop and so on", "a", "b", "c", "d"), (2, prose(1, 30), "a", "b", "c", "d"), (3, None, "a", "b", "c", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __text_key string, __doc_id string, __cuts string, __row string")
+    items = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
+    same = lambda f: f.columns == docs.columns and all(tuple(r)[2:] == ("a", "b", "c", "d") for r in f.collect())
+    for f in (secrets.redact(docs), neardup.keep_first(docs), decontaminate.without_contaminated(docs, items), corpus_pipeline.blot_secrets(spark, docs, "")):
+        assert same(f)
+    assert {r.doc_id for r in decontaminate.without_contaminated(docs, items).collect()} == {1, 3}
+    held = docs.select("*", F.lit(34).cast("long").alias("n_chars"), F.lit("x").alias("__held"))
+    got = {r.doc_id: r for r in corpus_pipeline.blot_secrets(spark, held, "").collect()}
+    assert got[1].n_chars == len(got[1].text) and got[2].n_chars == 34 and {r["__held"] for r in got.values()} == {"x"}
