@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from quillfold.operators import eligibility
 from quillfold.session import FEW_ROWS, read_table, spread
 
 
@@ -19,3 +20,12 @@ def test_a_scan_of_one_task_is_dealt_anew(spark, tmp_path):
         df = read_table(spark, str(tmp_path), name)
         assert spread(df, "id") is df
     assert spread(one.limit(0), "id").collect() == []
+
+
+def test_a_filter_on_the_decision_does_not_screen_again(spark):
+    listed = spark.createDataFrame([(1, "must be a resident of ohio"), (2, "resident of texas")], "listing_id int, requirements_text string")
+    screened = eligibility.screen_eligibility(listed, eligibility.Profile(state_names=("texas",)))
+    matches = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE")
+    found = eligibility.drop_disqualified(screened)
+    assert [r.listing_id for r in found.collect()] == [2]
+    assert matches(found) == matches(screened.select("decision")) > 0
