@@ -227,3 +227,22 @@ def test_profiles_of_applicants(spark):
     assert {"lakeside community college", "lakeside", "lakeside college", "university of texas"} <= set(one.institutions)
     assert two.state_names == ["ohio"] and two.first_generation and two.gender is None and {"uo-lima", "uo lima", "northern"} <= set(two.institutions)
     assert three.state_names == [] and three.institutions == [] and three.disallowed_fields == [] and not three.us_citizen
+
+
+def test_pairs_of_profiles_are_not_exchanged(spark, monkeypatch):
+    """Blocks and slices give what one of each gives, also with repeated and null ids; pairs come straight out of them."""
+    schema = "profile_id long, state_names array<string>, institutions array<string>, allowed_fields array<string>, disallowed_fields array<string>, gender string, first_generation boolean"
+    people = [(i % 7, [["ohio", "texas"][i % 2], None], None if i % 4 == 0 else ["lakeside college"], ["biology"][: i % 3], ["law", "biology"][i % 2 :], [None, "Female", "male"][i % 3], None if i % 5 == 0 else i % 2 == 0) for i in range(12)]
+    people.append((None, ["ohio"], ["lakeside college"], ["biology"], [], "male", True))
+    texts = ["Must be a resident of Ohio, majoring in biology.", "Attending lakeside college, studying law or biology", "residents of texas", "Open to female students of biology", None]
+    listed = spark.createDataFrame([(None if i == 9 else i % 8, texts[i % 5]) for i in range(12)], "listing_id long, requirements_text string")
+    profiles = spark.createDataFrame(people, schema)
+    whole = eligibility.screen_profiles(profiles, listed)[0]
+    plan = whole._jdf.queryExecution().explainString(whole.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert 0 < plan.index("FlatMapCoGroupsInArrow") < plan.index("Exchange")
+    monkeypatch.setattr(eligibility, "PROFILES", 2)
+    monkeypatch.setattr(eligibility, "LISTINGS", 3)
+    cut = eligibility.screen_profiles(profiles, listed)[0]
+    rows = sorted(whole.collect(), key=str)
+    assert rows == sorted(cut.collect(), key=str) and len(rows) > 50
+    assert all(r.profile_id is not None and r.listing_id is not None for r in rows)
