@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
 from ..functions.fixed import FUNCTION_WORDS
-from ..session import beside, cut_lineage
+from ..session import beside, cut_lineage, spread
 from .stylometry import dense
 
 WIDTH = len(FUNCTION_WORDS)
@@ -79,16 +80,61 @@ def register_separation(samples: DataFrame, group: str, first: str, second: str,
     return joined.groupBy(*by).agg(F.avg(F.abs(F.col("a") - F.col("b")) / F.col("sd")).alias("separation"))
 
 
+_SINES = np.array([int(abs(math.sin(i + 1)) * 2**32) for i in range(64)], np.uint32)
+_TURNS = np.array([7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4, np.uint32)
+#: Messages of one block that are hashed at a time.
+HASHED = 20_000
+
+
+def _md5_heads(block: np.ndarray, size: int) -> np.ndarray:
+    """The first 32 bits of the MD5 of many messages of `size` bytes, at most 55, in rows of 64 that end in zeros."""
+    block[:, size], block[:, 56:64] = 128, np.frombuffer((8 * size).to_bytes(8, "little"), np.uint8)
+    words = np.ascontiguousarray(block.view("<u4").T).astype(np.uint32, copy=False)
+    empty = [size // 4 < k < 14 or k == 15 for k in range(16)]
+    a, b, c, d = (np.full(len(block), x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    for i in range(64):
+        if i < 16:
+            f, k = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, k = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, k = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, k = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += _SINES[i]
+        if not empty[k]:
+            f += words[k]
+        high = f << _TURNS[i]
+        f >>= np.uint32(32) - _TURNS[i]
+        f |= high
+        f += b
+        a, d, c, b = d, c, b, f
+    return (a + np.uint32(0x67452301)).byteswap()
+
+
 def _draws(seed: int, keys: list[str], iterations: int) -> np.ndarray:
     """The draws of all keys and iterations, as ``functions.text.draw`` makes them: 32 bits each."""
-    heads = [hashlib.md5(f"{seed}|band|{it}|".encode()) for it in range(1, iterations + 1)]
+    heads = [f"{seed}|band|{it}|".encode() for it in range(1, iterations + 1)]
+    tails = [key.encode() for key in keys]
     out = np.empty((len(keys), iterations), np.uint32)
-    for row, key in enumerate(keys):
-        tail = key.encode()
-        for col, head in enumerate(heads):
-            h = head.copy()
-            h.update(tail)
-            out[row, col] = int.from_bytes(h.digest()[:4], "big")
+    widths = np.array([len(t) for t in tails], int)
+    for head in dict.fromkeys(len(h) for h in heads):
+        its = np.array([i for i, h in enumerate(heads) if len(h) == head])
+        for tail in np.unique(widths):
+            rows, size = np.flatnonzero(widths == tail), head + int(tail)
+            if size > 55:
+                for row in rows:
+                    for it in its:
+                        out[row, it] = int.from_bytes(hashlib.md5(heads[it] + tails[row]).digest()[:4], "big")
+                continue
+            ends = np.frombuffer(b"".join(tails[row] for row in rows), np.uint8).reshape(len(rows), tail)
+            step = max(1, HASHED // len(rows))
+            for some in (its[k : k + step] for k in range(0, len(its), step)):
+                block = np.zeros((len(rows), len(some), 64), np.uint8)
+                block[:, :, :head] = np.frombuffer(b"".join(heads[it] for it in some), np.uint8).reshape(len(some), head)
+                block[:, :, head:size] = ends[:, None]
+                out[np.ix_(rows, some)] = _md5_heads(block.reshape(-1, 64), size).reshape(len(rows), len(some))
     return out
 
 
@@ -180,7 +226,7 @@ def within_band(samples: DataFrame, group: str, key: str, iterations: int = BAND
     sizes = samples.groupBy(group).agg(F.count("*").alias("documents"))
     enough = {r[0]: r[1] for r in sizes.filter((F.col("documents") >= MIN_BAND_DOCS) & F.col(group).isNotNull()).collect()}
     docs = samples.select(F.col(group).alias("g"), F.col(key).alias("key"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("name"), "freqs")
-    docs = docs.filter(F.col("g").isin(list(enough)))
+    docs = spread(docs.filter(F.col("g").isin(list(enough))), "key")  # many draws come of few bytes
     kind = samples.schema[group].dataType.simpleString()
     ends = _halves(docs, enough, iterations, seed) if enough else {}
 

@@ -266,3 +266,15 @@ def test_weighted_draws_cover_the_table(spark):
     rolls = spark.createDataFrame([(i, i / 997) for i in range(997)], "i int, roll double")
     got = augment.weighted_draws(rolls, errors).collect()
     assert {(r.i, r.correct) for r in got} == {(i, next(c for c, _, a, b in want if a <= math.floor(i / 997 * at) < b)) for i in range(997)} and len(got) == 997
+
+
+def test_draws_are_the_keyed_draws(spark, monkeypatch):
+    """Many digests at once, of keys of all lengths, against one by one, and without a digest call per short key."""
+    import hashlib
+
+    keys = [str(i) for i in range(300)] + ["", "é漢", "x" * 40, "y" * 47, "y" * 48, "z" * 60, "w" * 200]
+    want = [[int(hashlib.md5(f"1|band|{it}|{k}".encode()).hexdigest()[:8], 16) for it in range(1, 121)] for k in keys]
+    assert delta._draws(1, keys, 120).tolist() == want
+    assert delta._draws(1, [], 5).shape == (0, 5)
+    monkeypatch.setattr(delta, "hashlib", None)
+    assert delta._draws(1, keys[:300], 120).tolist() == want[:300]
