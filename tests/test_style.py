@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillfold.functions.text import CONTRACTION, count_matches, tok_alpha
 from quillfold.operators import augment, delta, panel, retrieval, spelling, stylometry
 from quillfold.operators.overlap import top_overlap
 
@@ -51,6 +52,45 @@ def test_mtld(one):
     assert got[2] == 60.0
 
 
+def test_features_of_one_pass_equal_the_columns(spark):
+    """Texts are measured in one pass without their tokens leaving it; a text that is null is not measured."""
+    rnd = random.Random(8)
+    bits = ["One two.", "three!)", " \n\n", "\t", "it's", "We'll've", "a's't", "—", " – ", "x–y", "**bold** ", "\n**b**", ". .", "..", ";", ":", ",", "é", "İK'd", "\u00a0", "\x0b", "\x1c", "?\"  ", "lower. ", "word "]
+    texts = ["", " \n", "a", "No end", "One. two! Three?", *("".join(rnd.choice(bits) for _ in range(rnd.randint(1, 90))) for _ in range(200))]
+    docs = spark.createDataFrame([*enumerate(texts), (1000, None)], "id int, text string")
+    out = stylometry.style_features(docs, "id")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "regexp" not in plan and "EvalPython" not in plan
+    got = {r["id"]: r.asDict() for r in out.collect()}
+    t = F.col("text")
+    patterns = {
+        "comma": ",", "semicolon": ";", "em_dash": "—", "period": r"\.", "colon": ":", "contraction": CONTRACTION,
+        "en_dash": r"\w–\w|\s–\s|–\s", "doubled_period": r"\.\s+\.", "bold_mid_paragraph": r"(?<=[^\n\r])\*\*[^*\n]+\*\*",
+    }
+    told = docs.filter("id < 1000").select(
+        "id", stylometry.sentence_stats(t).alias("s"), F.size(tok_alpha(t)).alias("n"), stylometry.mtld_of_tokens(tok_alpha(t)).alias("mtld"),
+        *[count_matches(t, p).alias(name) for name, p in patterns.items()],
+    )
+    for r in told.collect():
+        f, s = got[r["id"]], r["s"]
+        assert (f["sentence_count"], f["word_count"], f["mtld"]) == (s["sentences"], r["n"], r["mtld"])
+        assert [f[c] for c in ("mean_sentence_words", "sd_sentence_words", "p10_sentence_words", "p90_sentence_words")] == [s[c] for c in ("mean", "sd", "p10", "p90")]
+        assert f["lowercase_start_rate"] == (s["lower"] / s["alpha"] if s["alpha"] else 0.0)
+        for name in patterns:
+            per = 1000 if name in ("en_dash", "doubled_period", "bold_mid_paragraph") else 100
+            assert f[f"{name}_rate"] == r[name] / max(r["n"], 1) * per
+    assert got[1000]["word_count"] is None and got[1000]["mtld"] is None and got[1000]["comma_rate"] is None
+
+
+def test_known_words_are_not_counted_per_document(spark):
+    """Counts per document and word follow the join with the verdicts."""
+    docs = spark.createDataFrame([(1, "verify don't don qwertyuiop"), (1, "don"), (None, "don verify")], "id int, text string")
+    checked = spelling.spell_check(docs, spark.createDataFrame([("verify",)], "word string"), "id")
+    assert checked._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "Aggregate"
+    got = {(r["id"], r["word"]): (r["n"], r["verdict"]) for r in checked.collect()}
+    assert got == {(1, "don"): (3, "out_of_vocabulary"), (1, "qwertyuiop"): (1, "out_of_vocabulary"), (None, "don"): (1, "out_of_vocabulary")}
+
+
 def brute_chunks(words, least):
     out, n, start = [], 0, 0
     for i, w in enumerate(words):
