@@ -91,6 +91,22 @@ def test_known_words_are_not_counted_per_document(spark):
     assert got == {(1, "don"): (3, "out_of_vocabulary"), (1, "qwertyuiop"): (1, "out_of_vocabulary"), (None, "don"): (1, "out_of_vocabulary")}
 
 
+def test_tokens_of_bytes_equal_the_patterns(spark):
+    """Tokens with their counts, and which are always capitalised, as the two patterns find them."""
+    rnd = random.Random(4)
+    bits = ["One", "one", "ONE", "iPhone", "Iphone", "'tis", "'Tis", "don't", "Don't", "É'a'", "é", "\u212a", "İ", "''", "'", "3d", "x_y", "–", "\x1c", "\n"]
+    texts = ["", *(rnd.choice(["", " "]).join(rnd.choice(bits) + rnd.choice(["", " ", "."]) for _ in range(25)) for _ in range(120))]
+    docs = spark.createDataFrame([*enumerate(texts), (1000, None)], "id int, text string")
+    got = {(r["id"], r["raw"]): (r["word"], r["n"], r["proper"]) for r in spelling.token_table(docs, "id").collect()}
+    want, low = {}, {r["id"]: r["low"] for r in docs.select("id", F.lower("text").alias("low")).collect()}
+    for i, t in enumerate(texts):
+        forms = re.findall("[A-Za-z][A-Za-z']*", t)
+        for w, n in Counter(re.findall("[a-z']+", low[i])).items():
+            same = [f for f in forms if f.lower() == w]
+            want[i, w] = (w.split("'")[0], n, bool(same) and all(f[0].isupper() for f in same))
+    assert got == want
+
+
 def brute_chunks(words, least):
     out, n, start = [], 0, 0
     for i, w in enumerate(words):
