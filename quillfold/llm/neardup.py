@@ -8,9 +8,9 @@ weight are looked at, so long texts cost one hash per element; the few texts wit
 
 Texts that agree in a whole band of coordinates are candidates. Equal texts are one node throughout. In a bucket of m
 nodes the first is compared with the others, m - 1 pairs; nodes that stay in different classes meet in further rounds
-(`_rounds`), so a link between any two classes of a bucket is found whatever the first node is; of a large bucket, if the
-two share another bucket. There are bands enough for two. Candidates are checked by their exact Jaccard similarity; classes
-are the connected components of the links.
+(`_rounds`), so a link between any two classes of a bucket is found whatever the first node is. In large buckets only nodes
+that share a rare shingle meet (`_prefixes`), which any two similar texts do, so nothing is lost there. Candidates are checked
+by their exact Jaccard similarity; classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ BANDS, BAND = 72, 8
 COORDINATES = BANDS * BAND
 #: Strips and darts that are held at a time; a text of more comes alone.
 DARTS = 200_000
-#: First nodes of a bucket that meet all others in a later round; nodes from which on a bucket is divided by other bands.
-PIVOTS, LARGE = 16, 32
+#: First nodes of a bucket that meet all others in the next round, and by what they grow from round to round; nodes from which
+#: on a bucket is divided by rare shingles.
+PIVOTS, GROWTH, LARGE = 16, 4, 32
 #: Nodes of a bucket that one task joins with its pivots: a bucket of more nodes is dealt out in parts of about so many.
 PART = 4096
 #: Whole texts that go to a Python worker at a time.
@@ -227,38 +228,69 @@ def _rounds(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     rest = saved(_mixed(rest.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))))
     if rest.isEmpty():
         return labels
-    # Large buckets of unlike texts are divided: texts that share two of them meet again, in much smaller buckets. Texts
-    # that share a bucket of ordinary size meet there.
-    large = saved(rest.filter(F.col("m") > LARGE).select("key", "node", "n", "label"))
-    other = large.select("node", F.col("key").alias("other"))
-    finer = large.join(other, "node").filter(F.col("key") < F.col("other")).select(F.xxhash64("key", "other").alias("key"), "node", "n", "label")
-    rest = rest.filter(F.col("m") <= LARGE).unionByName(_mixed(finer)).select("key", "node", "n", "label", "m")
+    # Large buckets of unlike texts are divided: similar texts share a shingle among the rarest of both, and meet there.
+    large = rest.filter(F.col("m") > LARGE).select("node", "label").distinct()
+    unsolved = saved(sets.join(rest.select("node").distinct(), "node", "left_semi"))
+    finer = saved(_prefixes(unsolved.join(large, "node"), similarity))
+    small = rest.filter(F.col("m") <= LARGE).withColumn("pos", F.lit(0))
+    rest = small.unionByName(_mixed(finer)).select("key", "node", "n", "pos", "label", "m")
+    first = PIVOTS
     while True:
         # nodes of a bucket's smaller classes come first: once they have met all others, the largest class alone is left
         rest = saved(rest)
-        pivots = saved(_pivots(rest))
+        pivots = saved(_pivots(rest, first))
         parts = F.ceil(F.col("m") / PART).cast("int")
-        met = pivots.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        met = pivots.select(
+            "key",
+            F.col("node").alias("a"),
+            F.col("n").alias("na"),
+            F.col("pos").alias("pa"),
+            F.col("label").alias("la"),
+            F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"),
+        )
+        # what two texts share stands at their first common shingle or behind it
+        most = F.least(F.col("n") - F.col("pos"), F.col("na") - F.col("pa"))
+        enough = most * (1 + similarity) >= similarity * (F.col("n") + F.col("na")) - 1e-6
         pairs = (
             rest.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
             .join(met, ["key", "part"])
-            .filter((F.col("la") != F.col("label")) & fits(F.col("n"), F.col("na")))
+            .filter((F.col("la") != F.col("label")) & fits(F.col("n"), F.col("na")) & enough)
             .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
             .distinct()
         )
-        links = links.union(_links(pairs, sets, similarity))
-        rest = saved(_mixed(rest.join(pivots.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n", "label")))
+        links = links.union(_links(pairs, unsolved, similarity))
+        rest = saved(_mixed(rest.join(pivots.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n", "pos", "label")))
         if rest.isEmpty():
             return components(links)
+        first *= GROWTH
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, n, pos, label): the rarest shingles (key) of each of `sets` (node, shingles, label) that others hold too,
+    and their places in the order of rareness.
+
+    Texts of that similarity share so much of either that they share one of these, whatever the order. Shingles of one text
+    alone come first, so a text with many of its own has few rows here or none.
+    """
+    held = sets.select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    common = held.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = held.join(common, "key").groupBy("node").agg(
+        F.first("label").alias("label"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "key"))).alias("shared")
+    )
+    alone = F.col("n") - F.size("shared")
+    looked_at = F.col("n") - F.ceil(similarity * F.col("n") - 1e-6).cast("int") + 1
+    rows = ranked.withColumn("alone", alone).withColumn("take", looked_at - F.col("alone")).filter("take > 0")
+    placed = rows.select("node", "label", "n", "alone", F.posexplode(F.slice("shared", F.lit(1), F.col("take"))).alias("at", "s"))
+    return placed.select(F.col("s.key").alias("key"), "node", "n", (F.col("alone") + F.col("at")).alias("pos"), "label")
 
 
-def _pivots(rest: DataFrame) -> DataFrame:
-    """The first `PIVOTS` rows of each bucket, by size of their class in it, label and node.
+def _pivots(rest: DataFrame, most: int = PIVOTS) -> DataFrame:
+    """The first `most` rows of each bucket, by size of their class in it, label and node.
 
     Classes are counted in a map-side aggregate; the first nodes are of the first classes. Both ranks are filtered at
     once, so each task keeps that many rows of a bucket before the exchange, and no whole bucket is sorted in a task.
     """
-    first = lambda df, *order: df.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter(F.col("place") <= PIVOTS).drop("place")
+    first = lambda df, *order: df.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter(F.col("place") <= most).drop("place")
     smallest = first(rest.groupBy("key", "label").agg(F.count("*").alias("members")), "members", "label")
     return first(rest.join(smallest, ["key", "label"]), "members", "label", "node")
 

@@ -145,3 +145,17 @@ def test_buckets_in_parts(spark, monkeypatch):
     assert sorted((r.doc_id, r.class_id) for r in neardup.near_duplicates(frame).collect()) == whole
     want = plain_classes(docs)
     assert all((want[a] == want[b]) == (ca == cb) for a, ca in whole for b, cb in whole)
+
+
+def test_edited_copies_of_one_text_make_few_rows(spark, monkeypatch):
+    """Most pairs of edited copies are no duplicates but share many buckets: they have few rows in later rounds, and classes are
+    those of all pairs."""
+    monkeypatch.setattr(neardup, "LARGE", 6)
+    base = prose(77, 300)
+    docs = [(i, changed(base, i, 7)) for i in range(250)]
+    made = []
+    pivots = neardup._pivots
+    monkeypatch.setattr(neardup, "_pivots", lambda rest, *more: made.append(rest.count()) or pivots(rest, *more))
+    rows = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(repr((r.doc_id, r.class_id)) for r in rows) == want_ids(docs)
+    assert made and made[0] < 60 * len(docs)  # 8,116; divided by pairs of common buckets, 29,453
