@@ -54,3 +54,20 @@ def test_lower_threshold(spark):
     assert {(r["id"], r["duplicate_of"]) for r in got.filter("is_duplicate").collect()} == {(2, 1)}
     strict = near_duplicates(df, "id", "text", "id")
     assert strict.filter("is_duplicate").count() == 0
+
+
+def test_only_rare_prefixes_leave_the_sets(spark):
+    """What is shuffled of a set is a tenth of it, without shingles that nobody shares and with boilerplate last."""
+    from quillfold.operators import dedup
+
+    common = list(range(10_000, 10_060))
+    rows = [(i, i, sorted([*common, *range(100 * i, 100 * i + 4), 5_000 + i // 2])) for i in range(40)]
+    rows += [(100, 100, list(range(20_000, 20_065)))]
+    df = spark.createDataFrame(rows, "_key long, _ord long, h array<long>").selectExpr("*", "size(h) AS n")
+    found = {r["_key"]: r for r in dedup.prefixes(df, 9, 10).collect()}
+    assert set(found) == set(range(40))  # nothing shares a shingle with row 100
+    for i, r in found.items():
+        assert r["alone"] == 4 and r["toks"] == [5_000 + i // 2, *common[:2]]  # 65 - 59 + 1 places in all
+    index = dedup.prefix_index(df, df.filter("_key = 39").select("_key"), 9, 10)
+    assert {(r["rep"], r["pos"], r["df"]) for r in index.filter("tok = 5003").collect()} == {(6, 4, 2), (7, 4, 2)}
+    assert index.filter("tok = 5019").isEmpty() and {r["df"] for r in index.filter("tok = 10000").collect()} == {39}
