@@ -246,3 +246,29 @@ def test_pairs_of_profiles_are_not_exchanged(spark, monkeypatch):
     rows = sorted(whole.collect(), key=str)
     assert rows == sorted(cut.collect(), key=str) and len(rows) > 50
     assert all(r.profile_id is not None and r.listing_id is not None for r in rows)
+
+
+def test_listings_that_ask_the_same_are_paired_at_once(spark, monkeypatch):
+    """What profiles are handed is one row per way of asking, not one per listing; pairs are those of the screen one by one."""
+    texts = ["Must be a resident of Ohio, majoring in biology.", "Attending lakeside college, studying law", "residents of texas, first-generation students", "Open to all"]
+    listed = spark.createDataFrame([(i, texts[i % 4]) for i in range(80)], "listing_id int, requirements_text string")
+    people = [(i, [["ohio"], ["texas"], []][i % 3], ["lakeside college"] if i % 2 else [], ["biology"], ["law"], [None, "female", "male"][i % 3], i % 2 == 0) for i in range(12)]
+    schema = "profile_id int, state_names array<string>, institutions array<string>, allowed_fields array<string>, disallowed_fields array<string>, gender string, first_generation boolean"
+    rows = spark.sparkContext.accumulator(0)
+    meet = eligibility._meet
+
+    def counted(some, profiles):
+        rows.add(some.num_rows)
+        out = meet(some, profiles)
+        assert all(len(k) == 1 or len(k) * len(i) <= 7 for k, i in zip(out.column("keys").to_pylist(), out.column("ids").to_pylist(), strict=True))
+        return out
+
+    monkeypatch.setattr(eligibility, "_meet", counted)
+    monkeypatch.setattr(eligibility, "PAIRS", 7)
+    got = sorted(tuple(r) for r in eligibility.screen_profiles(spark.createDataFrame(people, schema), listed)[0].collect())
+    assert 0 < rows.value <= 3
+    want, share = [], {0: lambda p: True, 1: lambda p: True, 2: lambda p: "texas" in p[1], 3: lambda p: False}
+    for p in people:
+        one = eligibility.Profile(tuple(p[1]), tuple(p[2]), tuple(p[3]), tuple(p[4]), p[6], True, p[5])
+        want += [(p[0], r.listing_id, r.decision, r.rule, r.reason) for r in eligibility.screen_eligibility(listed.limit(4), one).collect() if share[r.listing_id % 4](p)]
+    assert got == sorted((pid, n, *said) for pid, n0, *said in want for n in range(n0 % 4, 80, 4))
