@@ -96,7 +96,10 @@ def mask_urls_paths(text: Column) -> Column:
 
 def mask_file_refs(text: Column) -> Column:
     mentions = F.regexp_replace(text, r"(^|\s)@[\w.\-/]+[ \t]?", "$1")
-    return F.regexp_replace(mentions, WORD_EDGE + rf"[\w\-/]+\.({CODE_EXTENSIONS}):\d+(:\d+)?", "[ref]")
+    place = rf"\.({CODE_EXTENSIONS}):\d"
+    # the pattern is slow where it finds nothing, so it only runs on texts that hold such a place
+    masked = lambda t: F.regexp_replace(t, WORD_EDGE + rf"[\w\-/]+{place}+(:\d+)?", "[ref]")
+    return let(mentions, lambda t: F.when(t.rlike(place), masked(t)).otherwise(t))
 
 
 def collapse_ws(text: Column) -> Column:
@@ -121,20 +124,27 @@ def clean_expr(text: Column) -> Column:
 
 def clean_text(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``clean``, ``stripped_ratio``, ``alpha_ratio``, ``word_count`` and ``rejected``."""
-    raw_len, new_len = F.length(text), F.length("clean")
-    letters = F.length(F.regexp_replace("clean", r"[^a-zA-Z'\s]+", ""))
-    measured = df.withColumn("clean", clean_expr(F.col(text))).select(
-        "*",
-        F.when(raw_len > 0, 1 - new_len / raw_len).otherwise(1.0).alias("stripped_ratio"),
-        F.when(new_len > 0, letters / new_len).otherwise(0.0).alias("alpha_ratio"),
-        words(F.col("clean")).alias("word_count"),
-    )
+    raw_len = F.length(text)
+
+    def measure(clean: Column) -> Column:
+        new_len = F.length(clean)
+        letters = new_len - F.length(F.regexp_replace(clean, r"[a-zA-Z'\s]+", ""))
+        return F.struct(
+            clean.alias("clean"),
+            F.when(raw_len > 0, 1 - new_len / raw_len).otherwise(1.0).alias("stripped_ratio"),
+            F.when(new_len > 0, letters / new_len).otherwise(0.0).alias("alpha_ratio"),
+            words(clean).alias("word_count"),
+        )
+
+    # as a generator's output a text is cleaned once; as an expression, a filter on the verdict would clean it for each measure
+    cleaned = df.withColumn("_c", F.explode(F.array(let(clean_expr(F.col(text)), measure))))
     verdict = (
         F.when(F.col("stripped_ratio") > MAX_STRIPPED_RATIO, "mostly-stripped")
         .when(F.col("word_count") < MIN_WORDS, "too-short")
         .when(F.col("alpha_ratio") < MIN_ALPHA_RATIO, "mostly-symbols")
     )
-    return measured.withColumn("rejected", verdict)
+    measured = cleaned.withColumns({name: F.col("_c")[name] for name in ("clean", "stripped_ratio", "alpha_ratio", "word_count")})
+    return measured.drop("_c").withColumn("rejected", verdict)
 
 
 def normalize_doc(text: Column) -> Column:

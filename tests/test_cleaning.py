@@ -62,3 +62,15 @@ def test_draw_matches_md5(spark):
 
     got = spark.range(1).select(T.draw(7, "p", "k")).first()[0]
     assert got == int(hashlib.md5(b"7|p|k").hexdigest()[:8], 16) / 2**32
+
+
+def test_a_filter_on_the_verdict_cleans_once(spark):
+    """A text goes through the steps once, whatever is asked of the result."""
+    texts = spark.range(3).selectExpr("id", "concat('It was é 1, 2. ', repeat('words here ', CAST(8 * id AS INT)), 'at main.ts:33:2 or x.ts:y') AS text")
+    out = C.clean_text(texts).filter("rejected IS NULL").select("id", "word_count", "alpha_ratio")
+    assert out._jdf.queryExecution().executedPlan().toString().count("https?://") == 1
+    one = "It was é 1, 2. " + "words here " * 8 + "at [ref] or x.ts:y"
+    alpha = sum(c.isascii() and (c.isalpha() or c in "' ") for c in one) / len(one)
+    assert [(r.id, r.word_count) for r in out.collect()] == [(0, 9), (1, 25), (2, 41)] and abs(out.collect()[1].alpha_ratio - alpha) < 1e-12
+    none = C.clean_text(spark.createDataFrame([(None,)], "text string")).first()
+    assert (none.clean, none.stripped_ratio, none.alpha_ratio, none.word_count, none.rejected) == (None, 1.0, 0.0, None, "mostly-stripped")
